@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
-from .scratch import table
+from . import decontaminate, knn, licenses, mixing, near_dup, token_files, toxicity, url_filter
+from .scratch import ship, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +24,52 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("x")
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded, written as Simple-8b blocks and read back."""
+    return token_files.read_documents(token_files.write_blocks(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op4_mixing)}
+    def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: shipped(f) for f in (op1_url_filter, op2_decontamination, op3_topk, op4_mixing, op6_near_dup, op8_toxicity, op9_token_ids, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

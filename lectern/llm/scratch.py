@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each SparkContext."""
+    context = spark.sparkContext
+    if not getattr(context, "_lectern_shipped", False):
+        top = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / "lectern.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        context.addPyFile(str(archive))
+        context._lectern_shipped = True
