@@ -2,10 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm import decontaminate, mixing, near_dup, token_files, toxicity
+from lectern.llm.queries import tokenizer_path
+from lectern.llm.scratch import keep, ship, table
+
+#: No stage but the mixing can be said in SQL in full: learned scores, signatures and tokenizers are checked by tests.
+ORACLE_SQL = None
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go."""
+    ship(spark)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document of the least id stays."""
+    ship(spark)
+    return near_dup.one_of_each(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target weights: a row per document and epoch, with the words taken."""
+    return mixing.mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as token ids in Simple-8b blocks; returns per document what the written blocks hold."""
+    ship(spark)
+    return token_files.read_documents(token_files.write_blocks(docs, tokenizer_path()))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", leaks),
+    ("mixing", mix),
+    ("token-ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents table, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
+
 
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

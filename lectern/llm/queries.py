@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, knn, licenses, mixing, near_dup, token_files, toxicity, url_filter
+from . import decontaminate, knn, licenses, lm, mixing, near_dup, site_style, token_files, toxicity, url_filter
 from .scratch import ship, table
 
 
@@ -34,6 +34,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the unigram and the mixed model."""
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -45,6 +50,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return site_style.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("x")
@@ -69,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: shipped(f) for f in (op1_url_filter, op2_decontamination, op3_topk, op4_mixing, op6_near_dup, op8_toxicity, op9_token_ids, op10_licenses)}
+    return {f.__name__: shipped(f) for f in (op1_url_filter, op2_decontamination, op3_topk, op4_mixing, op5_lm_scoring, op6_near_dup, op7_html_extraction, op8_toxicity, op9_token_ids, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
