@@ -110,8 +110,10 @@ SELECT student, topic, max(n) AS attempts, round(avg(score), 6) AS mean, round(C
 @query("st1_live_state", STATE_SQL)
 def st1(s: SparkSession, d: str) -> DataFrame:
     with stateful(s):
-        out = _drained(live.live_state(live.attempts_stream(s, _event_files(s, d), 1)), "update", "live")
-    last = out.groupBy("student", "topic").agg(F.max_by(F.struct("attempts", "mean", "trend", "top_d", "top_q"), "epoch").alias("r")).select("student", "topic", "r.*")
+        out = workspace(s, "live")
+        live.append_files(live.live_state(live.attempts_stream(s, _event_files(s, d), 1)), out, f"{out}-checkpoint").awaitTermination()
+    rows = s.read.parquet(out)
+    last = rows.groupBy("student", "topic").agg(F.max_by(F.struct("attempts", "mean", "trend", "top_d", "top_q"), "attempts").alias("r")).select("student", "topic", "r.*")
     return last.select("student", "topic", "attempts", F.round("mean", 6).alias("mean"), F.round("trend", 6).alias("trend"), "top_d", "top_q")
 
 
@@ -119,8 +121,9 @@ def st1(s: SparkSession, d: str) -> DataFrame:
 SELECT student, (step - 1) // 20 AS batch, count(*) AS answers, round(avg(score), 6) AS mean_score FROM a GROUP BY ALL HAVING count(*) = 20""")
 def st2(s: SparkSession, d: str) -> DataFrame:
     with stateful(s):
-        out = _drained(live.answer_batches(live.attempts_stream(s, _event_files(s, d), 1)), "append", "batches")
-    return out.select("student", "batch", "answers", F.round("mean_score", 6).alias("mean_score"))
+        out = workspace(s, "batches")
+        live.append_files(live.answer_batches(live.attempts_stream(s, _event_files(s, d), 1)), out, f"{out}-checkpoint").awaitTermination()
+    return s.read.parquet(out).select("student", "batch", "answers", F.round("mean_score", 6).alias("mean_score"))
 
 
 @query("st3_session_reports", """WITH a AS (SELECT user_id AS student, ts, event_id, least(value / CASE user_id % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 30.0 ELSE 60.0 END::DOUBLE, 1.0::DOUBLE) AS score FROM events),

@@ -68,9 +68,14 @@ class KnowledgeState(StatefulProcessor):
 
 
 class AnswerBatches(StatefulProcessor):
-    """Per student a row for every ``SIZE`` answers; what is left is given out when the student has been silent."""
+    """Per student a row for every ``SIZE`` answers; with ``silence_ms``, what is left is given out when the student has
+    been silent for so long."""
 
-    SIZE, SILENCE_MS = 20, 3_600_000
+    SIZE = 20
+
+    def __init__(self, silence_ms: int | None = None):
+        super().__init__()
+        self.silence_ms = silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -86,9 +91,10 @@ class AnswerBatches(StatefulProcessor):
                 out.append((key[0], batch, n, total / n))
                 batch, n, total = batch + 1, 0, 0.0
         self.held.update((int(batch), int(n), float(total)))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + self.SILENCE_MS)
+        if self.silence_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + self.silence_ms)
         yield pd.DataFrame(out, columns=["student", "batch", "answers", "mean_score"])
 
     def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
@@ -102,12 +108,15 @@ class AnswerBatches(StatefulProcessor):
 
 
 def live_state(attempts: DataFrame) -> DataFrame:
-    """Knowledge state of each student and topic after each micro-batch (update mode)."""
-    return attempts.groupBy("student", "topic").transformWithStateInPandas(KnowledgeState(), outputStructType=LIVE, outputMode="Update", timeMode="None")
+    """Knowledge state of each student and topic after each micro-batch that has answers of theirs; the row of most
+    attempts is the latest."""
+    return attempts.groupBy("student", "topic").transformWithStateInPandas(KnowledgeState(), outputStructType=LIVE, outputMode="Append", timeMode="None")
 
 
-def answer_batches(attempts: DataFrame) -> DataFrame:
-    return attempts.groupBy("student").transformWithStateInPandas(AnswerBatches(), outputStructType=BATCHES, outputMode="Append", timeMode="ProcessingTime")
+def answer_batches(attempts: DataFrame, silence_ms: int | None = None) -> DataFrame:
+    """Full batches of answers. Timers keep a stream open, so ``silence_ms`` is for queries that run on."""
+    mode = "None" if silence_ms is None else "ProcessingTime"
+    return attempts.groupBy("student").transformWithStateInPandas(AnswerBatches(silence_ms), outputStructType=BATCHES, outputMode="Append", timeMode=mode)
 
 
 def session_reports(attempts: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
