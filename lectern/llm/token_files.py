@@ -20,13 +20,23 @@ from .scratch import keep
 #: The id that ends a document, and the ids from which on a block is closed.
 END_ID, BLOCK_IDS = 1, 65_536
 #: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
-#: Words that are one piece before they are split further, in any case and normal form.
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Latin letters, which are one piece before they are split further, and the signs after them, which are another.
+_LATIN_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+def _folded(text: str) -> str:
+    """The text in lower case where the tokenizer's own folding does just the same: Latin-1 without special tokens."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
-_LATIN_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -63,53 +73,52 @@ class WordEncoder:
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words of Latin letters only: each ends with the one piece that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found[0].ids, np.uint32)
         ends = np.flatnonzero(self.is_end[ids]) if len(ids) else np.empty(0, np.int64)
         return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self._each(words)
 
-    def _with_tails(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for such words followed by signs, which are a piece of their own."""
-        parts = [_LATIN_TAIL(w).groups() for w in words]
-        kinds = {t: i for i, t in enumerate(dict.fromkeys(t for _, t in parts))}
-        tail_ids, tail_lengths = self._each(list(kinds))
-        ids, lengths = self._plain([w for w, _ in parts])
-        kind = np.array([kinds[t] for _, t in parts])
-        more = tail_lengths[kind]
-        total = lengths + more
-        out = np.empty(total.sum(), np.uint32)
-        starts = np.cumsum(total) - total
-        out[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(ids))] = ids
-        step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-        out[np.repeat(starts + lengths, more) + step] = tail_ids[np.repeat((np.cumsum(tail_lengths) - tail_lengths)[kind], more) + step]
-        return out, total
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words))))
+        self.lengths, self.pool = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, ids])
+
+    def _flat(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these codes, one after the other, and the number of each one's ids."""
+        counts = self.lengths[codes]
+        ends = np.cumsum(counts)
+        starts = np.cumsum(self.lengths) - self.lengths
+        return self.pool[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _LATIN(w)]
-        tailed = [w for w in words if _LATIN_TAIL(w)]
-        other = [w for w in words if not _LATIN(w) and not _LATIN_TAIL(w)]
-        for some, how in ((plain, self._plain), (tailed, self._with_tails), (other, self._each)):
-            for lo in range(0, len(some), 4096):
-                ids, lengths = how(some[lo : lo + 4096])
-                self.lengths, self.pool = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, ids])
-        self.codes.update(zip(plain + tailed + other, range(len(self.codes), len(self.codes) + len(words))))
+        matches = [_LATIN_TAIL(w) for w in words]
+        plain = [w for w, m in zip(words, matches) if m and not m[2]]
+        tailed = [(w, m[1], m[2]) for w, m in zip(words, matches) if m and m[2]]
+        other = [w for w, m in zip(words, matches) if not m]
+        # stems and the signs after them are words of their own, learned with the others
+        known = self.codes
+        stems = [w for w in dict.fromkeys([*plain, *(s for _, s, _ in tailed)]) if w not in known]
+        other += [w for w in dict.fromkeys(t for _, _, t in tailed) if w not in known]
+        for some, how in ((stems, self._plain), (list(dict.fromkeys(other)), self._each)):
+            parts = [how(some[lo : lo + 8192]) for lo in range(0, len(some), 8192)]
+            if parts:
+                self._add(some, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        if tailed:
+            both = np.fromiter((known[x] for _, s, t in tailed for x in (s, t)), np.int64, 2 * len(tailed))
+            ids, counts = self._flat(both)
+            self._add([w for w, _, _ in tailed], ids, counts[0::2] + counts[1::2])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of each text's ids."""
         if len(self.codes) > REMEMBERED:
             self._clear()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [_folded(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = [w for ws in split for w in ws]
         known = self.codes
         if new := [w for w in dict.fromkeys(words) if w not in known]:
             self._learn(new)
-        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        starts = np.cumsum(self.lengths) - self.lengths
-        counts = self.lengths[codes]
-        ends = np.cumsum(counts)
-        flat = np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        flat, counts = self._flat(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         edges = np.cumsum([0, *map(len, split)])
-        sums = np.concatenate([[0], ends])
-        return self.pool[flat], np.diff(sums[edges])
+        return flat, np.diff(np.concatenate([[0], np.cumsum(counts)])[edges])
 
 
 def _blocks(path: str):
@@ -118,11 +127,11 @@ def _blocks(path: str):
         docs: list = []
         lengths: list[int] = []
         held: list[np.ndarray] = []
-        count = number = 0
+        count = number = before = 0
 
         def close() -> pd.DataFrame:
             data = simple8b.write_block(docs, lengths, np.concatenate(held))
-            return pd.DataFrame({"part": [part], "number": [number], "n_docs": [len(docs)], "n_ids": [count], "data": [data]})
+            return pd.DataFrame({"part": [part], "number": [number], "n_docs": [len(docs)], "n_ids": [count], "before": [before], "data": [data]})
 
         for batch in batches:
             ids_of = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
@@ -144,6 +153,7 @@ def _blocks(path: str):
                     if count >= BLOCK_IDS:
                         yield close()
                         number += 1
+                        before += count
                         docs, lengths, held, count = [], [], [], 0
                 lo = hi
         if docs:
@@ -153,7 +163,7 @@ def _blocks(path: str):
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, partitions: int | None = None) -> DataFrame:
-    """Encode ``docs(doc_id, text)`` and write the blocks, as a table (part, number, n_docs, n_ids, data), to the shared
+    """Encode ``docs(doc_id, text)`` and write the blocks, as a table (part, number, n_docs, n_ids, before, data), to the shared
     folder; parts and numbers follow ascending doc_id (null ids first, equal ids by their text's hash). Null texts are
     empty and have just the end id. A document is never cut, so a block is as long as its longest document at least.
     """
@@ -161,7 +171,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, partitions: int | None = None)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return keep(ordered.mapInPandas(_blocks(tokenizer), "part int, number int, n_docs int, n_ids long, data binary"), "blocks")
+    return keep(ordered.mapInPandas(_blocks(tokenizer), "part int, number int, n_docs int, n_ids long, before long, data binary"), "blocks")
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,11 +187,9 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_documents(blocks: DataFrame) -> DataFrame:
     """Per document of the written blocks: doc_id, start (ids before it), n_tokens (with the end id), ids_crc32.
 
-    The running sum is taken over the parts' sums, of which there are as many as partitions, and inside each part.
+    A block knows how many ids of its part come before it; the running sum over parts has as many rows as partitions.
     """
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
     parts = parts.select("part", (F.sum("of_part").over(W.orderBy("part")) - F.col("of_part")).alias("base"))
-    inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("number")) - F.col("n_ids")
-    starts = blocks.select("part", "number", "n_ids").withColumn("inside", inside).join(F.broadcast(parts), "part")
-    starts = starts.select("part", "number", (F.col("base") + F.col("inside")).alias("start"))
-    return blocks.join(starts, ["part", "number"]).select("start", "data").mapInPandas(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = blocks.join(F.broadcast(parts), "part").select((F.col("base") + F.col("before")).alias("start"), "data")
+    return placed.mapInPandas(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
