@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,10 +21,23 @@ SUFFICIENT_STRICT = {"basic": 0.65, "intermediate": 0.55, "advanced": 0.45}
 CODES = (0.2, 0.6, 1.0)
 TREND_WINDOW, FULL_ATTEMPTS = 10, 50
 
-TOPIC = W.partitionBy("student", "topic").orderBy("step")
-SO_FAR = TOPIC.rowsBetween(W.unboundedPreceding, W.currentRow)
-RECENT = TOPIC.rowsBetween(1 - TREND_WINDOW, W.currentRow)
-STUDENT = W.partitionBy("student").orderBy("step")
+
+
+# Windows need a session, so they are made when they are used.
+def by_topic() -> WindowSpec:
+    return W.partitionBy("student", "topic").orderBy("step")
+
+
+def so_far() -> WindowSpec:
+    return by_topic().rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def recent() -> WindowSpec:
+    return by_topic().rowsBetween(1 - TREND_WINDOW, W.currentRow)
+
+
+def by_student() -> WindowSpec:
+    return W.partitionBy("student").orderBy("step")
 
 
 def by_level(values: dict[str, float], level: Column) -> Column:
@@ -39,22 +52,22 @@ def coded(index: Column) -> Column:
 
 def trend_of(score: Column, place: Column, n: Column) -> Column:
     """Slope clipped to -1..1, 0 for fewer than two scores."""
-    return F.when(n >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.regr_slope(score, place).over(RECENT)))).otherwise(0.0)
+    return F.when(n >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.regr_slope(score, place).over(recent())))).otherwise(0.0)
 
 
 def replay(attempts: DataFrame) -> DataFrame:
     """Attempts with what is known after each: attempt, running_mean, trend, previous score and levels, highest level."""
-    a = attempts.withColumn("attempt", F.row_number().over(TOPIC)).withColumn("place", F.col("attempt").cast("double"))
+    a = attempts.withColumn("attempt", F.row_number().over(by_topic())).withColumn("place", F.col("attempt").cast("double"))
     return a.select(
         *attempts.columns, "attempt",
-        F.avg("score").over(SO_FAR).alias("running_mean"),
-        trend_of(F.col("score"), F.col("place"), F.count("*").over(RECENT)).alias("trend"),
-        F.lag("score", 1, 0.0).over(TOPIC).alias("previous_score"),
-        F.coalesce(F.avg("score").over(TOPIC.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("previous_mean"),
-        F.lag("d").over(TOPIC).alias("previous_d"), F.lag("q").over(TOPIC).alias("previous_q"),
-        F.max("d").over(SO_FAR).alias("top_d"), F.max("q").over(SO_FAR).alias("top_q"),
-        F.coalesce(F.max("d").over(TOPIC.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_d"),
-        F.coalesce(F.max("q").over(TOPIC.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_q"),
+        F.avg("score").over(so_far()).alias("running_mean"),
+        trend_of(F.col("score"), F.col("place"), F.count("*").over(recent())).alias("trend"),
+        F.lag("score", 1, 0.0).over(by_topic()).alias("previous_score"),
+        F.coalesce(F.avg("score").over(by_topic().rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("previous_mean"),
+        F.lag("d").over(by_topic()).alias("previous_d"), F.lag("q").over(by_topic()).alias("previous_q"),
+        F.max("d").over(so_far()).alias("top_d"), F.max("q").over(so_far()).alias("top_q"),
+        F.coalesce(F.max("d").over(by_topic().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_d"),
+        F.coalesce(F.max("q").over(by_topic().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_q"),
     )
 
 
@@ -68,7 +81,7 @@ def mastered_after(replayed: DataFrame, levels: DataFrame) -> DataFrame:
     combinations at their thresholds are there."""
     r = replayed.join(F.broadcast(levels), "topic")
     tests = [
-        F.coalesce(F.avg(F.when((F.col("d") == d) & (F.col("q") == q), F.col("score"))).over(SO_FAR) >= threshold(F.col("level"), F.lit(d), F.lit(q)) - 1e-12, F.lit(False))
+        F.coalesce(F.avg(F.when((F.col("d") == d) & (F.col("q") == q), F.col("score"))).over(so_far()) >= threshold(F.col("level"), F.lit(d), F.lit(q)) - 1e-12, F.lit(False))
         for d in range(3) for q in range(3)
     ]
     return r.withColumn("mastered", reduce(lambda a, b: a & b, tests, (F.col("attempt") >= 3) & (F.col("trend") >= 0)))
@@ -141,7 +154,7 @@ def state_features(attempts: DataFrame, levels: DataFrame) -> DataFrame:
     )
     steps = attempts.select("student", "step", F.col("topic").alias("now")).join(F.broadcast(levels.select("topic")))
     full = steps.join(known, ["student", "step", "topic"], "left")
-    last = F.last("s", ignorenulls=True).over(SO_FAR)
+    last = F.last("s", ignorenulls=True).over(so_far())
     return full.withColumn("s", last).select(
         "student", "step", "topic", F.coalesce("s.running_mean", F.lit(0.0)).alias("mean"),
         F.least(F.coalesce("s.attempt", F.lit(0)) / FULL_ATTEMPTS, F.lit(1.0)).alias("effort"),
@@ -159,9 +172,9 @@ def first_mastered(mastered: DataFrame, attempts: DataFrame, topics: DataFrame)
 
 def mastered_count(mastered: DataFrame) -> DataFrame:
     """student, step, mastered_topics after each step. Mastery may be lost, so changes are summed, not first times."""
-    change = F.col("mastered").cast("int") - F.lag(F.col("mastered").cast("int"), 1, 0).over(TOPIC)
+    change = F.col("mastered").cast("int") - F.lag(F.col("mastered").cast("int"), 1, 0).over(by_topic())
     return mastered.select("student", "step", "topic", change.alias("change")).select(
-        "student", "step", F.sum("change").over(STUDENT.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("mastered_topics")
+        "student", "step", F.sum("change").over(by_student().rowsBetween(W.unboundedPreceding, W.currentRow)).alias("mastered_topics")
     )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GAMMA, LAMBDA, BATCH = 0.99, 0.9, 20
-BY_STEP = W.partitionBy("student").orderBy("step")
+
+
+def by_step() -> WindowSpec:
+    return W.partitionBy("student").orderBy("step")
 
 
 def actions(topics: DataFrame, difficulties: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def _discounted(value: Column, rate: float, place: Column, window: W) -> Column:
 def returns(rows: DataFrame, reward: Column, gamma: float = GAMMA) -> DataFrame:
     """Discounted return from each step on, and standardised over the student's steps."""
     whole = W.partitionBy("student")
-    r = rows.select("student", "step", _discounted(reward, gamma, F.col("step"), BY_STEP).alias("ret"))
+    r = rows.select("student", "step", _discounted(reward, gamma, F.col("step"), by_step()).alias("ret"))
     return r.withColumn("standardised", (F.col("ret") - F.avg("ret").over(whole)) / (F.coalesce(F.stddev_samp("ret").over(whole), F.lit(0.0)) + 1e-8))
 
 
@@ -47,7 +50,7 @@ def dataset(rows: DataFrame, gamma: float = GAMMA, lam: float = LAMBDA) -> DataF
 
     Powers are taken of the place within the episode, so that long logs do not underflow.
     """
-    before = F.coalesce(F.sum(F.col("done").cast("int")).over(BY_STEP.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.col("done").cast("int")).over(by_step().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     e = rows.withColumn("episode", before)
     w = W.partitionBy("student", "episode").orderBy("step")
     following = F.when(F.col("done"), 0.0).otherwise(F.coalesce(F.lead("value").over(w), F.lit(0.0)))
@@ -61,5 +64,5 @@ def advantages(rows: DataFrame) -> DataFrame:
 
 def smoothed(attempts: DataFrame, size: int = 50) -> DataFrame:
     """Moving mean of the last ``size`` scores, full windows only."""
-    w = BY_STEP.rowsBetween(1 - size, W.currentRow)
+    w = by_step().rowsBetween(1 - size, W.currentRow)
     return attempts.select("student", "step", F.avg("score").over(w).alias("smoothed"), F.count("*").over(w).alias("n")).where(F.col("n") == size)

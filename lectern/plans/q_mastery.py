@@ -90,7 +90,7 @@ def w6(s: SparkSession, d: str) -> DataFrame:
 
 @query("w7_previous_topic", f"{A} SELECT student, step, topic, lag(topic) OVER (PARTITION BY student ORDER BY step) AS previous_topic FROM attempts")
 def w7(s: SparkSession, d: str) -> DataFrame:
-    return attempts(s, d).select("student", "step", "topic", F.lag("topic").over(m.STUDENT).alias("previous_topic"))
+    return attempts(s, d).select("student", "step", "topic", F.lag("topic").over(m.by_student()).alias("previous_topic"))
 
 
 @query("w8_state_features", f"""{AL}, {RUN}, {MASTERED},
@@ -123,7 +123,7 @@ def w11(s: SparkSession, d: str) -> DataFrame:
     key = F.col("k").cast("string")
     held = lambda w, n: F.collect_list(key).over(w.rowsBetween(-n, -1))
     joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
-    return attempts(s, d).select("student", "step", joined(held(m.STUDENT, 10)).alias("recent_keys"), joined(held(m.TOPIC, 5)).alias("topic_keys"))
+    return attempts(s, d).select("student", "step", joined(held(m.by_student(), 10)).alias("recent_keys"), joined(held(m.by_topic(), 5)).alias("topic_keys"))
 
 
 @query("w12_repeat_counter", f"{A} SELECT student, step, topic, d, q, row_number() OVER (PARTITION BY student, topic, d, q ORDER BY step) - 1 AS repeats FROM named")

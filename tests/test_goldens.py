@@ -144,7 +144,7 @@ def test_lsh_recall(spark, data):
 
 
 def test_no_python_in_relational_plans(spark, data):
-    from lectern.plans import q_corpus, q_mastery  # noqa: F401
+    from lectern.plans import q_corpus, q_grading, q_mastery, q_retrieval  # noqa: F401
     from lectern.registry import QUERIES
 
     for name in ("c7_mastery_replay", "w8_state_features", "f10_pack_sentences", "c1_corpus_build", "a12_bm25_scores", "c6_graded_answers"):
@@ -153,6 +153,7 @@ def test_no_python_in_relational_plans(spark, data):
 
 
 def test_rewards_and_levels_stay_in_bounds(spark, data):
+    from lectern.plans import q_grading  # noqa: F401
     from lectern.registry import QUERIES
 
     r = QUERIES["f23_recalibrate"](spark, data).agg(F.min("stretched"), F.max("stretched")).first()
