@@ -55,14 +55,14 @@ def page_consistent(rows: DataFrame) -> DataFrame:
     seen; pages without a known topic keep what they have."""
     page = ["file_name", "page_number"]
     votes = rows.where(t.known(F.col("topic"))).groupBy(*page, "topic").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    major = votes.groupBy(*page).agg(F.max_by("topic", F.struct("n", (-F.col("first")).alias("f"))).alias("major"))
+    major = votes.groupBy(*page).agg(F.min_by("topic", F.struct((-F.col("n")).alias("n"), "first", "topic")).alias("major"))
     return rows.join(major, page, "left").withColumn("topic", F.coalesce("major", "topic")).drop("major")
 
 
 def topic_difficulty(rows: DataFrame) -> DataFrame:
     """topic, level: the most frequent difficulty mapped to a level; ties to the first seen."""
     votes = rows.groupBy("topic", "difficulty").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    top = votes.groupBy("topic").agg(F.max_by("difficulty", F.struct("n", (-F.col("first")).alias("f"))).alias("difficulty"))
+    top = votes.groupBy("topic").agg(F.min_by("difficulty", F.struct((-F.col("n")).alias("n"), "first", "difficulty")).alias("difficulty"))
     return top.select("topic", F.when(F.col("difficulty") == "easy", "basic").when(F.col("difficulty") == "hard", "advanced").otherwise("intermediate").alias("level"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import corpus as c
-from ..registry import query
+from ..registry import query, rounded
 from .views import chunk_meta, sections, table, with_views
 
 CM = with_views("chunk_meta")

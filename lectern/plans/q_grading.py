@@ -13,7 +13,7 @@ from ..operators import mastery as m
 from ..operators import recommend as rec
 from ..operators import retrieval as r
 from ..operators.corpus import keep_first
-from ..registry import query
+from ..registry import query, rounded
 from .views import attempts, chunk_meta, courses, judged, literal_table, pick, prereqs, qa, table, topic_levels, vectors, with_views
 
 CM, CO, QA, JU = with_views("chunk_meta"), with_views("courses"), with_views("qa"), with_views("attempts", "judged")
@@ -88,7 +88,7 @@ def p12(s: SparkSession, d: str) -> DataFrame:
 
 @query("p14_flat_projection", f"{CM} SELECT doc_id AS id, topic, subtopic, file_name, page_number, round((doc_id % 77) / 77.0::DOUBLE, 4) AS similarity_score, 'multi_query' AS retrieval_source FROM chunk_meta")
 def p14(s: SparkSession, d: str) -> DataFrame:
-    return chunk_meta(s, d).select(F.col("doc_id").alias("id"), "topic", "subtopic", "file_name", "page_number", F.round((F.col("doc_id") % 77) / 77.0, 4).alias("similarity_score"), F.lit("multi_query").alias("retrieval_source"))
+    return chunk_meta(s, d).select(F.col("doc_id").alias("id"), "topic", "subtopic", "file_name", "page_number", rounded((F.col("doc_id") % 77) / 77.0, 4).alias("similarity_score"), F.lit("multi_query").alias("retrieval_source"))
 
 
 # --- joins and enrichment ------------------------------------------------------------------------------------
@@ -178,7 +178,7 @@ def a5(s: SparkSession, d: str) -> DataFrame:
     return enrich.subtopics(chunk_meta(s, d)).select("topic", F.array_join("subtopics", ",").alias("subtopics"))
 
 
-MAJOR = f"""v AS (SELECT file_name, page_number, topic, count(*) AS n, min(doc_id) AS f FROM cmx WHERE {KNOWN} GROUP BY ALL), mj AS (SELECT file_name, page_number, first(topic ORDER BY n DESC, f) AS major FROM v GROUP BY ALL)"""
+MAJOR = f"""v AS (SELECT file_name, page_number, topic, count(*) AS n, min(doc_id) AS f FROM cmx WHERE {KNOWN} GROUP BY ALL), mj AS (SELECT file_name, page_number, first(topic ORDER BY n DESC, f, topic) AS major FROM v GROUP BY ALL)"""
 CMX = "cmx AS (SELECT doc_id, doc_id % 5 AS page_number, 'f' || (doc_id % 7) AS file_name, topic, difficulty FROM chunk_meta)"
 
 
@@ -191,13 +191,13 @@ def a6(s: SparkSession, d: str) -> DataFrame:
     return enrich.page_consistent(_cmx(s, d)).select("doc_id", "topic")
 
 
-@query("a6_majority_at_scale", "WITH v AS (SELECT l_orderkey % 100 AS file_name, l_suppkey % 10 AS page_number, l_returnflag AS topic, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL) SELECT file_name, page_number, first(topic ORDER BY n DESC, f) AS topic FROM v GROUP BY ALL")
+@query("a6_majority_at_scale", "WITH v AS (SELECT l_orderkey % 100 AS file_name, l_suppkey % 10 AS page_number, l_returnflag AS topic, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL) SELECT file_name, page_number, first(topic ORDER BY n DESC, f, topic) AS topic FROM v GROUP BY ALL")
 def a6_scale(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "lineitem").select((F.col("l_orderkey") % 100).alias("file_name"), (F.col("l_suppkey") % 10).alias("page_number"), F.col("l_returnflag").alias("topic"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"))
     return enrich.page_consistent(rows).select("file_name", "page_number", "topic").distinct()
 
 
-@query("a7_topic_difficulty", f"{CM}, v AS (SELECT topic, difficulty, count(*) AS n, min(doc_id) AS f FROM chunk_meta GROUP BY ALL) SELECT topic, CASE first(difficulty ORDER BY n DESC, f) WHEN 'easy' THEN 'basic' WHEN 'hard' THEN 'advanced' ELSE 'intermediate' END AS level FROM v GROUP BY topic")
+@query("a7_topic_difficulty", f"{CM}, v AS (SELECT topic, difficulty, count(*) AS n, min(doc_id) AS f FROM chunk_meta GROUP BY ALL) SELECT topic, CASE first(difficulty ORDER BY n DESC, f, difficulty) WHEN 'easy' THEN 'basic' WHEN 'hard' THEN 'advanced' ELSE 'intermediate' END AS level FROM v GROUP BY topic")
 def a7(s: SparkSession, d: str) -> DataFrame:
     return enrich.topic_difficulty(chunk_meta(s, d))
 
@@ -304,12 +304,12 @@ ex AS (SELECT conv_id, turn, unnest(r) AS w, len(r) AS n, a FROM rw), fr AS (SEL
 def a36(s: SparkSession, d: str) -> DataFrame:
     words = qa(s, d).select("conv_id", "turn", t.content_words(F.col("reference"), 2).alias("r"))
     x = words.select("conv_id", "turn", F.size("r").alias("total"), F.explode("r").alias("word")).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"), F.max("total").alias("total"))
-    return x.select("conv_id", "turn", "word", "n", F.round(F.log(F.col("total") / F.col("n") + 1), 6).alias("weight"))
+    return x.select("conv_id", "turn", "word", "n", rounded(F.log(F.col("total") / F.col("n") + 1), 6).alias("weight"))
 
 
 @query("f19_keyword_coverage", f"{QA}, {FREQ} SELECT q.conv_id, q.turn, round(coalesce(sum(weight) FILTER (has) / sum(weight), 0), 6) AS keyword FROM qa q LEFT JOIN fr USING (conv_id, turn) GROUP BY ALL")
 def f19(s: SparkSession, d: str) -> DataFrame:
-    return qa(s, d).select("conv_id", "turn", F.round(g.coverage(t.content_words(F.col("answer")), t.content_words(F.col("reference"), 2)), 6).alias("keyword"))
+    return qa(s, d).select("conv_id", "turn", rounded(g.coverage(t.content_words(F.col("answer")), t.content_words(F.col("reference"), 2)), 6).alias("keyword"))
 
 
 @query("f20_entailment", f"""{QA}, x AS (SELECT conv_id, turn, {pre_sql('answer')} AS a, list_distinct({CW.format(pre_sql('reference'))}) AS r FROM qa),
@@ -323,7 +323,7 @@ def f20(s: SparkSession, d: str) -> DataFrame:
 
 @query("f21_completeness")
 def f21(s: SparkSession, d: str) -> DataFrame:
-    return qa(s, d).select("conv_id", "turn", F.round(g.completeness(t.tokens(t.preprocess(F.col("answer"))), F.col("reference")), 6).alias("completeness"))
+    return qa(s, d).select("conv_id", "turn", rounded(g.completeness(t.tokens(t.preprocess(F.col("answer"))), F.col("reference")), 6).alias("completeness"))
 
 
 @query("f22_length_factor", f"{QA}, x AS (SELECT conv_id, turn, len({words_sql('answer')})::DOUBLE / nullif(len({words_sql('reference')}), 0) AS ratio FROM qa) SELECT conv_id, turn, CASE WHEN ratio IS NULL OR ratio >= 0.4 THEN 1.0 WHEN ratio >= 0.25 THEN 0.85 WHEN ratio >= 0.15 THEN 0.7 ELSE 0.55 END::DOUBLE AS length_factor FROM x")
@@ -333,14 +333,14 @@ def f22(s: SparkSession, d: str) -> DataFrame:
 
 @query("f23_recalibrate", f"{with_views('attempts')} SELECT student, step, round(greatest(0.0, least(1.0, (score - 0.2) / 0.6)), 6) AS stretched FROM attempts")
 def f23(s: SparkSession, d: str) -> DataFrame:
-    return attempts(s, d).select("student", "step", F.round(g.recalibrate(F.col("score"), 0.2, 0.8), 6).alias("stretched"))
+    return attempts(s, d).select("student", "step", rounded(g.recalibrate(F.col("score"), 0.2, 0.8), 6).alias("stretched"))
 
 
 @query("f24_weighted_score", f"""{QA}, x AS (SELECT conv_id, turn, question_type, (turn % 7) / 7.0::DOUBLE AS s, (turn % 5) / 5.0::DOUBLE AS k, (turn % 3) / 3.0::DOUBLE AS n, (turn % 2) / 2.0::DOUBLE AS c FROM qa)
 SELECT conv_id, turn, round(CASE question_type WHEN 'factual' THEN 0.45 * s + 0.30 * k + 0.10 * n + 0.15 * c WHEN 'inferential' THEN 0.35 * s + 0.20 * k + 0.15 * n + 0.30 * c ELSE 0.25 * s + 0.15 * k + 0.20 * n + 0.40 * c END, 6) AS score FROM x""")
 def f24(s: SparkSession, d: str) -> DataFrame:
     part = lambda n: (F.col("turn") % n) / float(n)
-    return qa(s, d).select("conv_id", "turn", F.round(g.weighted(F.col("question_type"), [part(7), part(5), part(3), part(2)]), 6).alias("score"))
+    return qa(s, d).select("conv_id", "turn", rounded(g.weighted(F.col("question_type"), [part(7), part(5), part(3), part(2)]), 6).alias("score"))
 
 
 @query("f25_question_copy", f"{QA}, x AS (SELECT conv_id, turn, list_distinct({words_sql('lower(answer)')}) AS a, list_distinct({words_sql('lower(question)')}) AS q FROM qa) SELECT conv_id, turn, len(list_intersect(a, q)) / greatest(len(q), 1)::DOUBLE > 0.8 AS copied FROM x")
@@ -367,7 +367,7 @@ def f27(s: SparkSession, d: str) -> DataFrame:
 @query("c6_graded_answers")
 def c6(s: SparkSession, d: str) -> DataFrame:
     out = g.grade(qa(s, d))
-    return out.select("conv_id", "turn", "question_type", *[F.round(c, 3).alias(c) for c in ("semantic", "keyword", "nli", "completeness", "length_factor", "final")], "error_type", "feedback")
+    return out.select("conv_id", "turn", "question_type", *[rounded(c, 3).alias(c) for c in ("semantic", "keyword", "nli", "completeness", "length_factor", "final")], "error_type", "feedback")
 
 
 # --- reviews -------------------------------------------------------------------------------------------------
@@ -381,12 +381,12 @@ def _rv(s: SparkSession, d: str) -> DataFrame:
 
 @query("f41_review_columns", f"{RV} SELECT student, step, round(judge, 6) AS judge, round(gap, 6) AS gap, round(agreement, 6) AS agreement, round(coalesce((judge + system_score) / 2, -1), 6) AS mean_or_missing FROM rv")
 def f41(s: SparkSession, d: str) -> DataFrame:
-    return _rv(s, d).select("student", "step", *[F.round(c, 6).alias(c) for c in ("judge", "gap", "agreement")], F.round(F.coalesce((F.col("judge") + F.col("system_score")) / 2, F.lit(-1.0)), 6).alias("mean_or_missing"))
+    return _rv(s, d).select("student", "step", *[rounded(c, 6).alias(c) for c in ("judge", "gap", "agreement")], rounded(F.coalesce((F.col("judge") + F.col("system_score")) / 2, F.lit(-1.0)), 6).alias("mean_or_missing"))
 
 
 @query("a24_quality_means", f"{RV} SELECT CASE WHEN grouping(difficulty) = 0 THEN 'difficulty' WHEN grouping(question_type) = 0 THEN 'question_type' ELSE 'all' END AS section, coalesce(difficulty, question_type, '') AS key, count(judge) AS n, round(avg(judge), 6) AS mean_judge FROM rv GROUP BY GROUPING SETS ((), (difficulty), (question_type))")
 def a24(s: SparkSession, d: str) -> DataFrame:
-    return reports.by_sections(_rv(s, d), ["difficulty", "question_type"], [F.count("judge").alias("n"), F.round(F.avg("judge"), 6).alias("mean_judge")])
+    return reports.by_sections(_rv(s, d), ["difficulty", "question_type"], [F.count("judge").alias("n"), rounded(F.avg("judge"), 6).alias("mean_judge")])
 
 
 AUDIT = """count(*) AS n, round(avg(judge), 6) AS mean_judge, round(avg(CASE WHEN judge IS NOT NULL THEN system_score END), 6) AS mean_system, round(avg(gap), 6) AS mean_gap, round(avg(agreement), 6) AS mean_agreement,
@@ -396,26 +396,26 @@ round(CASE WHEN count(judge) > 1 THEN corr(judge, system_score) END, 6) AS corre
 @query("a25_score_audit", f"{RV} SELECT student_type, {AUDIT} FROM rv GROUP BY student_type")
 def a25(s: SparkSession, d: str) -> DataFrame:
     out = _rv(s, d).groupBy("student_type").agg(*reports.audit(_rv(s, d)))
-    return out.select("student_type", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+    return out.select("student_type", "n", *[rounded(c, 6).alias(c) for c in out.columns[2:]])
 
 
 @query("a26_multihop", f"{RV} SELECT question_type, round(avg(hop_depth), 6) AS mean_depth, round(100 * avg((hop_depth >= 4)::INT), 6) AS deep_pct FROM rv WHERE hop_depth > 0 GROUP BY question_type")
 def a26(s: SparkSession, d: str) -> DataFrame:
-    return _rv(s, d).where("hop_depth > 0").groupBy("question_type").agg(F.round(F.avg("hop_depth"), 6).alias("mean_depth"), F.round(100 * F.avg((F.col("hop_depth") >= 4).cast("int")), 6).alias("deep_pct"))
+    return _rv(s, d).where("hop_depth > 0").groupBy("question_type").agg(rounded(F.avg("hop_depth"), 6).alias("mean_depth"), rounded(100 * F.avg((F.col("hop_depth") >= 4).cast("int")), 6).alias("deep_pct"))
 
 
 @query("a27_student_comparison", f"{RV} SELECT student_type, count(*) AS n, round(100.0 * count(*) FILTER (difficulty = 'advanced') / count(*), 6) AS advanced_pct, round(100.0 * count(*) FILTER (question_type = 'evaluative') / count(*), 6) AS evaluative_pct, round(avg(system_score), 6) AS mean_score, count(DISTINCT student) AS students FROM rv GROUP BY student_type")
 def a27(s: SparkSession, d: str) -> DataFrame:
-    pct = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 6)
+    pct = lambda c: rounded(100.0 * F.count_if(c) / F.count("*"), 6)
     return _rv(s, d).groupBy("student_type").agg(
         F.count("*").alias("n"), pct(F.col("difficulty") == "advanced").alias("advanced_pct"), pct(F.col("question_type") == "evaluative").alias("evaluative_pct"),
-        F.round(F.avg("system_score"), 6).alias("mean_score"), F.count_distinct("student").alias("students"),
+        rounded(F.avg("system_score"), 6).alias("mean_score"), F.count_distinct("student").alias("students"),
     )
 
 
 @query("a28_session_digest", f"{RV}, x AS (SELECT difficulty AS value, count(*) AS n FROM rv GROUP BY difficulty) SELECT value, n, round(100.0 * n / (SELECT count(*) FROM rv), 6) AS pct FROM x")
 def a28(s: SparkSession, d: str) -> DataFrame:
-    return reports.digest(_rv(s, d), "difficulty").select("value", "n", F.round("pct", 6).alias("pct"))
+    return reports.digest(_rv(s, d), "difficulty").select("value", "n", rounded("pct", 6).alias("pct"))
 
 
 @query("o4_top_topics", f"{with_views('attempts')}, x AS (SELECT topic, count(*) AS n FROM attempts GROUP BY topic) SELECT topic, n, row_number() OVER (ORDER BY n DESC, topic) AS place FROM x ORDER BY n DESC, topic LIMIT 5")
@@ -429,7 +429,7 @@ UNION ALL SELECT 'audit', student_type::VARCHAR, 'correlation', round(corr(judge
 UNION ALL SELECT 'students', student_type::VARCHAR, 'mean_score', round(avg(system_score), 6) FROM rv GROUP BY student_type""")
 def c9(s: SparkSession, d: str) -> DataFrame:
     rv = _rv(s, d)
-    long = lambda df, section, key, metric: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.lit(metric).alias("metric"), F.round(metric, 6).alias("value"))
+    long = lambda df, section, key, metric: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.lit(metric).alias("metric"), rounded(metric, 6).alias("value"))
     by = rv.groupBy("student_type").agg(F.avg("gap").alias("mean_gap"), F.corr("judge", "system_score").alias("correlation"), F.avg("system_score").alias("mean_score"))
     return (
         long(rv.groupBy("difficulty").agg(F.avg("judge").alias("mean_judge")), "quality", "difficulty", "mean_judge")
@@ -461,7 +461,7 @@ def c8(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("c2_enrichment", f"""{CM}, {CMX}, cn AS (SELECT c.doc_id, c.file_name, c.page_number, coalesce(canonical, CASE WHEN {KNOWN} THEN topic ELSE 'Unknown' END) AS topic FROM cmx c LEFT JOIN canon ON lower(topic) = lower(raw)), v AS (SELECT file_name, page_number, topic, count(*) AS n, min(doc_id) AS f FROM cn WHERE {KNOWN} GROUP BY ALL),
-mj AS (SELECT file_name, page_number, first(topic ORDER BY n DESC, f) AS major FROM v GROUP BY ALL) SELECT doc_id, coalesce(major, topic) AS topic FROM cn LEFT JOIN mj USING (file_name, page_number)""".replace(f"{CM},", f"{CM}, {CANON_SQL},"))
+mj AS (SELECT file_name, page_number, first(topic ORDER BY n DESC, f, topic) AS major FROM v GROUP BY ALL) SELECT doc_id, coalesce(major, topic) AS topic FROM cn LEFT JOIN mj USING (file_name, page_number)""".replace(f"{CM},", f"{CM}, {CANON_SQL},"))
 def c2(s: SparkSession, d: str) -> DataFrame:
     rows = _cmx(s, d).withColumn("section", F.when(t.known(F.col("topic")), F.col("topic")).otherwise("Unknown"))
     named = enrich.canonical(rows, literal_table(s, CANON, "raw string, canonical string"))
@@ -481,7 +481,7 @@ def c5(s: SparkSession, d: str) -> DataFrame:
     return parts.select("request_id", "topic", "subtopic", "doc_id", hops.alias("hops"), (t.contains_count(F.col("text"), t.CODE_SIGNALS) >= 3).alias("has_code"), F.length(body).alias("context_chars"), F.md5(body).alias("context_md5"))
 
 
-@query("c11_curriculum", f"""{CM}, v AS (SELECT topic, difficulty, count(*) AS n, min(doc_id) AS f FROM chunk_meta WHERE {KNOWN} GROUP BY ALL), lv AS (SELECT topic, CASE first(difficulty ORDER BY n DESC, f) WHEN 'easy' THEN 'basic' WHEN 'hard' THEN 'advanced' ELSE 'intermediate' END AS level FROM v GROUP BY topic),
+@query("c11_curriculum", f"""{CM}, v AS (SELECT topic, difficulty, count(*) AS n, min(doc_id) AS f FROM chunk_meta WHERE {KNOWN} GROUP BY ALL), lv AS (SELECT topic, CASE first(difficulty ORDER BY n DESC, f, difficulty) WHEN 'easy' THEN 'basic' WHEN 'hard' THEN 'advanced' ELSE 'intermediate' END AS level FROM v GROUP BY topic),
 sb AS (SELECT topic, count(DISTINCT subtopic) AS subtopics FROM chunk_meta WHERE {KNOWN} GROUP BY topic) SELECT topic, level, subtopics FROM lv JOIN sb USING (topic)""")
 def c11(s: SparkSession, d: str) -> DataFrame:
     cm = chunk_meta(s, d).where(t.known(F.col("topic")))

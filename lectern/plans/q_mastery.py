@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mastery as m
 from ..operators import reports, trajectory
-from ..registry import query
+from ..registry import query, rounded
 from .views import LEVELS, QUESTION_TYPES, attempts, named, prereqs, topic_levels, with_views
 
 A = with_views("attempts")
@@ -39,7 +39,7 @@ UNDERSTOOD = f"understood AS (SELECT *, attempts >= 3 AND mean >= {SUFF} AS unde
 
 
 def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [rounded(n, 6).alias(n) for n in names]
 
 
 def _replayed(s: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def _mastered(s: SparkSession, d: str) -> DataFrame:
 SELECT student, count(*) AS topics, sum(attempts)::BIGINT AS attempts, round(avg(mean), 6) AS mean_score, count(*) FILTER (mean < 0.5) AS weak_topics FROM st GROUP BY ALL""")
 def session_report(s: SparkSession, d: str) -> DataFrame:
     st = attempts(s, d).groupBy("student", "topic").agg(F.count("*").alias("attempts"), F.avg("score").alias("mean"))
-    return st.groupBy("student").agg(F.count("*").alias("topics"), F.sum("attempts").alias("attempts"), F.round(F.avg("mean"), 6).alias("mean_score"), F.count_if(F.col("mean") < 0.5).alias("weak_topics"))
+    return st.groupBy("student").agg(F.count("*").alias("topics"), F.sum("attempts").alias("attempts"), rounded(F.avg("mean"), 6).alias("mean_score"), F.count_if(F.col("mean") < 0.5).alias("weak_topics"))
 
 
 @query("w1_running_mean", f"{A}, {RUN} SELECT student, step, topic, round(running_mean, 6) AS running_mean FROM run")
@@ -64,7 +64,7 @@ def w1(s: SparkSession, d: str) -> DataFrame:
 
 @query("w2_attempts_so_far", f"{A}, {RUN} SELECT student, step, topic, attempt, round(least(attempt / 50.0::DOUBLE, 1.0), 6) AS effort FROM run")
 def w2(s: SparkSession, d: str) -> DataFrame:
-    return _replayed(s, d).select("student", "step", "topic", "attempt", F.round(F.least(F.col("attempt") / m.FULL_ATTEMPTS, F.lit(1.0)), 6).alias("effort"))
+    return _replayed(s, d).select("student", "step", "topic", "attempt", rounded(F.least(F.col("attempt") / m.FULL_ATTEMPTS, F.lit(1.0)), 6).alias("effort"))
 
 
 @query("w3_trend", f"{A}, {RUN} SELECT student, step, topic, round(trend, 6) AS trend FROM trended")
@@ -74,7 +74,7 @@ def w3(s: SparkSession, d: str) -> DataFrame:
 
 @query("w4_improvement", f"{A}, {RUN} SELECT student, step, topic, round(score - previous_score, 6) AS over_last, round(score - previous_mean, 6) AS over_mean FROM run")
 def w4(s: SparkSession, d: str) -> DataFrame:
-    return _replayed(s, d).select("student", "step", "topic", F.round(F.col("score") - F.col("previous_score"), 6).alias("over_last"), F.round(F.col("score") - F.col("previous_mean"), 6).alias("over_mean"))
+    return _replayed(s, d).select("student", "step", "topic", rounded(F.col("score") - F.col("previous_score"), 6).alias("over_last"), rounded(F.col("score") - F.col("previous_mean"), 6).alias("over_mean"))
 
 
 @query("w5_advancement", f"{A}, {RUN} SELECT student, step, topic, top_d, top_q, top_d > before_d OR top_q > before_q AS advanced FROM run")
@@ -140,7 +140,7 @@ def w16(s: SparkSession, d: str) -> DataFrame:
 @query("w17_discounted_returns", f"""{A}, g AS (SELECT student, step, sum(score * pow(0.99, step)) OVER (PARTITION BY student ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow(0.99, step) AS ret FROM attempts)
 SELECT student, step, round(ret, 5) AS ret, round((ret - avg(ret) OVER p) / (coalesce(stddev_samp(ret) OVER p, 0) + 1e-8), 4) AS standardised FROM g WINDOW p AS (PARTITION BY student)""")
 def w17(s: SparkSession, d: str) -> DataFrame:
-    return trajectory.returns(attempts(s, d), F.col("score")).select("student", "step", F.round("ret", 5).alias("ret"), F.round("standardised", 4).alias("standardised"))
+    return trajectory.returns(attempts(s, d), F.col("score")).select("student", "step", rounded("ret", 5).alias("ret"), rounded("standardised", 4).alias("standardised"))
 
 
 @query("w18_advantages", f"""{A}, {RUN}, e AS (SELECT student, step, score AS r, previous_mean AS v, step % 50 = 0 AS done, (step - 1) // 50 AS ep FROM run),
@@ -148,7 +148,7 @@ dl AS (SELECT *, r + 0.99 * coalesce(lead(v) OVER (PARTITION BY student, ep ORDE
 SELECT student, step, round(sum(delta * pow(0.891, i)) OVER (PARTITION BY student, ep ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow(0.891, i), 5) AS advantage FROM dl""")
 def w18(s: SparkSession, d: str) -> DataFrame:
     t = _replayed(s, d).select("student", "step", F.col("score").alias("reward"), F.col("previous_mean").alias("value"), (F.col("step") % 50 == 0).alias("done"))
-    return trajectory.advantages(t).select("student", "step", F.round("advantage", 5).alias("advantage"))
+    return trajectory.advantages(t).select("student", "step", rounded("advantage", 5).alias("advantage"))
 
 
 @query("w19_smoothed_scores", f"""{A} SELECT student, step, round(m, 6) AS smoothed FROM (SELECT student, step, avg(score) OVER w AS m, count(*) OVER w AS n FROM attempts WINDOW w AS (PARTITION BY student ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) WHERE n = 50""")
@@ -164,7 +164,7 @@ def w20(s: SparkSession, d: str) -> DataFrame:
 
 @query("a14_topic_means", f"{A} SELECT student, topic, count(*) AS attempts, round(avg(score), 6) AS mean FROM attempts GROUP BY ALL")
 def a14(s: SparkSession, d: str) -> DataFrame:
-    return attempts(s, d).groupBy("student", "topic").agg(F.count("*").alias("attempts"), F.round(F.avg("score"), 6).alias("mean"))
+    return attempts(s, d).groupBy("student", "topic").agg(F.count("*").alias("attempts"), rounded(F.avg("score"), 6).alias("mean"))
 
 
 @query("a15_combination_means", f"{A} SELECT student, topic, d, q, round(avg(score), 6) AS mean, count(*) AS n FROM named GROUP BY ALL")
@@ -199,13 +199,13 @@ def a19(s: SparkSession, d: str) -> DataFrame:
 @query("a20_session_summary", f"""{A} SELECT CASE WHEN grouping(difficulty) = 0 THEN 'difficulty' WHEN grouping(question_type) = 0 THEN 'question_type' WHEN grouping(topic) = 0 THEN 'topic' ELSE 'all' END AS section,
 coalesce(difficulty, question_type, topic, '') AS key, count(*) AS n, round(avg(score), 6) AS mean_score FROM named GROUP BY GROUPING SETS ((), (difficulty), (question_type), (topic))""")
 def a20(s: SparkSession, d: str) -> DataFrame:
-    return reports.by_sections(named(attempts(s, d)), ["difficulty", "question_type", "topic"], [F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score")])
+    return reports.by_sections(named(attempts(s, d)), ["difficulty", "question_type", "topic"], [F.count("*").alias("n"), rounded(F.avg("score"), 6).alias("mean_score")])
 
 
 @query("a21_last_rows", f"""{A} SELECT student, topic, max(step) AS step, round(max_by(score, step), 6) AS last_score, round(max_by(CASE WHEN k % 20 <> 0 THEN score END, CASE WHEN k % 20 <> 0 THEN step END), 6) AS last_known FROM named GROUP BY ALL""")
 def a21(s: SparkSession, d: str) -> DataFrame:
     a = attempts(s, d).withColumn("known", F.when(F.col("k") % 20 != 0, F.col("score")))
-    return reports.last_rows(a, ["student", "topic"], "step", ["score"], ["known"]).select("student", "topic", "step", F.round("score", 6).alias("last_score"), F.round("known", 6).alias("last_known"))
+    return reports.last_rows(a, ["student", "topic"], "step", ["score"], ["known"]).select("student", "topic", "step", rounded("score", 6).alias("last_score"), rounded("known", 6).alias("last_known"))
 
 
 @query("a22_log_report", f"""{ALP}, t AS (SELECT student, topic, step, coalesce(TRY_CAST(CASE WHEN k % 10 = 0 THEN 'n/a' ELSE score::VARCHAR END AS DOUBLE), 0.0) AS score, upper(trim(CASE WHEN k % 2 = 0 THEN ' true' ELSE 'False' END)) = 'TRUE' AS flag FROM attempts)
@@ -240,7 +240,7 @@ def a30(s: SparkSession, d: str) -> DataFrame:
 
 @query("a31_learning_curve", f"{A} SELECT step, count(*) AS students, round(avg(score), 6) AS mean FROM attempts GROUP BY ALL")
 def a31(s: SparkSession, d: str) -> DataFrame:
-    return attempts(s, d).groupBy("step").agg(F.count("*").alias("students"), F.round(F.avg("score"), 6).alias("mean"))
+    return attempts(s, d).groupBy("step").agg(F.count("*").alias("students"), rounded(F.avg("score"), 6).alias("mean"))
 
 
 @query("j11_prerequisites_met", f"{ALP}, {RUN}, {STATE}, {UNDERSTOOD}, {MET} SELECT student, topic, met FROM met")
@@ -274,7 +274,7 @@ round(score - previous_mean - CASE WHEN score < 0.3 AND attempt > 3 THEN 0.2 ELS
 + 0.1 * CASE WHEN top_d > before_d OR top_q > before_q THEN 0.2 ELSE 0 END - 0.5 * mastered::INT, 5) AS shaped, round(0.6 * (score - running_mean) + 0.4 * n / 5, 6) AS gain FROM mast JOIN mc USING (student, step)""")
 def f34(s: SparkSession, d: str) -> DataFrame:
     r = m.gain_rewards(m.shaped_rewards(_mastered(s, d)), 5)
-    return r.select("student", "step", F.round(m.simple_reward(F.col("score"), F.col("previous_score"), F.col("d")), 6).alias("simple"), F.round("shaped", 5).alias("shaped"), F.round("gain_reward", 6).alias("gain"))
+    return r.select("student", "step", rounded(m.simple_reward(F.col("score"), F.col("previous_score"), F.col("d")), 6).alias("simple"), rounded("shaped", 5).alias("shaped"), rounded("gain_reward", 6).alias("gain"))
 
 
 @query("f36_level_ladder")
@@ -286,7 +286,7 @@ def f36(s: SparkSession, d: str) -> DataFrame:
 @query("o7_report_order", f"{A} SELECT topic, round(avg(score), 6) AS mean, row_number() OVER (ORDER BY avg(score) DESC, topic) AS place FROM attempts GROUP BY topic")
 def o7(s: SparkSession, d: str) -> DataFrame:
     t = attempts(s, d).groupBy("topic").agg(F.avg("score").alias("mean"))
-    return t.select("topic", F.round("mean", 6).alias("mean"), F.row_number().over(W.orderBy(F.desc("mean"), "topic")).alias("place"))  # a row per topic
+    return t.select("topic", rounded("mean", 6).alias("mean"), F.row_number().over(W.orderBy(F.desc("mean"), "topic")).alias("place"))  # a row per topic
 
 
 @query("c7_mastery_replay", f"""{AL}, {RUN}, {MASTERED}, ch AS (SELECT student, step, mastered::INT - coalesce(lag(mastered::INT) OVER (PARTITION BY student, topic ORDER BY step), 0) AS c FROM mast),
@@ -305,4 +305,4 @@ FROM dl WINDOW f AS (PARTITION BY student, ep ORDER BY step ROWS BETWEEN CURRENT
 def c10(s: SparkSession, d: str) -> DataFrame:
     a = named(attempts(s, d))
     t = trajectory.encoded(m.replay(a), _actions(s)).withColumn("reward", m.simple_reward(F.col("score"), F.col("previous_score"), F.col("d"))).withColumn("value", F.col("previous_mean")).withColumn("done", F.col("step") % 50 == 0)
-    return trajectory.dataset(t).select("student", "step", "action_id", *r6("reward", "value"), F.round("advantage", 5).alias("advantage"), F.round("ret", 5).alias("ret"))
+    return trajectory.dataset(t).select("student", "step", "action_id", *r6("reward", "value"), rounded("advantage", 5).alias("advantage"), rounded("ret", 5).alias("ret"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval as r
-from ..registry import query
+from ..registry import query, rounded
 from .views import chunk_meta, literal_table, table, vectors, with_views
 
 CM = with_views("chunk_meta")
@@ -39,35 +39,35 @@ def _sim(s: SparkSession, d: str) -> DataFrame:
 
 @query("a11_bm25_statistics", f"WITH {POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def a11(s: SparkSession, d: str) -> DataFrame:
-    return r.term_weights(r.postings(docs(s, d)), r.bm25_statistics(docs(s, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return r.term_weights(r.postings(docs(s, d)), r.bm25_statistics(docs(s, d))).select("term", "df", rounded("idf", 6).alias("idf"))
 
 
 @query("a12_bm25_scores", f"WITH {Q_SQL}, {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
 def a12(s: SparkSession, d: str) -> DataFrame:
-    return r.bm25(docs(s, d), lit_queries(s)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return r.bm25(docs(s, d), lit_queries(s)).select("query_id", "doc_id", rounded("score", 6).alias("score"))
 
 
 @query("o2_bm25_top", f"WITH {Q_SQL}, {BM25} SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM bm) WHERE rank < 15")
 def o2(s: SparkSession, d: str) -> DataFrame:
-    return r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 15, [F.desc(F.round("score", 9)), F.asc("doc_id")]).select("query_id", "doc_id", "rank")
+    return r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 15, [F.desc(rounded("score", 9)), F.asc("doc_id")]).select("query_id", "doc_id", "rank")
 
 
 @query("j1_similarity_join", f"WITH {SIM} SELECT query_id, vec_id, round(score, 6) AS score FROM sim")
 def j1(s: SparkSession, d: str) -> DataFrame:
-    return _sim(s, d).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return _sim(s, d).select("query_id", "vec_id", rounded("score", 6).alias("score"))
 
 
 @query("f28_cosine", f"WITH {SIM} SELECT query_id, vec_id, round(score, 5) AS similarity, round(1 - score, 5) AS distance FROM sim")
 def f28(s: SparkSession, d: str) -> DataFrame:
     c = r.cosine(F.col("embedding"), F.col("query_vec"))
-    return _sim(s, d).select("query_id", "vec_id", F.round(c, 5).alias("similarity"), F.round(1 - c, 5).alias("distance"))
+    return _sim(s, d).select("query_id", "vec_id", rounded(c, 5).alias("similarity"), rounded(1 - c, 5).alias("distance"))
 
 
 TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)"
 
 
 def _order() -> list:
-    return [F.desc(F.round("score", 9)), F.asc("vec_id")]
+    return [F.desc(rounded("score", 9)), F.asc("vec_id")]
 
 
 @query("o1_vector_top", f"WITH {SIM} SELECT query_id, vec_id, rank FROM (SELECT *, {TOP} AS rank FROM sim) WHERE rank <= 5")
@@ -81,7 +81,7 @@ HYBRID = "0.7 * score + 0.3 * (CASE WHEN label = query_id % 10 THEN 1.0 ELSE 0.0
 @query("o3_overfetch", f"WITH {SIM}, f AS (SELECT * FROM (SELECT *, {TOP} AS r FROM sim) WHERE r <= 15), h AS (SELECT query_id, vec_id, round({HYBRID}, 6) AS score FROM f) SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM h) WHERE rank <= 5")
 def o3(s: SparkSession, d: str) -> DataFrame:
     wide = r.top_per_query(_sim(s, d), 15, _order(), start=1)
-    h = wide.withColumn("score", F.round(0.7 * F.col("score") + 0.3 * (F.col("topic") == F.col("query_id") % 10).cast("double"), 6))
+    h = wide.withColumn("score", rounded(0.7 * F.col("score") + 0.3 * (F.col("topic") == F.col("query_id") % 10).cast("double"), 6))
     return r.top_per_query(h.drop("rank"), 5, [F.desc("score"), F.asc("vec_id")], start=1).select("query_id", "vec_id", "score", "rank")
 
 
@@ -98,15 +98,15 @@ BMR = "bmr AS (SELECT query_id, doc_id AS key, row_number() OVER (PARTITION BY q
 SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.key, b.key) AS key, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS fused FROM a FULL JOIN b ON a.query_id = b.query_id AND a.key = b.key""")
 def j13(s: SparkSession, d: str) -> DataFrame:
     scored = r.bm25(docs(s, d), lit_queries(s)).withColumn("key", F.col("doc_id"))
-    a = r.top_per_query(scored, 30, [F.desc(F.round("score", 9)), F.asc("doc_id")])
+    a = r.top_per_query(scored, 30, [F.desc(rounded("score", 9)), F.asc("doc_id")])
     b = r.top_per_query(scored, 30, [F.asc("doc_id")])
-    return r.fuse(a, b).select("query_id", "key", F.round("fused", 6).alias("fused"))
+    return r.fuse(a, b).select("query_id", "key", rounded("fused", 6).alias("fused"))
 
 
 @query("a13_rrf_scores", f"WITH {Q_SQL}, {BM25}, {BMR} SELECT query_id, key, round(1.0 / (60 + rank), 6) AS fused FROM bmr WHERE rank < 15")
 def a13(s: SparkSession, d: str) -> DataFrame:
-    ranked = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 15, [F.desc(F.round("score", 9)), F.asc("doc_id")])
-    return r.fuse(ranked.withColumn("key", F.col("doc_id"))).select("query_id", "key", F.round("fused", 6).alias("fused"))
+    ranked = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 15, [F.desc(rounded("score", 9)), F.asc("doc_id")])
+    return r.fuse(ranked.withColumn("key", F.col("doc_id"))).select("query_id", "key", rounded("fused", 6).alias("fused"))
 
 
 @query("f30_bonuses", f"{CM} SELECT doc_id, CASE concept_type WHEN 'explanation' THEN 0.05 WHEN 'example' THEN 0.03 ELSE 0.0 END::DOUBLE AS concept_bonus, CASE difficulty WHEN 'hard' THEN 0.08 WHEN 'medium' THEN 0.03 ELSE 0.0 END::DOUBLE AS difficulty_bonus FROM chunk_meta")
@@ -140,7 +140,7 @@ SELECT doc_id, round(o, 6) AS overlap, round(0.7 * (doc_id % 10) / 10.0::DOUBLE
 def f29(s: SparkSession, d: str) -> DataFrame:
     words = F.split(F.concat_ws(" ", "topic", F.translate("subtopic", "/", " "), "concept_type"), " ")
     o = r.overlap(F.array(*[F.lit(w) for w in ("src1", "en", "example", "more")]), words)
-    return chunk_meta(s, d).select("doc_id", F.round(o, 6).alias("overlap"), F.round(0.7 * (F.col("doc_id") % 10) / 10.0 + 0.3 * o, 6).alias("hybrid"))
+    return chunk_meta(s, d).select("doc_id", rounded(o, 6).alias("overlap"), rounded(0.7 * (F.col("doc_id") % 10) / 10.0 + 0.3 * o, 6).alias("hybrid"))
 
 
 @query("f33_sparse_expansion", f"""{CM}, n AS (SELECT topic, count(*) AS c FROM chunk_meta GROUP BY topic), tp AS (SELECT DISTINCT topic FROM chunk_meta), pr(topic, more) AS (VALUES ('src1', 'src2'), ('src3', 'src5'))
@@ -154,22 +154,22 @@ def f33(s: SparkSession, d: str) -> DataFrame:
 
 @query("o5_rerank")
 def o5(s: SparkSession, d: str) -> DataFrame:
-    found = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 20, [F.desc(F.round("score", 9)), F.asc("doc_id")]).join(docs(s, d), "doc_id").join(lit_queries(s), "query_id")
+    found = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 20, [F.desc(rounded("score", 9)), F.asc("doc_id")]).join(docs(s, d), "doc_id").join(lit_queries(s), "query_id")
     score = r.overlap(t.tokens(F.lower("query")), t.tokens(F.lower("text")))
-    return r.rerank(found, score, 5, [F.asc("rank")]).select("query_id", "doc_id", "place", F.round("rerank_score", 6).alias("rerank_score"))
+    return r.rerank(found, score, 5, [F.asc("rank")]).select("query_id", "doc_id", "place", rounded("rerank_score", 6).alias("rerank_score"))
 
 
 @query("a32_retrieval_metrics", f"""WITH {Q_SQL}, {BM25}, {BMR}, x AS (SELECT b.query_id, rank + 1 AS rank, contains(lower(d.text), string_split(q.query, ' ')[3]) AS hit FROM bmr b JOIN documents d ON d.doc_id = b.key JOIN q USING (query_id) WHERE rank < 10),
 p AS (SELECT query_id, max(CASE WHEN rank <= 5 AND hit THEN 1.0 ELSE 0.0 END) AS recall, coalesce(max(CASE WHEN hit THEN 1.0 / rank END), 0) AS rr FROM x GROUP BY query_id) SELECT round(avg(recall), 6) AS recall_at_5, round(avg(rr), 6) AS mrr, count(*) AS queries FROM p""")
 def a32(s: SparkSession, d: str) -> DataFrame:
-    found = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 10, [F.desc(F.round("score", 9)), F.asc("doc_id")], start=1).join(docs(s, d), "doc_id")
+    found = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 10, [F.desc(rounded("score", 9)), F.asc("doc_id")], start=1).join(docs(s, d), "doc_id")
     x = found.join(lit_queries(s).select("query_id", F.get(F.split("query", " "), F.lit(2)).alias("keyword")), "query_id")
-    return r.recall_and_rank(x).agg(F.round(F.avg("recall"), 6).alias("recall_at_5"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.count("*").alias("queries"))
+    return r.recall_and_rank(x).agg(rounded(F.avg("recall"), 6).alias("recall_at_5"), rounded(F.avg("reciprocal_rank"), 6).alias("mrr"), F.count("*").alias("queries"))
 
 
 @query("a33_best_course_scores", f"WITH {SIM} SELECT vec_id, round(max(score), 6) AS best FROM sim GROUP BY vec_id")
 def a33(s: SparkSession, d: str) -> DataFrame:
-    return _sim(s, d).groupBy("vec_id").agg(F.round(F.max("score"), 6).alias("best"))
+    return _sim(s, d).groupBy("vec_id").agg(rounded(F.max("score"), 6).alias("best"))
 
 
 @query("w13_semantic_breaks", f"""WITH x AS (SELECT vec_id, vec_id // 50 AS doc, embedding, lag(embedding) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS prev FROM embeddings),
@@ -187,7 +187,7 @@ def j2(s: SparkSession, d: str) -> DataFrame:
     from ..operators.lsh import approximate_pairs
 
     v = vectors(s, d)
-    return approximate_pairs(v, v.where("vec_id < 10"), 1.2).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
+    return approximate_pairs(v, v.where("vec_id < 10"), 1.2).select("query_id", "vec_id", rounded("similarity", 5).alias("similarity"))
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hooks
-from ..registry import query
+from ..registry import query, rounded
 from ..sources import files
 from ..streaming import live
 from .views import attempts, courses, table
@@ -85,7 +85,7 @@ def s12(s: SparkSession, d: str) -> DataFrame:
 @query("h1_embedder")
 def h1(s: SparkSession, d: str) -> DataFrame:
     e = hooks.embedder(table(s, d, "documents"))
-    return e.select("doc_id", F.size("embedding").alias("width"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
+    return e.select("doc_id", F.size("embedding").alias("width"), rounded(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
 
 
 @query("h2_tagger")
@@ -99,7 +99,7 @@ def h3(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     x = table(s, d, "conversations").withColumn("b", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("b is not null").withColumnRenamed("text", "a")
-    return hooks.scorer(x).select("conv_id", "turn", F.round("score", 6).alias("score"))
+    return hooks.scorer(x).select("conv_id", "turn", rounded("score", 6).alias("score"))
 
 
 STATE_SQL = """WITH a AS (SELECT user_id AS student, event_type AS topic, ts, event_id, least(value / CASE user_id % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 30.0 ELSE 60.0 END::DOUBLE, 1.0::DOUBLE) AS score, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events),
@@ -114,7 +114,7 @@ def st1(s: SparkSession, d: str) -> DataFrame:
         live.append_files(live.live_state(live.attempts_stream(s, _event_files(s, d), 1)), out, f"{out}-checkpoint").awaitTermination()
     rows = s.read.parquet(out)
     last = rows.groupBy("student", "topic").agg(F.max_by(F.struct("attempts", "mean", "trend", "top_d", "top_q"), "attempts").alias("r")).select("student", "topic", "r.*")
-    return last.select("student", "topic", "attempts", F.round("mean", 6).alias("mean"), F.round("trend", 6).alias("trend"), "top_d", "top_q")
+    return last.select("student", "topic", "attempts", rounded("mean", 6).alias("mean"), rounded("trend", 6).alias("trend"), "top_d", "top_q")
 
 
 @query("st2_answer_batches", """WITH a AS (SELECT user_id AS student, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, least(value / CASE user_id % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 30.0 ELSE 60.0 END::DOUBLE, 1.0::DOUBLE) AS score FROM events)
@@ -123,7 +123,7 @@ def st2(s: SparkSession, d: str) -> DataFrame:
     with stateful(s):
         out = workspace(s, "batches")
         live.append_files(live.answer_batches(live.attempts_stream(s, _event_files(s, d), 1)), out, f"{out}-checkpoint").awaitTermination()
-    return s.read.parquet(out).select("student", "batch", "answers", F.round("mean_score", 6).alias("mean_score"))
+    return s.read.parquet(out).select("student", "batch", "answers", rounded("mean_score", 6).alias("mean_score"))
 
 
 @query("st3_session_reports", """WITH a AS (SELECT user_id AS student, ts, event_id, least(value / CASE user_id % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 30.0 ELSE 60.0 END::DOUBLE, 1.0::DOUBLE) AS score FROM events),
@@ -131,7 +131,7 @@ b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1
 SELECT student, count(*) AS answers, round(avg(score), 6) AS mean_score, floor(epoch(min(ts)))::BIGINT AS start_s FROM g GROUP BY student, g.g""")
 def st3(s: SparkSession, d: str) -> DataFrame:
     a = attempts(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return live.session_reports(a).select("student", "answers", F.round("mean_score", 6).alias("mean_score"), F.unix_timestamp("start").alias("start_s"))
+    return live.session_reports(a).select("student", "answers", rounded("mean_score", 6).alias("mean_score"), F.unix_timestamp("start").alias("start_s"))
 
 
 @query("st4_answered_once", "SELECT event_id, user_id AS student FROM events")

@@ -45,23 +45,24 @@ def slope(scores: list[float]) -> float:
 
 
 class KnowledgeState(StatefulProcessor):
-    """Per student and topic: attempts, sum of scores, highest levels, and the last ten scores."""
+    """Per student and topic: attempts, sum of scores, highest levels, and the last ten scores by event time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         totals = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("d", T.LongType()), T.StructField("q", T.LongType())])
         self.totals = handle.getValueState("totals", totals)
-        self.recent = handle.getListState("recent", T.StructType([T.StructField("score", T.DoubleType())]))
+        self.recent = handle.getListState("recent", T.StructType([T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("score", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
         n, total, d, q = self.totals.get() if self.totals.exists() else (0, 0.0, 0, 0)
-        recent = [r[0] for r in self.recent.get()]
-        new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for score, nd, nq in zip(new["score"], new["d"], new["q"]):
-            n, total, d, q = n + 1, total + score, max(d, nd), max(q, nq)
-            recent = [*recent, score][-10:]
+        recent = [tuple(r) for r in self.recent.get()]
+        for part in rows:  # in whatever order they come, the last ten by event time are kept
+            for at, event, score, nd, nq in zip(part["ts"], part["event_id"], part["score"], part["d"], part["q"]):
+                n, total, d, q = n + 1, total + score, max(d, nd), max(q, nq)
+                recent.append((int(at.value), int(event), float(score)))
+        recent = sorted(recent)[-10:]
         self.totals.update((int(n), float(total), int(d), int(q)))
-        self.recent.put([(float(s),) for s in recent])
-        yield pd.DataFrame({"student": [key[0]], "topic": [key[1]], "attempts": [n], "mean": [total / n], "trend": [slope(recent)], "top_d": [d], "top_q": [q]})
+        self.recent.put(recent)
+        yield pd.DataFrame({"student": [key[0]], "topic": [key[1]], "attempts": [n], "mean": [total / n], "trend": [slope([r[2] for r in recent])], "top_d": [d], "top_q": [q]})
 
     def close(self) -> None:
         pass
