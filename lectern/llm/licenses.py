@@ -12,7 +12,7 @@ import string
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,11 +116,6 @@ def _anchor(words: Sequence[str]) -> str:
     return max(words, key=lambda w: (len(w), w))
 
 
-def count_words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_count(lower, F.lit(WORD)).cast("long")
-
-
 def _scan(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automata = [(label, Automaton(wording)) for label, wording in templates]
@@ -165,11 +160,9 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     if only phrases do, 0 otherwise. Null and empty texts have no words and score 0. Only texts that hold a template's
     or phrase's longest mandatory word go to the automata; the others cannot match. Repeated rows stay.
     """
-    lower = F.translate(F.col("text"), string.ascii_uppercase, string.ascii_lowercase)
     anchors = sorted({_anchor(p.split()) for p, _ in phrases} | {_anchor(Automaton(t).mandatory) for _, t in templates})
-    hit = F.lit(False)
-    for a in anchors:
-        hit = hit | F.contains(lower, F.lit(a))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), count_words(F.col("text")).alias("n_words"), F.when(hit, F.col("text")).alias("text"))
+    folded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase).alias("text"))
+    hit = F.rlike("text", F.lit("|".join(map(re.escape, anchors))))
+    rows = folded.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(hit, F.col("text")).alias("text"))
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>"
     return rows.mapInPandas(_scan(phrases, templates), schema)

@@ -36,9 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of the batches that go to Python; texts may be long, and these bound what a task holds at once.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b"}
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each SparkContext."""
     context = spark.sparkContext
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) in (None, _DEFAULTS[key]):
+            spark.conf.set(key, value)
     if not getattr(context, "_lectern_shipped", False):
         top = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="spark-")) / "lectern.zip"
