@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,10 @@ from .scratch import keep
 
 #: Bound on lexicon entries, least texts that hold one, and least log odds (two standard errors below the estimate).
 ENTRIES, LEAST, ODDS = 4000, 4, 2.0
+#: Rows of ids up to which a counted table is broadcast; beyond, the same joins shuffle.
+BROADCAST_ROWS = 500_000
+#: Least letters of a term whose misspellings count.
+LETTERS = 5
 #: Letters of stems, words of the window on each side, rows to which the logistic model is fitted at most.
 STEMS, WINDOW, FIT_ROWS = (4, 5, 6), 4, 50_000
 #: Words that report speech or address someone, by language family of the corpus.
@@ -35,8 +40,19 @@ def in_training(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string")) % folds != 0
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of each kind that hold a word or stem (marked by *), counted for some thousand texts at a time."""
+    for batch in batches:
+        for lo in range(0, len(batch), 2000):
+            part = batch.iloc[lo : lo + 2000]
+            held: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, toxic in zip(part["text"], part["toxic"]):
+                words = set(WORD.findall(text.lower())) if text else set()
+                for k in STEMS:
+                    words.update([w[:k] + "*" for w in words if len(w) > k and w[-1] != "*"])
+                held[int(toxic == 1)].update(words)
+            units = list(held[0] | held[1])
+            yield pd.DataFrame({"unit": units, "b": [held[1][u] for u in units], "g": [held[0][u] for u in units]})
 
 
 def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool, float]]:
@@ -45,20 +61,13 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool, float]]:
     A term or stem enters if at least LEAST toxic texts hold it and its log odds, less two standard errors, reach
     ODDS; of all that do, the ENTRIES of most evidence. A stem that adds nothing to a term of its own is left out.
     """
-    units = F.array_distinct(
-        F.flatten(F.transform(_words(F.col("text")), lambda w: F.concat(
-            F.array(F.struct(w.alias("t"), F.lit(False).alias("stem"))),
-            F.transform(F.filter(F.array(*[F.lit(n) for n in STEMS]), lambda n: F.length(w) > n), lambda n: F.struct(F.substring(w, F.lit(1), n).alias("t"), F.lit(True).alias("stem"))),
-        )))
-    )
     rows = labelled.where("toxic is not null").select(F.col("toxic").cast("int").alias("toxic"), "text")
     total = rows.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
     bad, good = total[0] or 0, (total[1] or 0) - (total[0] or 0)
     if not bad or not good:
         return []
-    counts = rows.select("toxic", F.explode(units).alias("u")).groupBy("u.t", "u.stem").agg(
-        F.sum((F.col("toxic") == 1).cast("long")).alias("b"), F.sum((F.col("toxic") != 1).cast("long")).alias("g")
-    )
+    counted = rows.mapInPandas(_units, "unit string, b long, g long").groupBy("unit").agg(F.sum("b").alias("b"), F.sum("g").alias("g"))
+    counts = counted.select(F.rtrim("unit", F.lit("*")).alias("t"), F.endswith("unit", F.lit("*")).alias("stem"), "b", "g")
     b, g = F.col("b") + 0.5, F.col("g") + 0.5
     odds = F.log(b / (bad + 1.0 - b)) - F.log(g / (good + 1.0 - g))
     error = F.sqrt(1 / b + 1 / g)
@@ -89,11 +98,10 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = (term, weight)
         self.sizes = sorted({len(s) for s in self.stems}, reverse=True)
-        # of a term with one error, the first or the last half stands in the word unchanged
-        self.heads = {t[: len(t) // 2] for t in self.exact}
-        self.tails = {t[len(t) // 2 :] for t in self.exact}
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
-        self.known: dict[str, tuple[str, float] | None] = {}
+        # a word within one error of a term equals it, or shares with it a deletion of one letter, or is one
+        self.deletions = {d for t in self.exact if len(t) >= LETTERS for d in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))}
+        self.seen: set[str] = set()
+        self.found: dict[str, tuple[str, float]] = {}
 
     def near(self, word: str, errors: int) -> tuple[str, float] | None:
         """The term of most weight within ``errors`` insertions, deletions, substitutions or swaps of neighbours."""
@@ -120,36 +128,37 @@ class Trie:
 
     def find(self, word: str) -> tuple[str, float] | None:
         """(kind, weight) of a word: exact, stem or misspelled; None if it is no term."""
-        if word in self.known:
-            return self.known[word]
         hit: tuple[str, float] | None = None
         if word in self.exact:
             hit = ("exact", self.exact[word])
         elif (s := next((word[:k] for k in self.sizes if word[:k] in self.stems), None)) is not None:
             hit = ("stem", self.stems[s])
-        elif len(word) >= 5 and (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
-            if near := self.near(word, 1):
-                if len(near[0]) >= 5:
-                    hit = ("misspelled", near[1])
-        if len(self.known) > 500_000:
-            self.known.clear()
-        self.known[word] = hit
+        elif len(word) >= LETTERS - 1 and not self.deletions.isdisjoint([word, *[word[:i] + word[i + 1 :] for i in range(len(word))]]):
+            near = self.near(word, 1)
+            if near and len(near[0]) >= LETTERS:
+                hit = ("misspelled", near[1])
         return hit
 
+    def hits(self, words: set[str]) -> dict[str, tuple[str, float]]:
+        """The words that are terms, with kind and weight; each word is looked up once and then remembered."""
+        for w in words - self.seen:
+            if hit := self.find(w):
+                self.found[w] = hit
+        self.seen |= words
+        out = {w: self.found[w] for w in words & self.found.keys()}
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+            self.found.clear()
+        return out
+
 
 def features(text: str, trie: Trie) -> list[float]:
     """Values of FEATURES for a text."""
     low = text.lower()
     words = WORD.findall(low)
-    find = trie.find
-    known = trie.known
-    hits = []
-    for w in set(words):
-        if h := (known[w] if w in known else find(w)):
-            hits.append((w, h))
-    if not hits:
+    kinds = trie.hits(set(words))
+    if not kinds:
         return [0.0] * len(FEATURES)
-    kinds = dict(hits)
     count = strength = misspelled = stems = quoted = addressed = most = 0.0
     spans = [(m.start(), m.end(), m.group()) for m in WORD.finditer(low)]
     for i, (lo, hi, w) in enumerate(spans):
@@ -206,9 +215,11 @@ def score_texts(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic is not null").where(in_training(F.col("doc_id"), folds))
-    entries = learn_lexicon(texts.join(known, "doc_id").select("text", "toxic"))
+    known = keep(known, "labels")
+    few = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    entries = learn_lexicon(texts.join(few, "doc_id").select("text", "toxic"))
     found = keep(texts.mapInPandas(_features(entries), "doc_id long, x array<double>"), "toxicity")
-    sample = found.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "toxic").collect()
+    sample = found.join(few, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "toxic").collect()
     y = np.array([float(r[1] == 1) for r in sample])
     held_out = F.coalesce(~in_training(F.col("doc_id"), folds), F.lit(False)).alias("held_out")
     if not entries and not (0 < y.sum() < len(y)):
@@ -225,5 +236,5 @@ def score_texts(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents predicted toxic, by doc_id; all columns stay."""
     bad = keep(score_texts(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct(), "toxic")
-    few = F.broadcast(bad) if bad.count() <= 500_000 else bad
+    few = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(few, F.col("doc_id") == F.col("__toxic"), "left_anti")
