@@ -4,9 +4,12 @@ The weight of a shingle is 1 + ln(count in the text). Two texts are linked if th
 their weighted five-word shingles is 0.8 or more, as computed exactly from both; banding only proposes pairs. With 25
 bands of 5 components a pair of similarity 0.8 shares no band once in 20,000 cases, and ever more rarely above.
 
-Equal texts are one node from the start. In each bucket of a band every node is compared with the bucket's leader.
-Nodes that fail are then compared with the bucket's others, but for those that the triangle inequality rules out
-(1 - similarity is a metric): so no link that shares a bucket is lost, and a bucket of copies costs one pair a node.
+Equal texts are one node from the start. Pairs are compared in rounds, and after each the links found so far make
+provisional classes; later rounds leave out what is of one class already. First every node is compared with the least
+leader (least node) of its buckets, then with each bucket's leader, then with each bucket's last node. Nodes that are
+still of another class than their bucket's leader are then searched for, as queries in blocks, among all nodes of the
+buckets that this class leads; only links come out. So no two classes stay apart that a link in a bucket joins, and a
+group of copies costs a few pairs a node, however large it is.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 #: Rows up to which a counted table is broadcast, and elements in a numpy step.
 BROADCAST_ROWS, STEP = 500_000, 250_000
+#: Nodes of the two sides of a block.
+QUERIES, ROWS_AT_ONCE = 64, 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,13 +139,16 @@ class _Verifier:
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes = docs, nodes
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        wanted = keep(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(self.nodes.select("node", "rep"), "node"), "wanted")
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """node, s: the shingles of the wanted nodes. A row that stands in the table twice is read twice."""
+        wanted = keep(wanted.select("node").distinct().join(self.nodes.select("node", "rep"), "node"), "wanted")
         few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = self.docs.withColumn("own", _node()).join(few, (F.col("doc_id").eqNullSafe(F.col("rep"))) & (F.col("own") == F.col("node")))
-        sets = keep(texts.select("node", shingle_hashes(F.col("text"), short=True).alias("s")), "sets")
+        return keep(texts.select("node", shingle_hashes(F.col("text"), short=True).alias("s")), "sets")
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        # a row that stands in the table twice is read twice; its pairs are compared alike
         return keep(both.mapInPandas(_compare, "a binary, b binary, similarity double").distinct(), "similar")
 
 
@@ -160,6 +168,58 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, other: str) -> DataFrame:
+    """``rows`` with the class of ``node`` (own) and of the node in column ``other`` (led)."""
+    mine = labels.select(F.col("node").alias("n1"), F.col("label").alias("l1"))
+    theirs = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
+    j = rows.join(mine, F.col("node") == F.col("n1"), "left").join(theirs, F.col(other) == F.col("n2"), "left")
+    return j.withColumn("own", F.coalesce("l1", "node")).withColumn("led", F.coalesce("l2", other)).drop("n1", "n2", "l1", "l2")
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
+
+
+def _search(similarity: float):
+    """Links between a block of queries and a block of nodes of one pool: those of another class that share a band."""
+
+    def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(rows):
+            held = np.stack(rows["bands"].to_numpy())
+            nodes, own, led = rows["node"].tolist(), rows["own"].to_numpy(), (rows["own"] == rows["pool"]).to_numpy()
+            for x, own_x, bands_x, s in zip(queries["node"], queries["own"], queries["bands"], queries["s"]):
+                for i in np.flatnonzero((held == bands_x).any(1)):
+                    if own[i] != own_x and (led[i] or x < nodes[i]) and probability_jaccard(s, rows["s"].iat[i]) >= similarity:
+                        out.append((min(x, nodes[i]), max(x, nodes[i])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, verify: _Verifier, similarity: float) -> DataFrame:
+    """Links (a, b) of one bucket between different classes that no round has compared.
+
+    The buckets led by a class make its pool. Queries are the pool's nodes of other classes, searched among all its
+    nodes in blocks of QUERIES by ROWS_AT_ONCE; a block of one side is sent to every block of the other.
+    """
+    near = _labelled(members, labels, "leader").select("node", "own", F.col("led").alias("pool")).distinct()
+    near = keep(near, "near")
+    lost = keep(near.where("own <> pool"), "lost")
+    pools = lost.groupBy("pool").agg(F.count("*").alias("m")).join(near.groupBy("pool").agg(F.count("*").alias("n")), "pool")
+    pools = keep(pools.select("pool", F.ceil(F.col("m") / QUERIES).alias("qs"), F.ceil(F.col("n") / ROWS_AT_ONCE).alias("rs")), "pools")
+    sets = verify.sets(near.join(pools, "pool", "left_semi"))
+    full = sets.dropDuplicates(["node"]).join(nodes.select("node", "bands"), "node")
+    full = keep(full, "pooled")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    q = lost.join(pools, "pool").withColumn("q", F.pmod(F.xxhash64("node"), F.col("qs"))).withColumn("r", spread(F.col("rs"))).select("pool", "q", "r", "node", "own").join(full, "node")
+    r = near.join(pools, "pool").withColumn("r", F.pmod(F.xxhash64("node"), F.col("rs"))).withColumn("q", spread(F.col("qs"))).select("pool", "q", "r", "node", "own").join(full, "node")
+    # both sides come of the same tables; names of their own keep their columns apart
+    q, r = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (q, r))
+    found = q.groupBy("pool", "q", "r").cogroup(r.groupBy("pool", "q", "r")).applyInPandas(_search(similarity), "a binary, b binary")
+    return keep(found.distinct(), "found")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, class_id (the least doc_id of its class), links (of its text to
     different texts, those compared), copies (rows of the same text).
@@ -173,22 +233,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     signed = keep(hashed.mapInPandas(_sign, "doc_id long, node binary, bands array<bigint>"), "signed")
     nodes = keep(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
     entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-    leaders = keep(entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader"), "leaders")
-    members = keep(entries.join(leaders, "bucket").where("node <> leader"), "members")
+    ends = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
+    ends = keep(ends, "leaders")
+    members = keep(entries.join(ends, "bucket").where("node <> leader"), "members")
     verify = _Verifier(texts, nodes)
-    starred = verify(members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    failed = starred.where(F.col("similarity") < similarity)
-    links = starred.where(F.col("similarity") >= similarity).select("a", "b")
-    if failed.limit(1).count():
-        near = members.join(starred, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))).select("bucket", "node", "similarity")
-        near = keep(near, "near")
-        lost = keep(near.where(F.col("similarity") < similarity).select("bucket", F.col("node").alias("x"), F.col("similarity").alias("sx")), "lost")
-        # of two that failed one direction is enough; one that did not fail is always the other
-        rest = lost.join(near, "bucket").where(
-            (F.abs(F.col("sx") - F.col("similarity")) <= 1 - similarity + 1e-9) & ((F.col("similarity") >= similarity) & (F.col("x") != F.col("node")) | (F.col("x") < F.col("node")))
-        )
-        others = verify(keep(rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), "others"))
-        links = links.union(others.where(F.col("similarity") >= similarity).select("a", "b"))
+    compared = verify(members.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"))
+    for other in ("leader", "last"):
+        labels = components(compared.where(F.col("similarity") >= similarity))
+        open_pairs = _pairs(_labelled(members, labels, other).where("own <> led"), "node", other).join(compared, ["a", "b"], "left_anti")
+        compared = compared.union(verify(keep(open_pairs, "pairs")))
+    links = compared.where(F.col("similarity") >= similarity).select("a", "b")
+    links = links.union(_across(members, nodes, components(links), verify, similarity)).distinct()
     links = keep(links, "linked")
     labels = components(links)
     ends = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
