@@ -19,6 +19,11 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def _own() -> F.Column:
+    """Hash of the text of a row without an id, which tells it from others; null for all rows that have one."""
+    return F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64("text"))
+
+
 def sketches(items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Items (item_id, text) by size class: key, item_id, shingles, n, size_class, sketch, need.
 
@@ -42,32 +47,40 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILA
 
     ``docs`` and ``items`` need doc_id, text and item_id, text; other columns are not read. Items and documents of
     fewer than five words (null and empty ones too) have no shingles and match nothing. If an id stands in several
-    rows, each row is searched and the best containment of the id is returned. Empty tables give no rows.
+    rows, each row is searched and the best containment of the id is returned; of rows without an id, that of each
+    different text. Empty tables give no rows.
     """
+    return _contained(docs, items, threshold).drop("own")
+
+
+def _contained(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Contained items with ``own``, the hash of the text where doc_id is null, else null."""
     sketched = keep(sketches(items, threshold), "sketches")
     probes = sketched.select("key", "need", "n", "size_class", F.explode("sketch").alias("shingle"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    seen = texts.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"))).alias("s"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _own().alias("own"), F.col("text"))
+    seen = texts.select("doc_id", "own", F.array_distinct(shingle_hashes(F.col("text"))).alias("s"))
     hits = (
-        seen.select("doc_id", F.size("s").alias("held"), F.explode("s").alias("shingle"))
+        seen.select("doc_id", "own", F.size("s").alias("held"), F.explode("s").alias("shingle"))
         .join(_sized(probes), "shingle")
         # a document too small for the item's size class cannot hold enough of it
         .where(F.col("held") >= F.ceil(F.pow(F.lit(2), F.col("size_class")) * threshold - 1e-9))
-        .groupBy("doc_id", "key").agg(F.count("*").alias("hits"), F.max("need").alias("need"))
+        .groupBy("doc_id", "own", "key").agg(F.count("*").alias("hits"), F.max("need").alias("need"))
     )
-    candidates = keep(hits.where("hits >= need").groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "candidates")
-    again = texts.join(_sized(candidates), "doc_id").select("doc_id", "keys", F.array_distinct(shingle_hashes(F.col("text"))).alias("s"))
-    each = again.select("doc_id", F.explode("keys").alias("key"), "s").join(_sized(sketched.select("key", "item_id", "shingles", "n")), "key")
+    candidates = keep(hits.where("hits >= need").groupBy(F.col("doc_id").alias("__doc"), F.col("own").alias("__own")).agg(F.collect_list("key").alias("keys")), "candidates")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("own").eqNullSafe(F.col("__own"))
+    again = texts.join(_sized(candidates), same).select("doc_id", "own", "keys", F.array_distinct(shingle_hashes(F.col("text"))).alias("s"))
+    each = again.select("doc_id", "own", F.explode("keys").alias("key"), "s").join(_sized(sketched.select("key", "item_id", "shingles", "n")), "key")
     shared = F.size(F.array_intersect("shingles", "s"))
-    found = each.select("doc_id", "item_id", F.col("n").alias("item_shingles"), shared.alias("shared"), (shared / F.col("n")).alias("containment"))
-    best = found.where(F.col("containment") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "shared", "item_shingles")).alias("b"))
-    return best.select("doc_id", "item_id", "b.item_shingles", "b.shared", "b.containment")
+    found = each.select("doc_id", "own", "item_id", F.col("n").alias("item_shingles"), shared.alias("shared"), (shared / F.col("n")).alias("containment"))
+    best = found.where(F.col("containment") >= threshold).groupBy("doc_id", "own", "item_id").agg(F.max(F.struct("containment", "shared", "item_shingles")).alias("b"))
+    return best.select("doc_id", "item_id", "b.item_shingles", "b.shared", "b.containment", "own")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that hold an item, by doc_id; all columns stay. A null doc_id is never dropped."""
-    found = keep(contained_items(docs, items, threshold).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(_sized(found), F.col("doc_id") == F.col("__leak"), "left_anti")
+    """``docs`` without the documents that hold an item, by doc_id, those without an id by text; all columns
+    stay."""
+    found = keep(_contained(docs, items, threshold).select(F.col("doc_id").alias("__leak"), F.col("own").alias("__text")).distinct(), "leaks")
+    return docs.join(_sized(found), F.col("doc_id").cast("long").eqNullSafe(F.col("__leak")) & _own().eqNullSafe(F.col("__text")), "left_anti")
 
 
 __all__ = ["WORDS_IN_SHINGLE", "contained_items", "sketches", "without_leaks"]

@@ -220,14 +220,8 @@ def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, verify: _Ve
     return keep(found.distinct(), "found")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, class_id (the least doc_id of its class), links (of its text to
-    different texts, those compared), copies (rows of the same text).
-
-    Classes are the connected components of links and equal texts. Null texts count as empty; empty texts are equal
-    to one another. Texts of fewer than five words have one shingle, of all their words. Repeated rows are copies. An
-    empty table gives no rows; other columns are not read.
-    """
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node), and nodes (node, rep, copies, label, links): ``label`` is the least node of the class."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     hashed = texts.select("doc_id", _node().alias("node"), shingle_hashes(F.col("text"), short=True).alias("s"))
     signed = keep(hashed.mapInPandas(_sign, "doc_id long, node binary, bands array<bigint>"), "signed")
@@ -251,15 +245,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         nodes.join(labels, "node", "left").join(ends.withColumnRenamed("a", "end"), F.col("node") == F.col("end"), "left")
         .select("node", "rep", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "classed",
     )
+    return signed.select("doc_id", "node"), classed
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, class_id (the least doc_id of its class), links (of its text to
+    different texts, those compared), copies (rows of the same text).
+
+    Classes are the connected components of links and equal texts. Null texts count as empty; empty texts are equal
+    to one another. Texts of fewer than five words have one shingle, of all their words. Repeated rows are copies. An
+    empty table gives no rows; other columns are not read.
+    """
+    rows, classed = _classes(docs, similarity)
     least = keep(classed.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")
     of_node = keep(classed.join(least, "label").select("node", "class_id", "links", "copies"), "of-node")
-    return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "links", "copies")
+    return rows.join(of_node, "node").select("doc_id", "class_id", "links", "copies")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: that of the least doc_id; of repeated rows one. All columns stay."""
-    found = keep(near_duplicates(docs, similarity), "near-duplicates")
-    chosen = keep(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    kept = docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """``docs`` with one row of each class: that of the least doc_id, and of its texts the least node; null ids come
+    last. Rows are told apart by doc_id and text, so documents of one id, or of none, that are of different classes
+    all have their row; of rows with the same id and text one stays. All columns stay."""
+    rows, classed = _classes(docs, similarity)
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "node")
+    chosen = classed.groupBy("label").agg(F.min(order).alias("c")).select(F.col("c.rep").alias("__rep"), F.col("c.node").alias("__node"))
+    chosen = keep(chosen, "kept")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__rep")) & (_node() == F.col("__node"))
+    kept = docs.join(few, same, "left_semi")
+    repeated = rows.groupBy("doc_id", "node").count().where("count > 1").join(few, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("node") == F.col("__node")), "left_semi")
+    return kept.withColumn("__own", _node()).dropDuplicates(["doc_id", "__own"]).drop("__own") if repeated.limit(1).count() else kept

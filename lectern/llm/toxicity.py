@@ -185,7 +185,7 @@ def _features(entries: list[tuple[str, bool, float]]):
         trie = Trie(entries)
         for batch in batches:
             rows = [features(t, trie) if t else [0.0] * len(FEATURES) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": rows})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "own": batch["own"], "x": rows})
 
     return run
 
@@ -205,6 +205,10 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _own() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def score_texts(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on), x (FEATURES).
 
@@ -213,12 +217,17 @@ def score_texts(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame
     texts have no hits and get the score of a text without one. Without labels of both kinds every score is 0. Null
     labels are skipped; if an id stands in several rows of either table, all their pairs are learned from.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return _scored(docs, labels, folds).drop("own")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """Scores with ``own``, the hash of the row's text."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _own().alias("own"), F.col("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic is not null").where(in_training(F.col("doc_id"), folds))
     known = keep(known, "labels")
     few = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     entries = learn_lexicon(texts.join(few, "doc_id").select("text", "toxic"))
-    found = keep(texts.mapInPandas(_features(entries), "doc_id long, x array<double>"), "toxicity")
+    found = keep(texts.mapInPandas(_features(entries), "doc_id long, own long, x array<double>"), "toxicity")
     sample = found.join(few, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "toxic").collect()
     y = np.array([float(r[1] == 1) for r in sample])
     held_out = F.coalesce(~in_training(F.col("doc_id"), folds), F.lit(False)).alias("held_out")
@@ -230,11 +239,12 @@ def score_texts(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame
         for i, v in enumerate(w[:-1]):
             z = z + F.get("x", F.lit(i)) * float(v)
         score = 1 / (1 + F.exp(-z))
-    return found.select("doc_id", held_out, score.alias("score"), "x").select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "x")
+    return found.select("doc_id", "own", held_out, score.alias("score"), "x").select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "x", "own")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted toxic, by doc_id; all columns stay."""
-    bad = keep(score_texts(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct(), "toxic")
+    """``docs`` without the rows predicted toxic, by doc_id (null ids too) and text; all columns stay."""
+    bad = _scored(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic"), F.col("own").alias("__text")).distinct()
+    bad = keep(bad, "toxic")
     few = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(few, F.col("doc_id") == F.col("__toxic"), "left_anti")
+    return docs.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col("__toxic")) & (_own() == F.col("__text")), "left_anti")

@@ -402,3 +402,21 @@ def test_pipeline_stages(spark, data):
             assert decontaminate.contained_items(docs, spark.read.parquet(f"{data}/benchmark.parquet")).count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert last.count() == docs.count() > 0 and last.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_stages_tell_rows_of_one_id_and_of_none_apart(spark):
+    a, b, c = words(60, 21), words(60, 22), words(60, 23)
+    rows = [(1, a), (1, b), (None, c), (None, words(60, 24)), (0, a), (None, b), (1, b), (2, "")]
+    d = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], DOC)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in near_dup.one_of_each(d).collect())
+    assert got == sorted([(0, a), (1, b), (-1, c), (-1, words(60, 24)), (2, "")])
+
+    items = spark.createDataFrame([(7, c)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(d, items).collect()] == [(None, 7)]
+    assert sorted(r["text"] for r in decontaminate.without_leaks(d, items).collect()) == sorted(x for _, x in rows if x != c)
+
+    foul = [(i, ("moron scum idiot " if i % 2 else "") + words(30, i), "en", "s", 1) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    odd = [(None, "moron scum idiot " + words(30, 300), "en", "s", 1), (None, words(30, 301), "en", "s", 1), (500, "moron scum idiot " + words(30, 302), "en", "s", 1), (500, words(30, 303), "en", "s", 1)]
+    left = toxicity.without_toxic(spark.createDataFrame(foul + odd, DOC), labels).where("doc_id is null or doc_id = 500").collect()
+    assert sorted(r["text"] for r in left) == sorted([words(30, 301), words(30, 303)])
