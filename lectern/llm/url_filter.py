@@ -19,10 +19,6 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 
-#: Path levels of the tree; what lies deeper belongs to the last level.
-DEPTH = 4
-#: A parent with more different children than this, most of them rare, has a variable segment there.
-FANOUT = 20
 #: Children of one parent that are seen more rarely than this are one branch.
 RARE = 3
 #: Chi-square bound at two degrees of freedom, 95 %: branches below it have the same label profile.
@@ -62,7 +58,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def segments(path: Column) -> Column:
     """Path segments with plainly variable ones (numbers, hashes, dates, uuids) already written as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(
+    return F.transform(
         parts,
         lambda s: F.regexp_replace(
             F.regexp_replace(s, r"^[0-9a-fA-F]{8}(-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}", "<id>"),
@@ -70,9 +66,6 @@ def segments(path: Column) -> Column:
             "<n>",
         ),
     )
-    head = F.slice(shaped, 1, DEPTH - 1)
-    tail = F.array_join(F.slice(shaped, DEPTH, F.greatest(F.size(shaped), F.lit(1))), "/")
-    return F.when(F.size(shaped) >= DEPTH, F.concat(head, F.array(tail))).otherwise(shaped)
 
 
 def _profile_distance(bad: Column, good: Column, n: Column, all_bad: Column, all_good: Column, all_n: Column) -> Column:
@@ -92,10 +85,11 @@ def path_templates(urls: DataFrame) -> DataFrame:
     """Template tree of ``urls(host, path, label)``: label 1 is bad, 0 good, null unknown.
 
     Returns one row per host and path shape: host, shape, template, n, labelled, bad, purity. From the root down,
-    each parent's children become the wildcard ``*`` if the segment is variable (many children, most of them rare),
-    or if a branch is rare or its label profile does not differ from its siblings'. Counts are aggregated before
-    every shuffle, so a host with a third of all urls costs a row per task and shape. Null hosts, paths and labels
-    count as empty or unknown; an empty table gives no rows.
+    those of each parent's children become the wildcard ``*`` that are rare or whose label profile does not differ from
+    their siblings', down to the last segment of every path. A shape that is alone below its parent has no siblings
+    further down, and its template is its own rest. Counts are aggregated before every shuffle, so a host with a third
+    of all urls costs a row per task and shape. Null hosts, paths and labels count as empty or unknown; an empty table
+    gives no rows.
     """
     shaped = urls.select(
         F.coalesce("host", F.lit("")).alias("host"),
@@ -109,25 +103,31 @@ def path_templates(urls: DataFrame) -> DataFrame:
         ),
         "shapes",
     ).withColumn("template", F.lit(""))
-    for d in range(DEPTH):
-        seg = F.get("segs", F.lit(d))
-        level = level.withColumn("seg", seg).withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(_SALTS)))
-        child = level.where("seg is not null").groupBy("host", "template", "salt", "seg").agg(F.sum("n").alias("c_n"), F.sum("bad").alias("c_bad"), F.sum("good").alias("c_good"))
+    done, d = [], 0
+    while True:
+        level = level.withColumn("seg", F.get("segs", F.lit(d))).withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(_SALTS)))
+        child = level.where("seg is not null").groupBy("host", "template", "salt", "seg").agg(
+            F.count("*").alias("c_shapes"), F.sum("n").alias("c_n"), F.sum("bad").alias("c_bad"), F.sum("good").alias("c_good")
+        )
         parent = child.groupBy("host", "template").agg(
-            F.count("*").alias("children"), F.sum(F.when(F.col("c_n") < RARE, 1).otherwise(0)).alias("rare"),
-            F.sum("c_n").alias("p_n"), F.sum("c_bad").alias("p_bad"), F.sum("c_good").alias("p_good"),
+            F.count("*").alias("children"), F.sum("c_n").alias("p_n"), F.sum("c_bad").alias("p_bad"), F.sum("c_good").alias("p_good"),
         )
         parent = parent.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
         chi = _profile_distance(F.col("c_bad"), F.col("c_good"), F.col("c_n"), F.col("p_bad"), F.col("p_good"), F.col("p_n"))
-        wild = (F.col("children") > 1) & (
-            ((F.col("children") > FANOUT) & (F.col("rare") * 2 > F.col("children"))) | (F.col("c_n") < RARE) | (chi < SIMILAR)
-        )
-        branch = child.join(parent, ["host", "template", "salt"]).select("host", "template", "salt", "seg", F.when(wild, "*").otherwise(F.col("seg")).alias("step"))
-        level = level.join(branch, ["host", "template", "salt", "seg"], "left").select(
+        wild = (F.col("children") > 1) & ((F.col("c_n") < RARE) | (chi < SIMILAR))
+        branch = child.join(parent, ["host", "template", "salt"]).select("host", "template", "salt", "seg", "c_shapes", F.when(wild, "*").otherwise(F.col("seg")).alias("step"))
+        alone = (F.col("c_shapes") == 1) & (F.col("step") != "*")
+        rest = F.when(alone, F.array_join(F.slice("segs", d + 1, F.size("segs")), "/")).otherwise(F.col("step"))
+        level = keep(level.join(branch, ["host", "template", "salt", "seg"], "left").select(
             "host", "segs", "n", "bad", "good",
-            F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step")).alias("template"),
-        )
-    shapes = keep(level, "templates")
+            F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), rest)).alias("template"),
+            (F.col("step").isNull() | alone | (F.size("segs") == d + 1)).alias("closed"),
+        ), "templates")
+        done.append(level.where("closed").drop("closed"))
+        level, d = level.where("not closed").drop("closed"), d + 1
+        if level.limit(1).count() == 0:
+            break
+    shapes = reduce(DataFrame.union, done)
     stats = shapes.groupBy("host", "template").agg(F.sum("n").alias("t_n"), F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
     return shapes.join(stats, ["host", "template"]).select(
         "host", F.array_join("segs", "/").alias("shape"), "template", F.col("t_n").alias("n"),

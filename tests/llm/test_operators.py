@@ -54,6 +54,23 @@ def test_url_templates_learn_from_labels(spark):
     assert last == {"http://h.com/spam/777": "block", "http://h.com/news/778": "allow", "http://other.com/spam/1": "allow"}
 
 
+def _verdicts(spark, rows) -> dict:
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "url string, label int"), rules=(), label="label")
+    return {r["url"]: r["verdict"] for r in got.where("label is null").collect()}
+
+
+def test_rare_siblings_do_not_hide_frequent_branches(spark):
+    rows = [(f"http://h.com/{'spam' if i % 2 else 'news'}/{i}", i % 2) for i in range(400)] + [(f"http://h.com/{w}/x", None) for w in words(30, 5).split()]
+    assert _verdicts(spark, [*rows, ("http://h.com/spam/777", None), ("http://h.com/news/778", None)]).items() >= {"http://h.com/spam/777": "block", "http://h.com/news/778": "allow"}.items()
+
+
+def test_templates_reach_to_the_last_segment(spark):
+    slugs = words(400, 6).split()
+    rows = [(f"http://h.com/a/b/c/d/e/{'spam' if i % 2 else 'ok'}/{w}{i}/end", i % 2) for i, w in enumerate(slugs)]
+    last = {"http://h.com/a/b/c/d/e/spam/new/end": "block", "http://h.com/a/b/c/d/e/ok/new/end": "allow", "http://h.com/a/" + "x/" * 60: "allow", "http://h.com": "allow"}
+    assert _verdicts(spark, rows + [(u, None) for u in last]) == last
+
+
 def test_urls_of_an_empty_table(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "url string")).count() == 0
 
