@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .scratch import keep
 
-#: Bound on lexicon entries, least texts that hold one, and least log odds (two standard errors below the estimate).
-ENTRIES, LEAST, ODDS = 4000, 4, 2.0
+#: Least toxic texts that hold a lexicon entry, and least log odds (two standard errors below the estimate).
+LEAST, ODDS = 4, 2.0
 #: Rows of ids up to which a counted table is broadcast; beyond, the same joins shuffle.
 BROADCAST_ROWS = 500_000
 #: Least letters of a term whose misspellings count.
@@ -59,7 +59,7 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool, float]]:
     """(term, is it a stem, weight) from ``labelled(text, toxic)``: all rows count, each term once a text.
 
     A term or stem enters if at least LEAST toxic texts hold it and its log odds, less two standard errors, reach
-    ODDS; of all that do, the ENTRIES of most evidence. A stem that adds nothing to a term of its own is left out.
+    ODDS. A stem that adds nothing to a term of its own is left out.
     """
     rows = labelled.where("toxic is not null").select(F.col("toxic").cast("int").alias("toxic"), "text")
     total = rows.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
@@ -72,17 +72,20 @@ def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool, float]]:
     odds = F.log(b / (bad + 1.0 - b)) - F.log(g / (good + 1.0 - g))
     error = F.sqrt(1 / b + 1 / g)
     found = counts.where(F.col("b") >= LEAST).withColumn("odds", odds - 2 * error).where(F.col("odds") >= ODDS)
-    best = found.orderBy(F.desc(F.col("odds") * F.sqrt("b")), "t", "stem").limit(ENTRIES).collect()
-    terms = {r["t"]: (r["odds"], r["b"]) for r in best if not r["stem"]}
-    out = [(t, False, o) for t, (o, _) in terms.items()]
-    for r in best:
-        if r["stem"] and not any(t.startswith(r["t"]) and n >= 0.8 * r["b"] for t, (_, n) in terms.items()):
-            out.append((r["t"], True, r["odds"]))
+    passed = found.select("t", "stem", "odds", "b").collect()
+    out = [(r["t"], False, r["odds"]) for r in passed if not r["stem"]]
+    most: dict[str, int] = {}
+    for r in passed:
+        if not r["stem"]:
+            for k in STEMS:
+                most[r["t"][:k]] = max(most.get(r["t"][:k], 0), r["b"])
+    out += [(r["t"], True, r["odds"]) for r in passed if r["stem"] and most.get(r["t"], 0) < 0.8 * r["b"]]
     return sorted(out)
 
 
 class Trie:
-    """Lexicon terms as nested dicts, walked together with a Levenshtein automaton of the word looked up."""
+    """Lexicon terms of LETTERS letters or more as nested dicts, walked together with a Levenshtein automaton of the
+    word looked up; shorter terms and stems are looked up as they are."""
 
     def __init__(self, entries: list[tuple[str, bool, float]]):
         self.root: dict = {}
@@ -93,6 +96,8 @@ class Trie:
                 self.stems[term] = weight
                 continue
             self.exact[term] = weight
+            if len(term) < LETTERS:
+                continue
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
@@ -135,7 +140,7 @@ class Trie:
             hit = ("stem", self.stems[s])
         elif len(word) >= LETTERS - 1 and not self.deletions.isdisjoint([word, *[word[:i] + word[i + 1 :] for i in range(len(word))]]):
             near = self.near(word, 1)
-            if near and len(near[0]) >= LETTERS:
+            if near:
                 hit = ("misspelled", near[1])
         return hit
 
@@ -170,7 +175,7 @@ def features(text: str, trie: Trie) -> list[float]:
         most = max(most, weight)
         misspelled += kind == "misspelled"
         stems += kind == "stem"
-        around = [s[2] for s in spans[max(0, i - WINDOW) : i]]
+        around = [s[2] for s in spans[max(0, i - WINDOW) : i] + spans[i + 1 : i + 1 + WINDOW]]
         lead, trail = low[max(0, lo - 40) : lo], low[hi : hi + 40]
         inside = any(q in lead for q in QUOTES) and any(q in trail for q in QUOTES)
         if inside or any(a in REPORTS for a in around):
@@ -180,9 +185,9 @@ def features(text: str, trie: Trie) -> list[float]:
     return [math.log1p(count), math.log1p(strength), math.log1p(misspelled), math.log1p(stems), quoted / count, addressed / count, math.log1p(100 * count / len(words)), most / 10]
 
 
-def _features(entries: list[tuple[str, bool, float]]):
+def _features(entries):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(entries)
+        trie = Trie(entries.value)
         for batch in batches:
             rows = [features(t, trie) if t else [0.0] * len(FEATURES) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "own": batch["own"], "x": rows})
@@ -227,7 +232,8 @@ def _scored(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     known = keep(known, "labels")
     few = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     entries = learn_lexicon(texts.join(few, "doc_id").select("text", "toxic"))
-    found = keep(texts.mapInPandas(_features(entries), "doc_id long, own long, x array<double>"), "toxicity")
+    sent = docs.sparkSession.sparkContext.broadcast(entries)
+    found = keep(texts.mapInPandas(_features(sent), "doc_id long, own long, x array<double>"), "toxicity")
     sample = found.join(few, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "toxic").collect()
     y = np.array([float(r[1] == 1) for r in sample])
     held_out = F.coalesce(~in_training(F.col("doc_id"), folds), F.lit(False)).alias("held_out")

@@ -314,6 +314,23 @@ def test_windows_tell_quotation():
     assert f('he said "moron" and left')["quoted"] == 1.0 and f("you are a moron")["addressed"] == 1.0 and f("moron here")["quoted"] == 0.0
 
 
+def test_windows_reach_to_both_sides():
+    trie = toxicity.Trie([("moron", False, 4.0)])
+    f = lambda s: dict(zip(toxicity.FEATURES, toxicity.features(s, trie)))
+    assert f("moron, he said")["quoted"] == 1.0 and f("moron, you are")["addressed"] == 1.0 and f("moron one two three four you")["addressed"] == 0.0
+
+
+def test_a_short_term_does_not_hide_a_long_one():
+    assert toxicity.Trie([("moro", False, 9.0), ("moron", False, 4.0)]).find("morop") == ("misspelled", 4.0)
+
+
+def test_all_terms_that_pass_are_kept(spark):
+    terms = [f"{w}{i}" for i, w in enumerate(words(4500, 31).split())]
+    rows = [(" ".join(terms), 1)] * 30 + [(words(30, i), 0) for i in range(60)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {t for t, stem, _ in found if not stem} >= set(terms)
+
+
 def test_held_out_toxicity(spark, data):
     d = data.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
