@@ -7,8 +7,9 @@ A block is one bytes value, little-endian throughout:
     words u64 x n_words | escape positions u32 x n_escapes | escape values u32 x n_escapes
 
 Each word holds a selector in its top four bits and WIDTHS[selector] ids below it, the first in the lowest bits.
-An id of more than ESCAPE_BITS bits is written as 0 and stands in the escape list, so that one large id does not
-widen the word around it. The last word of a block may be filled up with zeros; n_ids tells where the ids end.
+An id wider than the block's escape width is written as 0 and stands in the escape list, so that a large id does not
+widen the word around it; of the widths, the one by which the block is estimated to be smallest is taken. The last word
+of a block may be filled up with zeros; n_ids tells where the ids end.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import numpy as np
 MAGIC = b"S8L1"
 #: (ids in a word, bits of each), by selector.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-ESCAPE_BITS = 20
+#: Widest ids that can stand in a word beside others, and bytes of an escape.
+MOST_BITS, ESCAPE_BYTES = 30, 8
 
 
 def _take(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +50,17 @@ def _take(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, choice[where]
 
 
+def escape_width(values: np.ndarray) -> int:
+    """Bits above which ids are escaped: words for the others, as if all had the same width, and escapes cost least."""
+    bits = np.frexp(values.astype(np.float64))[1]
+    wider = len(values) - np.cumsum(np.bincount(bits, minlength=65))
+    return min((b for _, b in WIDTHS if b <= MOST_BITS), key=lambda b: (8 * len(values) * b / 60 + ESCAPE_BYTES * wider[b], -b))
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, escape positions and escape values of ``ids`` (unsigned, up to 32 bits)."""
     values = np.asarray(ids, np.uint64)
-    escapes = np.flatnonzero(values >> np.uint64(ESCAPE_BITS))
+    escapes = np.flatnonzero(values >> np.uint64(escape_width(values)))
     large = values[escapes].astype(np.uint32)
     if len(escapes):
         values = values.copy()
@@ -83,17 +92,16 @@ def decode(words: np.ndarray, n_ids: int, escapes: np.ndarray, large: np.ndarray
     return out
 
 
-def write_block(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
+def write_block(doc_ids: np.ndarray, gone: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A block of documents: their ids (``gone`` marks those that are null), lengths in token ids, and all token ids."""
     words, escapes, large = encode(ids)
     head = MAGIC + struct.pack("<4I", len(doc_ids), len(ids), len(words), len(escapes))
-    return b"".join((
-        head, np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.array(lengths, "<u4").tobytes(),
-        words.astype("<u8").tobytes(), escapes.astype("<u4").tobytes(), large.astype("<u4").tobytes(),
-    ))
+    parts = ((np.where(gone, 0, doc_ids), "<i8"), (gone, "u1"), (lengths, "<u4"), (words, "<u8"), (escapes, "<u4"), (large, "<u4"))
+    return head + b"".join(np.asarray(x).astype(kind).tobytes() for x, kind in parts)
 
 
-def read_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """(doc ids, ids of each document, all ids) of a block."""
+def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, which of them are null, ids of each document, all ids) of a block."""
     if data[:4] != MAGIC:
         raise ValueError("not a block of this format")
     n_docs, n_ids, n_words, n_escapes = struct.unpack_from("<4I", data, 4)
@@ -103,5 +111,4 @@ def read_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         part = np.frombuffer(data, kind, n, at)
         at += part.nbytes
         parts.append(part)
-    docs = [None if gone else int(d) for d, gone in zip(parts[0], parts[1])]
-    return docs, parts[2].astype(np.int64), decode(parts[3], n_ids, parts[4], parts[5])
+    return parts[0], parts[1].astype(bool), parts[2].astype(np.int64), decode(parts[3], n_ids, parts[4], parts[5])

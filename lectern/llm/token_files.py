@@ -1,41 +1,74 @@
-"""Token-id output: documents encoded with a public tokenizer and kept as Simple-8b blocks in document order."""
+"""Token-id output: documents encoded with a public tokenizer and written to files of Simple-8b blocks in document order.
+
+A file holds the blocks of one part one after the other (``simple8b`` describes a block), then an index and its end:
+
+    blocks | per block: offset u64, bytes u64, documents u32, ids u32, ids of the part before it u64 | blocks u32 | magic 'S8F1'
+
+Files are written to the shared folder under a name of their own for each attempt of a task. The manifest, a table of
+one row per block, names those of the attempts that counted; readers take no others.
+"""
 
 from __future__ import annotations
 
 import os
-import re
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .scratch import keep
+from .scratch import keep, shared_dir
 
 #: The id that ends a document, and the ids from which on a block is closed.
 END_ID, BLOCK_IDS = 1, 65_536
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 1_000_000
-
+#: Bytes of text encoded at once, and bytes of words that a worker remembers before it starts anew.
+AT_ONCE, REMEMBERED = 10_000_000, 96_000_000
+#: Bytes of text in a part at most, and the least ones for which a part of its own is worth while.
+PART_BYTES, LEAST_BYTES = 128_000_000, 4_000_000
+FILE_MAGIC = b"S8F1"
+_ENTRY = "<QQIIQ"
 
 #: Latin letters, which are one piece before they are split further, and the signs after them, which are another.
-_LATIN_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_LATIN_TAIL = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+
+
+class Pieces:
+    """Strings with their ids: the strings in one Arrow array, all ids in one pool."""
+
+    def __init__(self):
+        self.strings = pa.array([], pa.string())
+        self.starts, self.lengths, self.pool = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
+
+    def codes(self, strings: pa.Array) -> np.ndarray:
+        """Places of the strings, -1 for those that are not there."""
+        return pc.fill_null(pc.index_in(strings, value_set=self.strings), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
+    def add(self, strings: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.strings = pa.concat_arrays([self.strings, strings.cast(pa.string())])
+        self.starts = np.concatenate([self.starts, (len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int32)])
+        self.lengths, self.pool = np.concatenate([self.lengths, lengths.astype(np.int32)]), np.concatenate([self.pool, ids])
 
-def _folded(text: str) -> str:
-    """The text in lower case where the tokenizer's own folding does just the same: Latin-1 without special tokens."""
-    if "<|" in text:
-        return text
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+    def flat(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings with these codes, one after the other, and the number of each one's ids."""
+        counts = self.lengths[codes]
+        ends = np.cumsum(counts, dtype=np.int64)
+        n = int(ends[-1]) if len(ends) else 0
+        places = np.arange(n, dtype=np.int32 if n < 2**31 else np.int64)
+        places += np.repeat((self.starts[codes] - (ends - counts)).astype(places.dtype), counts)
+        return self.pool[places], counts
+
+    def size(self) -> int:
+        return self.strings.nbytes + self.pool.nbytes + self.starts.nbytes + self.lengths.nbytes
 
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -50,7 +83,7 @@ def encoder_for(path: str) -> "WordEncoder":
 
 class WordEncoder:
     """Encodes texts word by word, which gives what encoding whole texts gives for tokenizers that drop white space
-    and never join pieces across it; each different word goes to the tokenizer once."""
+    and never join pieces across it; each different word goes to the tokenizer once while it is remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,9 +96,9 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.lengths = np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        # the first word stands for a text's end; no word of a text holds a blank
+        self.words, self.parts = Pieces(), Pieces()
+        self.words.add(pa.array([" "]), np.array([END_ID], np.uint32), np.array([1], np.int64))
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -78,118 +111,188 @@ class WordEncoder:
         ends = np.flatnonzero(self.is_end[ids]) if len(ids) else np.empty(0, np.int64)
         return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self._each(words)
 
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words))))
-        self.lengths, self.pool = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, ids])
-
-    def _flat(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words with these codes, one after the other, and the number of each one's ids."""
-        counts = self.lengths[codes]
-        ends = np.cumsum(counts)
-        starts = np.cumsum(self.lengths) - self.lengths
-        return self.pool[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
-
-    def _learn(self, words: list[str]) -> None:
-        matches = [_LATIN_TAIL(w) for w in words]
-        plain = [w for w, m in zip(words, matches) if m and not m[2]]
-        tailed = [(w, m[1], m[2]) for w, m in zip(words, matches) if m and m[2]]
-        other = [w for w, m in zip(words, matches) if not m]
-        # stems and the signs after them are words of their own, learned with the others
-        known = self.codes
-        stems = [w for w in dict.fromkeys([*plain, *(s for _, s, _ in tailed)]) if w not in known]
-        other += [w for w in dict.fromkeys(t for _, _, t in tailed) if w not in known]
-        for some, how in ((stems, self._plain), (list(dict.fromkeys(other)), self._each)):
-            parts = [how(some[lo : lo + 8192]) for lo in range(0, len(some), 8192)]
-            if parts:
-                self._add(some, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        if tailed:
-            both = np.fromiter((known[x] for _, s, t in tailed for x in (s, t)), np.int64, 2 * len(tailed))
-            ids, counts = self._flat(both)
-            self._add([w for w, _, _ in tailed], ids, counts[0::2] + counts[1::2])
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one after the other, and the number of each text's ids."""
-        if len(self.codes) > REMEMBERED:
+    def _part_codes(self, column: pa.Array, how) -> np.ndarray:
+        """Codes of stems or of the signs after them, encoded first where they are new."""
+        encoded = column.dictionary_encode()
+        codes = self.parts.codes(encoded.dictionary)
+        new = encoded.dictionary.filter(pa.array(codes < 0))
+        strings, known = new.to_pylist(), len(self.parts.strings)
+        found = [how(strings[lo : lo + 8192]) for lo in range(0, len(strings), 8192)]
+        if found:
+            self.parts.add(new, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+            codes[codes < 0] = np.arange(known, known + len(strings))
+        return codes[encoded.indices.to_numpy()]
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Codes of new words. Latin-1 letters are lower-cased here as the tokenizer does it, so that a stem is one
+        whatever its case; everything else goes to the tokenizer as it is."""
+        split = pc.extract_regex(words, _LATIN_TAIL)
+        is_latin = split.is_valid()
+        latin, other = words.filter(is_latin), words.filter(split.is_null())
+        split, known = split.filter(is_latin), len(self.words.strings)
+        if len(latin):
+            both = np.stack([self._part_codes(pc.utf8_lower(split.field("stem")), self._plain), self._part_codes(split.field("tail"), self._each)], 1)
+            ids, counts = self.parts.flat(both.ravel())
+            self.words.add(latin, ids, counts[0::2] + counts[1::2])
+        if len(other):
+            self.words.add(other, *self._each(other.to_pylist()))
+        order = np.argsort(~is_latin.to_numpy(zero_copy_only=False), kind="stable")
+        codes = np.empty(len(words), np.int64)
+        codes[order] = np.arange(known, known + len(words))
+        return codes
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's followed by the end id, and the number of each text's ids."""
+        if self.words.size() + self.parts.size() > REMEMBERED:
             self._clear()
-        split = [_folded(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = [w for ws in split for w in ws]
-        known = self.codes
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            self._learn(new)
-        flat, counts = self._flat(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        edges = np.cumsum([0, *map(len, split)])
-        return flat, np.diff(np.concatenate([[0], np.cumsum(counts)])[edges])
-
-
-def _blocks(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part = encoder_for(path), TaskContext.get().partitionId()
-        docs: list = []
-        lengths: list[int] = []
-        held: list[np.ndarray] = []
-        count = number = before = 0
-
-        def close() -> pd.DataFrame:
-            data = simple8b.write_block(docs, lengths, np.concatenate(held))
-            return pd.DataFrame({"part": [part], "number": [number], "n_docs": [len(docs)], "n_ids": [count], "before": [before], "data": [data]})
-
-        for batch in batches:
-            ids_of = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
-            texts = batch["text"].tolist()
-            lo = 0
-            while lo < len(texts):  # a bounded number of characters at once
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars < 2_000_000):
-                    chars += len(texts[hi])
-                    hi += 1
-                ids, sizes = encoder(texts[lo:hi])
-                at = 0
-                for d, n in zip(ids_of[lo:hi], sizes.tolist()):
-                    docs.append(None if d is None else int(d))
-                    lengths.append(n + 1)
-                    held += [ids[at : at + n], np.array([END_ID], np.uint32)]
-                    at += n
-                    count += n + 1
-                    if count >= BLOCK_IDS:
-                        yield close()
-                        number += 1
-                        before += count
-                        docs, lengths, held, count = [], [], [], 0
-                lo = hi
-        if docs:
-            yield close()
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        codes = self.words.codes(words.dictionary)
+        if (codes < 0).any():
+            codes[codes < 0] = self._learn(words.dictionary.filter(pa.array(codes < 0)))
+        edges = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        with_ends = np.insert(codes[words.indices.to_numpy()], edges[1:], 0)
+        ids, counts = self.words.flat(with_ends)
+        upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        return ids, np.diff(upto[edges + np.arange(len(edges))])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_id and text of about AT_ONCE bytes of text, of several batches or of a part of one."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= AT_ONCE:
+            yield from _slices(held)
+            held, size = [], 0
+    if held:
+        yield from _slices(held)
+
+
+def _slices(batches: list[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The batches' rows cut by bytes of text; a longer text comes alone."""
+    ids, texts = (pa.concat_arrays([b.column(i) for b in batches]) for i in (0, 1))
+    bytes_ = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(bytes_, (bytes_[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        yield ids.slice(lo, hi - lo), texts.slice(lo, hi - lo)
+        lo = hi
+
+
+_MANIFEST = "part int, number int, file string, offset long, bytes long, n_docs int, n_ids long, before long"
+
+
+def _write(tokenizer: str, folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part = encoder_for(tokenizer), TaskContext.get().partitionId()
+        file = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.s8b"
+        system, path = fs.FileSystem.from_uri(file)
+        system.create_dir(os.path.dirname(path), recursive=True)
+        rows: list[dict] = []
+        docs: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        held = offset = before = 0
+
+        def close() -> None:
+            nonlocal held, offset, before
+            n = np.concatenate(lengths)
+            data = simple8b.write_block(np.concatenate(docs), np.concatenate(nulls), n, np.concatenate(ids))
+            out.write(data)
+            rows.append({"part": part, "number": len(rows), "file": file, "offset": offset, "bytes": len(data), "n_docs": len(n), "n_ids": held, "before": before})
+            before, offset, held = before + held, offset + len(data), 0
+            for x in (docs, nulls, lengths, ids):
+                x.clear()
+
+        with system.open_output_stream(path) as out:
+            for doc_ids, texts in _gathered(batches):
+                found, sizes = encoder(texts)
+                ends = np.cumsum(sizes)
+                gone = doc_ids.is_null().to_numpy(zero_copy_only=False)
+                known = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False)
+                lo = 0
+                while lo < len(sizes):
+                    first = ends[lo - 1] if lo else 0
+                    hi = min(len(sizes), int(np.searchsorted(ends, first + BLOCK_IDS - held)) + 1)
+                    docs.append(known[lo:hi])
+                    nulls.append(gone[lo:hi])
+                    lengths.append(sizes[lo:hi])
+                    ids.append(found[first : ends[hi - 1]])
+                    held += int(ends[hi - 1] - first)
+                    if held >= BLOCK_IDS:
+                        close()
+                    lo = hi
+            if docs:
+                close()
+            for r in rows:
+                out.write(struct.pack(_ENTRY, r["offset"], r["bytes"], r["n_docs"], r["n_ids"], r["before"]))
+            out.write(struct.pack("<I", len(rows)) + FILE_MAGIC)
+        types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        names = [c.split()[0] for c in _MANIFEST.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, types)], names)
 
     return run
 
 
+def parts_of(docs: DataFrame) -> int:
+    """Number of parts: by the bytes of the texts, not more than PART_BYTES each."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // PART_BYTES), min(-(-size // LEAST_BYTES), 4 * cores))
+
+
 def write_blocks(docs: DataFrame, tokenizer: str, partitions: int | None = None) -> DataFrame:
-    """Encode ``docs(doc_id, text)`` and write the blocks, as a table (part, number, n_docs, n_ids, before, data), to the shared
-    folder; parts and numbers follow ascending doc_id (null ids first, equal ids by their text's hash). Null texts are
-    empty and have just the end id. A document is never cut, so a block is as long as its longest document at least.
+    """Encode ``docs(doc_id, text)`` and write a file of blocks for each part to the shared folder. Returns the manifest,
+    a row per block: part, number, file, offset, bytes, n_docs, n_ids, before (ids of the part before it).
+
+    Parts and numbers follow ascending doc_id (null ids first, equal ids by their text's hash; equal rows stay as often
+    as they are). Null texts are empty and have just the end id. A document is never cut, so a block is as long as its
+    longest document at least. An empty table gives no blocks; other columns are not read.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return keep(ordered.mapInPandas(_blocks(tokenizer), "part int, number int, n_docs int, n_ids long, before long, data binary"), "blocks")
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(partitions or parts_of(docs), *order).sortWithinPartitions(*order)
+    folder = f"{shared_dir(docs.sparkSession)}/lectern/tokens-{uuid.uuid4().hex}"
+    return keep(ordered.mapInArrow(_write(tokenizer, folder), _MANIFEST), "manifest")
+
+
+def read_index(file: str) -> list[tuple[int, int, int, int, int]]:
+    """(offset, bytes, documents, ids, ids before) of each block of a file, from its own index."""
+    system, path = fs.FileSystem.from_uri(file)
+    with system.open_input_file(path) as f:
+        end = f.size() - 8
+        f.seek(end)
+        (n,), magic = struct.unpack("<I", f.read(4)), f.read(4)
+        if magic != FILE_MAGIC:
+            raise ValueError("not a file of this format")
+        size = struct.calcsize(_ENTRY)
+        f.seek(end - n * size)
+        return list(struct.iter_unpack(_ENTRY, f.read(n * size)))
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for start, data in zip(batch["start"], batch["data"]):
-            docs, lengths, ids = simple8b.read_block(data)
-            ends = np.cumsum(lengths)
-            raw = memoryview(ids.astype("<u4").tobytes())
-            crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-            yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "start": ends - lengths + int(start), "n_tokens": lengths, "ids_crc32": crcs})
+        for file, rows in batch.groupby("file", sort=False):
+            system, path = fs.FileSystem.from_uri(file)
+            with system.open_input_file(path) as f:
+                for start, offset, size in zip(rows["start"].tolist(), rows["offset"].tolist(), rows["bytes"].tolist()):
+                    f.seek(offset)
+                    docs, gone, lengths, ids = simple8b.read_block(f.read(size))
+                    ends = np.cumsum(lengths)
+                    raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+                    crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+                    yield pd.DataFrame({"doc_id": pd.array(docs, "Int64").copy() if not gone.any() else pd.array(np.where(gone, None, docs), "Int64"), "start": ends - lengths + start, "n_tokens": lengths, "ids_crc32": crcs})
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
     """Per document of the written blocks: doc_id, start (ids before it), n_tokens (with the end id), ids_crc32.
 
-    A block knows how many ids of its part come before it; the running sum over parts has as many rows as partitions.
+    A block knows how many ids of its part come before it; the running sum over parts has as many rows as parts.
     """
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
     parts = parts.select("part", (F.sum("of_part").over(W.orderBy("part")) - F.col("of_part")).alias("base"))
-    placed = blocks.join(F.broadcast(parts), "part").select((F.col("base") + F.col("before")).alias("start"), "data")
+    placed = blocks.join(F.broadcast(parts), "part").select((F.col("base") + F.col("before")).alias("start"), "file", "offset", "bytes")
     return placed.mapInPandas(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

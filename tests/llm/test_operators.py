@@ -361,9 +361,12 @@ def test_blocks_round_trip():
             v = rng.integers(0, top, n, dtype=np.uint64).astype(np.uint32)
             w, e, big = simple8b.encode(v)
             assert (simple8b.decode(w, n, e, big) == v).all()
-    data = simple8b.write_block([5, None], [2, 1], np.array([7, 2**31, 1], np.uint32))
-    docs, lengths, ids = simple8b.read_block(data)
-    assert docs == [5, None] and lengths.tolist() == [2, 1] and ids.tolist() == [7, 2**31, 1]
+    data = simple8b.write_block(np.array([5, 9]), np.array([False, True]), np.array([2, 1]), np.array([7, 2**31, 1], np.uint32))
+    docs, gone, lengths, ids = simple8b.read_block(data)
+    assert docs.tolist() == [5, 0] and gone.tolist() == [False, True] and lengths.tolist() == [2, 1] and ids.tolist() == [7, 2**31, 1]
+    mostly_small = np.where(np.arange(5000) % 100, 40, 40_000).astype(np.uint32)
+    w, e, _ = simple8b.encode(mostly_small)
+    assert len(e) == 50 and 8 * len(w) + 8 * len(e) < 5000
     with pytest.raises(ValueError):
         simple8b.read_block(b"other")
 
@@ -383,6 +386,23 @@ def test_token_ids_match_the_tokenizer(spark, docs):
     assert token_files.read_documents(token_files.write_blocks(d.limit(0), tokenizer_path())).count() == 0
 
 
+def test_files_of_odd_rows(spark):
+    from pyarrow import fs
+
+    rows = [(None, "a b", 1), (None, None, 2), (3, words(60_000, 4) + " É!!", 3), (3, "x", 4), (3, "x", 5), (4, " \n\t", 6), (None, "z" * 70_000, 7)]
+    blocks = token_files.write_blocks(spark.createDataFrame(rows, "doc_id long, text string, part int"), tokenizer_path(), 2)
+    got = token_files.read_documents(blocks).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, None, 3, 3, 3, 4] and sorted(r["n_tokens"] for r in got)[:4] == [1, 1, 2, 2]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    for file in {r["file"] for r in blocks.collect()}:
+        system, path = fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as f:
+            for offset, size, docs, ids, _ in token_files.read_index(file):
+                f.seek(offset)
+                found = simple8b.read_block(f.read(size))
+                assert len(found[0]) == docs and len(found[3]) == ids and (found[3][np.cumsum(found[2]) - 1] == token_files.END_ID).all()
+
+
 # --- 10: licenses ----------------------------------------------------------------------------------------------
 
 
