@@ -29,7 +29,9 @@ COMPONENTS = BANDS * ROWS
 #: Rows up to which a counted table is broadcast, and elements in a numpy step.
 BROADCAST_ROWS, STEP = 500_000, 250_000
 #: Nodes of the two sides of a block.
-QUERIES, ROWS_AT_ONCE = 64, 512
+QUERIES, ROWS_AT_ONCE = 128, 512
+#: Shared shingles of two blocks that are compared at once.
+COLUMNS = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -180,18 +182,61 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
 
 
+def overlaps(q: list[tuple[np.ndarray, np.ndarray]], r: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all pairs of weighted sets: the weight of their shared elements in the one, in the other, and their number."""
+    shared = np.intersect1d(np.unique(np.concatenate([v for v, _ in q])), np.unique(np.concatenate([v for v, _ in r])), assume_unique=True)
+    sides = []
+    for side in (q, r):
+        values, weights = np.concatenate([v for v, _ in side]), np.concatenate([w for _, w in side]).astype(np.float32)
+        at = np.searchsorted(shared, values)
+        found = np.flatnonzero((at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == values)) if len(shared) else np.empty(0, np.int64)
+        order = found[np.argsort(at[found], kind="stable")]
+        sides.append((np.repeat(np.arange(len(side)), [len(v) for v, _ in side])[order], at[order], weights[order]))
+    out = [np.zeros((len(q), len(r)), np.float32) for _ in range(3)]
+    for lo in range(0, len(shared), COLUMNS):
+        dense = []
+        for (row, at, weight), side in zip(sides, (q, r)):
+            i = slice(*np.searchsorted(at, (lo, lo + COLUMNS)))
+            heavy, plain = np.zeros((len(side), COLUMNS), np.float32), np.zeros((len(side), COLUMNS), np.float32)
+            heavy[row[i], at[i] - lo], plain[row[i], at[i] - lo] = weight[i], 1
+            dense.append((heavy, plain))
+        (hq, pq), (hr, pr) = dense
+        for total, part in zip(out, (hq @ pr.T, pq @ hr.T, pq @ pr.T)):
+            total += part
+    return out[0], out[1], out[2]
+
+
+def most_similar(q: list[tuple[np.ndarray, np.ndarray]], r: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Upper bounds of the probability Jaccard similarities of all pairs, exact where all weights are 1.
+
+    With weights x and y of 1 or more, sum_j max(x_j / x_i, y_j / y_i) is at least S / max(x_i, y_i), where S is the weight
+    outside the shared elements and the larger one inside, and max(x_i, y_i) is at most x_i + y_i - 1.
+    """
+    a, b, n = overlaps(q, r)
+    x, y = np.array([w.sum() for _, w in q])[:, None], np.array([w.sum() for _, w in r])[None]
+    return (a + b - n) / np.maximum(x - a + y - b + np.maximum(a, b), 1e-9)
+
+
 def _search(similarity: float):
-    """Links between a block of queries and a block of nodes of one pool: those of another class that share a band."""
+    """Links between a block of queries and a block of nodes of one pool: those of another class that share a band. Two
+    classes need one link."""
 
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
-            held = np.stack(rows["bands"].to_numpy())
-            nodes, own, led = rows["node"].tolist(), rows["own"].to_numpy(), (rows["own"] == rows["pool"]).to_numpy()
-            for x, own_x, bands_x, s in zip(queries["node"], queries["own"], queries["bands"], queries["s"]):
-                for i in np.flatnonzero((held == bands_x).any(1)):
-                    if own[i] != own_x and (led[i] or x < nodes[i]) and probability_jaccard(s, rows["s"].iat[i]) >= similarity:
-                        out.append((min(x, nodes[i]), max(x, nodes[i])))
+            sets = [[weighted(s) for s in side["s"]] for side in (queries, rows)]
+            possible = most_similar(*sets) >= similarity - 1e-3
+            own = pd.factorize(pd.concat([queries["own"], rows["own"]]))[0]
+            mine, theirs = own[: len(queries)], own[len(queries) :]
+            held, bands_ = np.stack(rows["bands"].to_numpy()), np.stack(queries["bands"].to_numpy())
+            led, x, nodes = (rows["own"] == rows["pool"]).to_numpy(), queries["node"].tolist(), rows["node"].tolist()
+            linked = set()
+            for i in range(len(queries)):
+                at = np.flatnonzero(possible[i] & (theirs != mine[i]))
+                for j in at[(held[at] == bands_[i]).any(1)].tolist():
+                    if (mine[i], theirs[j]) not in linked and (led[j] or x[i] < nodes[j]) and probability_jaccard(queries["s"].iat[i], rows["s"].iat[j]) >= similarity:
+                        out.append((min(x[i], nodes[j]), max(x[i], nodes[j])))
+                        linked.add((mine[i], theirs[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run

@@ -246,6 +246,17 @@ def test_signatures_estimate_the_probability_jaccard():
     assert math.isclose(exact, brute, rel_tol=1e-9) and abs((sig[0] == sig[1]).mean() - exact) < 0.03
 
 
+def test_bounds_of_blocks_hold():
+    rng = np.random.default_rng(3)
+    sets = [near_dup.weighted(rng.integers(0, 60, n)) for n in (1, 5, 40, 80, 200)] + [near_dup.weighted(rng.permutation(9000)[:n]) for n in (50, 6000, 8000)]
+    spread = [(np.repeat(v, np.rint(np.exp(w - 1)).astype(int))) for v, w in sets]
+    bound = near_dup.most_similar(sets, sets)
+    for i, a in enumerate(spread):
+        for j, b in enumerate(spread):
+            exact = near_dup.probability_jaccard(a, b)
+            assert bound[i, j] >= exact - 1e-4 and (min(i, j) < 5 or math.isclose(bound[i, j], exact, abs_tol=1e-4))
+
+
 def test_classes_match_brute_force(spark, docs):
     sets = docs.select("doc_id", "text", near_dup.shingle_hashes(F.col("text"), short=True).alias("s")).collect()
     parent = {r["doc_id"]: r["doc_id"] for r in sets}
