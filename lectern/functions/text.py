@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ EXAMPLE_WORDS = ("example", "consider", "suppose", "let us", "case", "illustrati
 CHART_WORDS = ("chart", "graph", "x-axis", "y-axis", "legend", "series", "plot", "trend", "increase", "decrease", "percentage", "vs ", "axis")
 PREAMBLES = ("here is", "i fixed", "the corrected", "below is", "certainly", "sure,", "of course")
 CODE_STARTS = ("class ", "public ", "private ", "def ", "#include")
-CODE_SIGNALS = ("{", "}", ";", "#include", "def ", "return ", "int main")
+CODE_SIGNALS = ("{", "}", ";", "#include", "class ", "return", "::")
 ANSWER_CODE_SIGNALS = ("{", "}", ";", "::", "->", "def ", "class ", "#include", "return ", "void ")
-OPTION_MARKS = ("a)", "b)", "c)", "d)", "A)", "B)", "C)", "D)", "a.", "b.", "c.", "d.")
+OPTION_MARKS = ("a)", "b)", "c)", "d)", "a.", "b.", "c.", "d.", "1)", "2)", "3)", "4)")
+#: Substitutions in recognised code. Letters, digits and _ of any alphabet make a word.
+OCR_FIXES = ((r"(?<=[a-zA-Z])0(?![\p{L}\p{N}_])", "O"), (r"(?<![\p{L}\p{N}_])l(?![\p{L}\p{N}_])", "1"), (r"(?<=[0-9])l(?=[0-9])", "1"))
 #: English stop words of the usual list; they hold "no" and "not", which leave reference words too.
 STOP_WORDS = tuple(
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that "
@@ -38,9 +41,33 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+@cache
+def ascii_forms() -> tuple[str, str, dict[str, str]]:
+    """What is left in ASCII of the compatibility decompositions of Unicode's first plane, Hangul and ideographs apart:
+    characters and their one-letter forms, and those that have longer ones."""
+    one, long = {}, {}
+    for c in map(chr, (*range(0xA0, 0x3400), *range(0xF900, 0x10000))):
+        form = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(form) == 1:
+            one[c] = form
+        elif form:
+            long[c] = form
+    return "".join(one), "".join(one.values()), long
+
+
+def to_ascii(text: Column) -> Column:
+    """Letters without their accents, ligatures and other compatibility characters written out; the rest of what is
+    not ASCII goes."""
+    have, want, long = ascii_forms()
+    plain = F.translate(text, have, want)
+    few = [c for c in long if ord(c) < 0x2200 or 0xFB00 <= ord(c) <= 0xFB06]
+    written = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(long[c])), few, plain)
+    return F.regexp_replace(F.when(F.rlike(plain, F.lit(f"[{''.join(few)}]")), written).otherwise(plain), r"[^\x00-\x7f]", "")
+
+
 def normalize_text(text: Column) -> Column:
     """ASCII only, without control characters, rules, bare page numbers, repeated characters and lines of signs."""
-    ascii_only = F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7f]", ""), r"[\x00\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    ascii_only = F.regexp_replace(to_ascii(text), r"[\x00\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     lines = lines_of(F.regexp_replace(ascii_only, r"\n{3,}", "\n\n"))
 
     def keep(lines: Column) -> Column:
@@ -58,16 +85,16 @@ def normalize_text(text: Column) -> Column:
 
 
 def clean_ocr_text(text: Column) -> Column:
-    """Without lines of preamble."""
-    return F.array_join(F.filter(lines_of(text), lambda x: ~any_of(F.lower(F.trim(x)), PREAMBLES)), "\n")
+    """Normalised text without lines of preamble."""
+    kept = F.array_join(F.filter(lines_of(normalize_text(text)), lambda x: ~any_of(F.lower(F.trim(x)), PREAMBLES)), "\n")
+    return F.regexp_replace(kept, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
 
 
 def fix_ocr_code(text: Column) -> Column:
-    """Usual confusions of recognised code: digits for letters in words, curly quotes, spaced operators, lost colons."""
-    t = F.regexp_replace(text, r"(?<=[A-Za-z])0(?=[A-Za-z])", "o")
-    t = F.regexp_replace(t, r"(?<=[A-Za-z])1(?=[A-Za-z])", "l")
-    t = F.regexp_replace(t, r"[‘’]", "'")
-    return F.regexp_replace(t, r"[ \t]+;", ";")
+    """Usual confusions of recognised code: a zero at a word's end is an O, an l alone or between digits a one."""
+    for pattern, correct in OCR_FIXES:
+        text = F.regexp_replace(text, pattern, correct)
+    return text
 
 
 def code_score(text: Column) -> Column:

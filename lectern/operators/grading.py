@@ -5,6 +5,7 @@ Embeddings are optional: without them the similarity is the cosine of the texts'
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,18 @@ def entailment(contradiction: Column, similarity: Column) -> Column:
     return F.when(contradiction, 0.25).when(s >= 0.75, 1.0).when(s >= 0.55, 0.75).when(s >= 0.40, 0.5).when(s >= 0.25, 0.3).otherwise(0.15)
 
 
+#: Feedback by error class, for high scores, and ('') for any other class.
+MESSAGES = {
+    "high": "Excellent — all key points covered.",
+    "off_topic": "Your answer doesn't address the question. Re-read: {question}",
+    "conceptual": "Core concept misunderstood. Review: {missing}.",
+    "partial": "Partially correct. Missing details on: {missing}.",
+    "code_syntax": "Code logic may be right but contains syntax errors. Review carefully.",
+    "careless": "Almost there — improve precision on: {missing}.",
+    "": "Review the concept — missing: {missing}.",
+}
+
+
 def credit(similarity: Column) -> Column:
     return F.when(similarity >= 0.60, 1.0).when(similarity >= 0.45, 0.6).when(similarity >= 0.30, 0.2).otherwise(0.0)
 
@@ -118,16 +131,16 @@ def error_class(score: Column, similarity: Column, keyword: Column, nli: Column,
     )
 
 
-def feedback(score: Column, error: Column, missing: Column, question: Column) -> Column:
+def feedback(score: Column, error: Column, missing: Column, question: Column, messages: dict[str, str] = MESSAGES, high: float = 0.85) -> Column:
+    """The message of an answer's error class; {missing} in it are the words that the answer lacks, {question} the question."""
     words = F.when(F.size(missing) > 0, F.array_join(missing, ", ")).otherwise("key concepts")
-    return (
-        F.when(score >= 0.85, "Excellent: all key points are covered.").when(error == "off_topic", F.concat(F.lit("This does not answer the question. Read it again: "), question))
-        .when(error == "conceptual", F.concat(F.lit("A core concept is misunderstood. Review: "), words, F.lit(".")))
-        .when(error == "partial", F.concat(F.lit("Partly right. Details are missing on: "), words, F.lit(".")))
-        .when(error == "code_syntax", "The logic may be right, but there are syntax errors.")
-        .when(error == "careless", F.concat(F.lit("Nearly right. Be more precise on: "), words, F.lit(".")))
-        .otherwise(F.concat(F.lit("Review the concept. Missing: "), words, F.lit(".")))
-    )
+    fields = {"{missing}": words, "{question}": question}
+
+    def filled(message: str) -> Column:
+        return F.concat(*[fields.get(p, F.lit(p)) for p in re.split(r"({missing}|{question})", message) if p])
+
+    by_class = [(k, m) for k, m in messages.items() if k not in ("", "high")]
+    return reduce(lambda c, km: c.when(error == km[0], filled(km[1])), by_class, F.when(score >= high, filled(messages["high"]))).otherwise(filled(messages[""]))
 
 
 def grade(answers: DataFrame, similarity: Column | None = None) -> DataFrame:
@@ -165,7 +178,7 @@ def question_problem(question: Column, answer: Column) -> Column:
 
 
 def is_choice(text: Column) -> Column:
-    return t.contains_count(text, t.OPTION_MARKS) >= 3
+    return t.contains_count(F.lower(text), t.OPTION_MARKS) >= 3
 
 
 def valid_choice(options: Column, correct: Column) -> Column:

@@ -190,14 +190,32 @@ def simple_reward(score: Column, previous: Column, difficulty: Column) -> Column
     return (0.6 * score + 0.4 * (score - previous)) * weight
 
 
-def shaped_rewards(mastered: DataFrame, met_after: DataFrame | None = None, w: tuple[float, float, float, float] = (1.0, 0.5, 0.5, 0.1)) -> DataFrame:
-    """Improvement, coverage, advancement and mastery terms of each attempt, and their weighted sum ``shaped``."""
+def blocked_topics(mastered: DataFrame, prereqs: DataFrame) -> DataFrame:
+    """student, step, blocked: of the topics that the attempt's topic is a prerequisite of, those that after the
+    attempt still have a prerequisite that is not understood. ``mastered`` needs level; prereqs is a dimension table."""
+    edges = prereqs.select("topic", "prereq").distinct()
+    wanted = edges.select(F.col("topic").alias("next"), F.col("prereq").alias("topic")).join(edges.select(F.col("topic").alias("next"), F.col("prereq").alias("asked")), "next")
+    understood = (F.col("attempt") >= 3) & (F.col("running_mean") >= by_level(SUFFICIENT, F.col("level")))
+    known = mastered.select("student", "step", "topic", F.lit(None).cast("string").alias("next"), understood.alias("understood"))
+    asked = mastered.select("student", "step", "topic").join(F.broadcast(wanted), "topic").select("student", "step", F.col("asked").alias("topic"), "next", F.lit(None).cast("boolean").alias("understood"))
+    # rows that tell come before rows that ask of the same step
+    w = W.partitionBy("student", "topic").orderBy("step", F.col("next").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    state = known.unionByName(asked).withColumn("understood", F.last("understood", ignorenulls=True).over(w)).where("next is not null")
+    each = state.groupBy("student", "step", "next").agg(F.bool_and(F.coalesce("understood", F.lit(False))).alias("met"))
+    return each.groupBy("student", "step").agg(F.count_if(~F.col("met")).alias("blocked"))
+
+
+def shaped_rewards(mastered: DataFrame, prereqs: DataFrame, w: tuple[float, float, float, float, float] = (1.0, 0.5, 0.5, 0.1, 0.2)) -> DataFrame:
+    """Improvement, coverage, mastery, advancement and prerequisite terms of each attempt, and their weighted sum
+    ``shaped``. The last term is 0.2 of the topic's mean for each topic that still waits for one of its prerequisites."""
+    mastered = mastered.join(blocked_topics(mastered, prereqs), ["student", "step"], "left")
     improvement = F.col("score") - F.col("previous_mean") - F.when((F.col("score") < 0.3) & (F.col("attempt") > 3), 0.2).otherwise(0.0)
     coverage = F.when((F.col("attempt") > 5) & (F.col("running_mean") < 0.2), -0.5).when(F.col("attempt") < 5, 0.7).when(F.col("trend") < 0, 0.4).otherwise(0.0)
     advance = F.when((F.col("top_d") > F.col("before_d")) | (F.col("top_q") > F.col("before_q")), 0.2).otherwise(0.0)
-    return mastered.withColumn("improvement", improvement).withColumn("coverage", coverage).withColumn("advancement", advance).withColumn(
-        "shaped", w[0] * F.col("improvement") + w[1] * F.col("coverage") + w[3] * F.col("advancement") - w[2] * F.col("mastered").cast("double")
-    )
+    opening = 0.2 * F.col("running_mean") * F.coalesce("blocked", F.lit(0))
+    terms = {"improvement": improvement, "coverage": coverage, "advancement": advance, "opening": opening}
+    total = w[0] * F.col("improvement") + w[1] * F.col("coverage") + w[3] * F.col("advancement") + w[4] * F.col("opening") - w[2] * F.col("mastered").cast("double")
+    return mastered.withColumns(terms).withColumn("shaped", total)
 
 
 def gain_rewards(mastered: DataFrame, topics: int, pre_update: bool = False) -> DataFrame:

@@ -101,4 +101,5 @@ def digest(rows: DataFrame, key: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(W.orderBy(*order))).where(F.col("place") <= n)
+    """The first n rows with their place; they are chosen before they are numbered, so one task numbers n rows."""
+    return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(W.orderBy(*order)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,8 +73,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row of ``vectors`` with every query (query_id, query_vec) of a counted, small query table: a blocked scan."""
-    return vectors.join(small(queries)).withColumn("score", dot(F.col("embedding"), F.col("query_vec")))
+    """Every row of ``vectors`` with every query (query_id, query_vec): a scan for each block of BROADCAST_ROWS queries, which
+    is sent to all tasks. No more than that is ever broadcast, and the vectors are not shuffled."""
+    blocks = max(1, -(-queries.count() // BROADCAST_ROWS))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    each = [vectors.join(F.broadcast(queries.where(of == i) if blocks > 1 else queries)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, each).withColumn("score", dot(F.col("embedding"), F.col("query_vec")))
 
 
 def with_fallback(filtered: DataFrame, everything: DataFrame) -> DataFrame:

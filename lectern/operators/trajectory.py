@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,14 +36,30 @@ def batches(attempts: DataFrame, size: int = BATCH) -> DataFrame:
     return attempts.groupBy("student", b).agg(F.count("*").alias("answers"), F.avg("score").alias("mean_score")).where("answers >= 2").withColumn("full_batch", F.col("answers") == size)
 
 
-def _discounted(value: Column, rate: float, place: Column, window: W) -> Column:
-    return F.sum(value * F.pow(F.lit(rate), place)).over(window.rowsBetween(W.currentRow, W.unboundedFollowing)) / F.pow(F.lit(rate), place)
+def _discounted(rows: DataFrame, value: Column, rate: float, keys: list[str], place: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of this and all later values of the keys, each step later times ``rate``.
+
+    Places (from 1) are cut into segments over which the rate's powers fall to about 1e-18. A row needs the sums of its
+    own segment and, times a power, that of the next one; what is further off is below the precision of the sum. Powers
+    are of the place in the segment, so they do not underflow, and sums run backwards, so that each is the one before it
+    and one value more.
+    """
+    length = max(1, math.ceil(math.log(1e-18) / math.log(rate))) if rate < 1 else 1 << 40
+    at = (place - 1) % length
+    rows = rows.withColumn("__place", place).withColumn("__at", at).withColumn("__segment", F.floor((place - 1) / length))
+    back = W.partitionBy(*keys, "__segment").orderBy(F.desc("__place")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("__own", F.sum(value * F.pow(F.lit(rate), F.col("__at"))).over(back) / F.pow(F.lit(rate), F.col("__at")))
+    later = W.partitionBy(*keys).orderBy(F.desc("__place")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    start = F.last(F.when(F.col("__at") == 0, F.struct("__own", "__segment")), ignorenulls=True).over(later.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("__next", start)
+    ahead = F.when(F.col("__next.__segment") == F.col("__segment") + 1, F.col("__next.__own") * F.pow(F.lit(rate), length - F.col("__at")))
+    return rows.withColumn(name, F.col("__own") + F.coalesce(ahead, F.lit(0.0))).drop("__place", "__at", "__segment", "__own", "__next")
 
 
 def returns(rows: DataFrame, reward: Column, gamma: float = GAMMA) -> DataFrame:
     """Discounted return from each step on, and standardised over the student's steps."""
     whole = W.partitionBy("student")
-    r = rows.select("student", "step", _discounted(reward, gamma, F.col("step"), by_step()).alias("ret"))
+    r = _discounted(rows.withColumn("__reward", reward), F.col("__reward"), gamma, ["student"], F.col("step"), "ret").select("student", "step", "ret")
     return r.withColumn("standardised", (F.col("ret") - F.avg("ret").over(whole)) / (F.coalesce(F.stddev_samp("ret").over(whole), F.lit(0.0)) + 1e-8))
 
 
@@ -55,7 +73,8 @@ def dataset(rows: DataFrame, gamma: float = GAMMA, lam: float = LAMBDA) -> DataF
     w = W.partitionBy("student", "episode").orderBy("step")
     following = F.when(F.col("done"), 0.0).otherwise(F.coalesce(F.lead("value").over(w), F.lit(0.0)))
     e = e.withColumn("delta", F.col("reward") + gamma * following - F.col("value")).withColumn("place", F.row_number().over(w))
-    return e.withColumn("advantage", _discounted(F.col("delta"), gamma * lam, F.col("place"), w)).withColumn("ret", _discounted(F.col("reward"), gamma, F.col("place"), w))
+    e = _discounted(e, F.col("delta"), gamma * lam, ["student", "episode"], F.col("place"), "advantage")
+    return _discounted(e, F.col("reward"), gamma, ["student", "episode"], F.col("place"), "ret")
 
 
 def advantages(rows: DataFrame) -> DataFrame:

@@ -165,23 +165,51 @@ def w14(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.size("x").alias("total_chunks"), F.posexplode("x").alias("chunk_index", "sentence")).drop("sentence")
 
 
-_NORMAL = """regexp_replace(regexp_replace(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'), '[\\x00\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"""
+def _sql(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
-@query("f1_normalize_text", f"""WITH l AS (SELECT doc_id, string_split({_NORMAL}, chr(10)) AS x FROM documents),
+def _ascii_sql(text: str) -> str:
+    """The same forms in the checking engine, which knows no compatibility decompositions."""
+    have, want, long = t.ascii_forms()
+    out = f"translate({text}, {_sql(have)}, {_sql(want)})"
+    for c, form in long.items():
+        if ord(c) < 0x2200 or 0xFB00 <= ord(c) <= 0xFB06:
+            out = f"replace({out}, {_sql(c)}, {_sql(form)})"
+    return out
+
+
+_NORMAL = f"""regexp_replace(regexp_replace(regexp_replace({_ascii_sql('text')}, '[^\\x00-\\x7f]', '', 'g'), '[\\x00\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"""
+_STRIP = "'^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'"
+_CLEAN = f"""l AS (SELECT doc_id, string_split({_NORMAL}, chr(10)) AS x FROM documents),
 k AS (SELECT doc_id, list_filter(x, lambda s: trim(s) = '' OR NOT (regexp_full_match(trim(s), '[-=_*]{{3,}}') OR (regexp_full_match(trim(s), '[0-9]{{1,3}}') AND len(x) > 20)
- OR (length(trim(s)) > 2 AND replace(trim(s), substr(trim(s), 1, 1), '') = '') OR (length(trim(s)) > 12 AND NOT regexp_matches(s, '[a-zA-Z]')))) AS x FROM l)
-SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(x, lambda s: CASE WHEN trim(s) = '' THEN '' ELSE s END), chr(10)), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')) AS text_md5 FROM k""")
+ OR (length(trim(s)) > 2 AND replace(trim(s), substr(trim(s), 1, 1), '') = '') OR (length(trim(s)) > 12 AND NOT regexp_matches(s, '[a-zA-Z]')))) AS x FROM l),
+clean AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(x, lambda s: CASE WHEN trim(s) = '' THEN '' ELSE s END), chr(10)), {_STRIP}) AS text FROM k)"""
+
+
+@query("f1_normalize_text", f"WITH {_CLEAN} SELECT doc_id, md5(text) AS text_md5 FROM clean")
 def f1(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.md5(t.normalize_text(F.col("text"))).alias("text_md5"))
 
 
-@query("f2_clean_ocr", f"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT {_any('lower(trim(l))', t.PREAMBLES)}), chr(10))) AS text_md5 FROM documents")
+@query("f2_clean_ocr", f"""WITH {_CLEAN}, o AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: len(list_filter(['here is', 'i fixed', 'the corrected', 'below is', 'certainly', 'sure,', 'of course'], lambda p: contains(lower(trim(l)), p))) = 0) AS x FROM clean)
+SELECT doc_id, md5(regexp_replace(array_to_string(x, chr(10)), {_STRIP})) AS text_md5 FROM o""")
 def f2(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.md5(t.clean_ocr_text(F.col("text"))).alias("text_md5"))
 
 
-@query("f3_ocr_code_fixes")
+def _twice(x: str, pattern: str, by: str) -> str:
+    """The checking engine has no look-around: what stands around is put back, a second time for neighbours."""
+    for _ in range(2):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+_EDGE = "[^\\p{L}\\p{N}_]"
+_FIXED = _twice(_twice(_twice("html", f"([a-zA-Z])0({_EDGE}|$)", "\\1O\\2"), f"(^|{_EDGE})l({_EDGE}|$)", "\\1" + "1\\2"), "([0-9])l([0-9])", "\\1" + "1\\2")
+
+
+@query("f3_ocr_code_fixes", f"SELECT page_id, md5({_FIXED}) AS text_md5 FROM pages")
 def f3(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.md5(t.fix_ocr_code(F.col("html"))).alias("text_md5"))
 
@@ -214,7 +242,10 @@ def f7(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", t.detect_chart(F.col("text")).alias("is_chart"))
 
 
-@query("f8_code_signals", f"SELECT page_id, {_count('html', t.CODE_SIGNALS)} AS signals, {_count('html', t.CODE_SIGNALS)} >= 3 AS is_code, {_count('html', t.ANSWER_CODE_SIGNALS)} >= 2 AS code_in_answer FROM pages")
+_FOUND = "len(list_filter(['{', '}', ';', '#include', 'class ', 'return', '::'], lambda m: contains(html, m)))"
+
+
+@query("f8_code_signals", f"SELECT page_id, {_FOUND} AS signals, {_FOUND} >= 3 AS is_code, len(list_filter(['{{', '}}', ';', '::', '->', 'def ', 'class ', '#include', 'return ', 'void '], lambda m: contains(html, m))) >= 2 AS code_in_answer FROM pages")
 def f8(s: SparkSession, d: str) -> DataFrame:
     n = t.contains_count(F.col("html"), t.CODE_SIGNALS)
     return table(s, d, "pages").select("page_id", n.alias("signals"), (n >= 3).alias("is_code"), (t.contains_count(F.col("html"), t.ANSWER_CODE_SIGNALS) >= 2).alias("code_in_answer"))

@@ -72,12 +72,14 @@ def p10(s: SparkSession, d: str) -> DataFrame:
     return qa(s, d).select("conv_id", "turn", g.question_problem(F.col("question"), F.col("reference")).alias("reject_reason"))
 
 
-@query("p11_choice_format", f"""{QA} SELECT conv_id, turn, ({' + '.join(f"contains(question, '{x}')::INT" for x in t.OPTION_MARKS)}) >= 3 AS is_choice FROM qa""")
+@query("p11_choice_format", f"""{QA} SELECT conv_id, turn, len(list_filter(['a)', 'b)', 'c)', 'd)', 'a.', 'b.', 'c.', 'd.', '1)', '2)', '3)', '4)'], lambda m: contains(lower(question), m))) >= 3 AS is_choice FROM qa""")
 def p11(s: SparkSession, d: str) -> DataFrame:
     return qa(s, d).select("conv_id", "turn", g.is_choice(F.col("question")).alias("is_choice"))
 
 
-@query("p12_choice_structure")
+@query("p12_choice_structure", f"""{QA}, x AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(answer, '[ \\t\\n\\r]+'), lambda v: v <> '') AS w FROM qa),
+o AS (SELECT conv_id, turn, turn % 4 <> 0 AS four, [coalesce(w[i], '') FOR i IN range(1, CASE WHEN turn % 4 = 0 THEN 4 ELSE 5 END)] AS v, CASE WHEN turn % 3 = 0 THEN 'b' ELSE w[2] END AS correct FROM x)
+SELECT conv_id, turn, coalesce(four AND len(list_filter(v, lambda y: trim(y) = '')) = 0 AND (substr(lower(trim(correct)), 1, 1) IN ('a', 'b', 'c', 'd') OR list_contains(v, correct)), false) AS valid FROM o""")
 def p12(s: SparkSession, d: str) -> DataFrame:
     w = t.tokens(F.col("answer"))
     keys = F.when(F.col("turn") % 4 == 0, F.array(*[F.lit(k) for k in ("a)", "b)", "c)")])).otherwise(F.array(*[F.lit(k) for k in ("a)", "b)", "c)", "d)")]))
@@ -150,10 +152,10 @@ def j14(s: SparkSession, d: str) -> DataFrame:
     return _edges(s, d)
 
 
-@query("j15_one_hop", f"WITH {CONCEPTS}, w AS (SELECT DISTINCT c1 AS concept FROM edges WHERE c1 < 'b') SELECT concept, concept AS near, 0 AS place FROM w UNION ALL SELECT * FROM (SELECT concept, c2, row_number() OVER (PARTITION BY concept ORDER BY c2) AS place FROM w JOIN edges ON c1 = concept) WHERE place <= 5")
+@query("j15_one_hop", f"WITH {CONCEPTS}, w AS (SELECT DISTINCT c1 AS concept FROM edges) SELECT concept, concept AS near, 0 AS place FROM w UNION ALL SELECT * FROM (SELECT concept, c2, row_number() OVER (PARTITION BY concept ORDER BY c2) AS place FROM w JOIN edges ON c1 = concept) WHERE place <= 5")
 def j15(s: SparkSession, d: str) -> DataFrame:
     e = _edges(s, d)
-    return enrich.expand(e, e.where("c1 < 'b'").select(F.col("c1").alias("concept")).distinct())
+    return enrich.expand(e, e.select(F.col("c1").alias("concept")).distinct())
 
 
 @query("o6_central_neighbours", f"WITH {CONCEPTS}, dg AS (SELECT c1, count(*) AS degree FROM edges GROUP BY c1) SELECT * FROM (SELECT e.c1, e.c2, coalesce(g.degree, 0) AS degree, row_number() OVER (PARTITION BY e.c1 ORDER BY coalesce(g.degree, 0) DESC, e.c2) AS place FROM edges e LEFT JOIN dg g ON g.c1 = e.c2) WHERE place <= 2")
@@ -357,7 +359,7 @@ def f26(s: SparkSession, d: str) -> DataFrame:
 
 @query("f27_feedback", f"""{QA}, x AS (SELECT conv_id, turn, question, list_filter({CW.format(pre_sql('reference'))}, lambda w: length(w) > 3) AS r, {pre_sql('answer')} AS a, turn % 5 AS e FROM qa),
 u AS (SELECT *, list_filter(r, lambda w, i: list_position(r, w) = i AND NOT list_contains(a, w))[1:5] AS mw FROM x), y AS (SELECT *, CASE WHEN len(mw) > 0 THEN array_to_string(mw, ', ') ELSE 'key concepts' END AS miss FROM u)
-SELECT conv_id, turn, md5(CASE e WHEN 0 THEN 'This does not answer the question. Read it again: ' || question WHEN 1 THEN 'A core concept is misunderstood. Review: ' || miss || '.' WHEN 2 THEN 'Partly right. Details are missing on: ' || miss || '.' WHEN 3 THEN 'The logic may be right, but there are syntax errors.' ELSE 'Nearly right. Be more precise on: ' || miss || '.' END) AS feedback_md5 FROM y""")
+SELECT conv_id, turn, md5(CASE e WHEN 0 THEN 'Your answer doesn''t address the question. Re-read: ' || question WHEN 1 THEN 'Core concept misunderstood. Review: ' || miss || '.' WHEN 2 THEN 'Partially correct. Missing details on: ' || miss || '.' WHEN 3 THEN 'Code logic may be right but contains syntax errors. Review carefully.' ELSE 'Almost there — improve precision on: ' || miss || '.' END) AS feedback_md5 FROM y""")
 def f27(s: SparkSession, d: str) -> DataFrame:
     missing = F.slice(F.array_except(t.content_words(F.col("reference"), 3), t.tokens(t.preprocess(F.col("answer")))), 1, 5)
     error = pick(("off_topic", "conceptual", "partial", "code_syntax", "careless"), F.col("turn") % 5)
@@ -449,14 +451,14 @@ def a3(s: SparkSession, d: str) -> DataFrame:
 @query("c8_recommendation", f"""{with_views('attempts', 'levels', 'prereqs')}, st AS (SELECT student, topic, count(*) AS attempts, avg(score) AS mean FROM attempts GROUP BY ALL), sp AS (SELECT DISTINCT a.student, l.topic FROM attempts a, levels l),
 weak AS (SELECT student, topic FROM sp LEFT JOIN st USING (student, topic) WHERE mean < 0.5 OR (attempts IS NULL AND topic IN (SELECT topic FROM prereqs))),
 lab(topic, label) AS (VALUES ('signup', 0), ('view', 1), ('click', 2), ('error', 3), ('purchase', 4)),
-sim AS (SELECT v.vec_id, v.label, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 10) q),
+sim AS (SELECT v.vec_id, v.label, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
 best AS (SELECT vec_id, label, max(score) AS best FROM sim GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(best, 9) DESC, vec_id) AS rank FROM best)
 SELECT student, weak.topic, vec_id, rank FROM weak JOIN lab USING (topic) JOIN rk USING (label) WHERE rank <= 3""")
 def c8(s: SparkSession, d: str) -> DataFrame:
     weak = m.weak_topics(attempts(s, d), topic_levels(s), prereqs(s)).select("student", "topic")
     labels = literal_table(s, (("signup", 0), ("view", 1), ("click", 2), ("error", 3), ("purchase", 4)), "topic string, label int")
     v = vectors(s, d)
-    sims = r.similarities(v, v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")))
+    sims = r.similarities(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")))
     return rec.courses_for(weak.join(F.broadcast(labels), "topic"), sims, 3)
 
 

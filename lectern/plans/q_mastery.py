@@ -267,17 +267,21 @@ def j16(s: SparkSession, d: str) -> DataFrame:
     return trajectory.encoded(a, _actions(s)).select("student", "step", "action_id")
 
 
-@query("f34_rewards", f"""{AL}, {RUN}, {MASTERED}, ch AS (SELECT student, step, mastered::INT - coalesce(lag(mastered::INT) OVER (PARTITION BY student, topic ORDER BY step), 0) AS c FROM mast),
+@query("f34_rewards", f"""{ALP}, {RUN}, {MASTERED}, und AS (SELECT student, step, topic, attempt >= 3 AND running_mean >= {SUFF} AS u FROM mast),
+need AS (SELECT m.student, m.step, e.topic AS o, p.prereq FROM mast m JOIN prereqs e ON e.prereq = m.topic JOIN prereqs p ON p.topic = e.topic),
+oth AS (SELECT n.student, n.step, n.o, bool_and(coalesce(u.u, false)) AS met FROM need n ASOF LEFT JOIN und u ON n.student = u.student AND n.prereq = u.topic AND n.step >= u.step GROUP BY ALL),
+blocked AS (SELECT student, step, count(*) FILTER (NOT met) AS blocked FROM oth GROUP BY ALL), ch AS (SELECT student, step, mastered::INT - coalesce(lag(mastered::INT) OVER (PARTITION BY student, topic ORDER BY step), 0) AS c FROM mast),
 mc AS (SELECT student, step, sum(c) OVER (PARTITION BY student ORDER BY step) AS n FROM ch)
 SELECT student, step, round((0.6 * score + 0.4 * (score - previous_score)) * CASE d WHEN 0 THEN 0.8 WHEN 1 THEN 1.0 ELSE 1.2 END, 6) AS simple,
 round(score - previous_mean - CASE WHEN score < 0.3 AND attempt > 3 THEN 0.2 ELSE 0 END + 0.5 * CASE WHEN attempt > 5 AND running_mean < 0.2 THEN -0.5 WHEN attempt < 5 THEN 0.7 WHEN trend < 0 THEN 0.4 ELSE 0 END
-+ 0.1 * CASE WHEN top_d > before_d OR top_q > before_q THEN 0.2 ELSE 0 END - 0.5 * mastered::INT, 5) AS shaped, round(0.6 * (score - running_mean) + 0.4 * n / 5, 6) AS gain FROM mast JOIN mc USING (student, step)""")
++ 0.1 * CASE WHEN top_d > before_d OR top_q > before_q THEN 0.2 ELSE 0 END - 0.5 * mastered::INT + 0.2 * 0.2 * running_mean * coalesce(blocked, 0), 5) AS shaped, round(0.6 * (score - running_mean) + 0.4 * n / 5, 6) AS gain FROM mast JOIN mc USING (student, step) LEFT JOIN blocked USING (student, step)""")
 def f34(s: SparkSession, d: str) -> DataFrame:
-    r = m.gain_rewards(m.shaped_rewards(_mastered(s, d)), 5)
+    r = m.gain_rewards(m.shaped_rewards(_mastered(s, d), prereqs(s)), 5)
     return r.select("student", "step", rounded(m.simple_reward(F.col("score"), F.col("previous_score"), F.col("d")), 6).alias("simple"), rounded("shaped", 5).alias("shaped"), rounded("gain_reward", 6).alias("gain"))
 
 
-@query("f36_level_ladder")
+@query("f36_level_ladder", f"""{A}, l AS (SELECT student, topic, list(score ORDER BY step) AS x FROM attempts GROUP BY ALL)
+SELECT student, topic, list_reduce(list_prepend(0.0::DOUBLE, x), lambda level, v: CASE WHEN v > 0.8 THEN least(level + 1, 2) WHEN v < 0.4 THEN greatest(level - 1, 0) ELSE level END)::INTEGER AS level FROM l""")
 def f36(s: SparkSession, d: str) -> DataFrame:
     scores = F.transform(F.array_sort(F.collect_list(F.struct("step", "score"))), lambda x: x["score"])
     return attempts(s, d).groupBy("student", "topic").agg(scores.alias("scores")).select("student", "topic", m.next_level(F.col("scores")).alias("level"))

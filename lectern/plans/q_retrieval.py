@@ -14,14 +14,14 @@ CM = with_views("chunk_meta")
 TOK = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda w: w <> '')"
 QUERIES = (("q1", "the that worthless"), ("q2", "license version under"), ("q3", "la de eau que"), ("q4", "der die und nicht"), ("q5", "the the of"))
 Q_SQL = "q(query_id, query) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in QUERIES) + ")"
-POST = f"""post AS (SELECT doc_id, doc_len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS doc_len, unnest(w) AS term FROM (SELECT doc_id, {TOK} AS w FROM documents)) GROUP BY ALL),
-stats AS (SELECT count(*) AS docs, avg(len({TOK})) AS mean_len FROM documents),
-raw AS (SELECT term, count(*) AS df, ln(any_value(docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, stats GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+POST = f"""post AS MATERIALIZED (SELECT doc_id, doc_len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS doc_len, unnest(w) AS term FROM (SELECT doc_id, {TOK} AS w FROM documents)) GROUP BY ALL),
+stats AS MATERIALIZED (SELECT count(*) AS docs, avg(len({TOK})) AS mean_len FROM documents),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term), raw AS MATERIALIZED (SELECT term, df, ln(docs - df + 0.5) - ln(df + 0.5) AS raw FROM df, stats),
+mean_idf AS MATERIALIZED (SELECT avg(raw) AS mean_idf FROM raw), idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END AS idf FROM raw, mean_idf)"""
 BM25 = f"""{POST}, asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM q) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / mean_len))) AS score FROM post JOIN asked USING (term) JOIN idf USING (term), stats GROUP BY ALL)"""
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-SIM = f"sim AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {DOT.format(a='v.embedding', b='q.embedding')} AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 10) q)"
+SIM = f"sim AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {DOT.format(a='v.embedding', b='q.embedding')} AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"
 
 
 def lit_queries(s: SparkSession) -> DataFrame:
@@ -34,7 +34,7 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 
 def _sim(s: SparkSession, d: str) -> DataFrame:
     v = vectors(s, d)
-    return r.similarities(v, v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")))
+    return r.similarities(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")))
 
 
 @query("a11_bm25_statistics", f"WITH {POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -58,7 +58,7 @@ def j1(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("f28_cosine", f"""WITH c AS (SELECT q.vec_id AS query_id, v.vec_id, {DOT.format(a='v.embedding', b='q.embedding')} / sqrt({DOT.format(a='v.embedding', b='v.embedding')} * {DOT.format(a='q.embedding', b='q.embedding')}) AS c
-FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 10) q) SELECT query_id, vec_id, round(c, 5) AS similarity, round(1 - c, 5) AS distance FROM c""")
+FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) SELECT query_id, vec_id, round(c, 5) AS similarity, round(1 - c, 5) AS distance FROM c""")
 def f28(s: SparkSession, d: str) -> DataFrame:
     c = r.cosine(F.col("embedding"), F.col("query_vec"))
     return _sim(s, d).select("query_id", "vec_id", rounded(c, 5).alias("similarity"), rounded(1 - c, 5).alias("distance"))
@@ -153,7 +153,12 @@ def f33(s: SparkSession, d: str) -> DataFrame:
     return r.expanded_topics(topics, cm.groupBy("topic").agg(F.count("*").alias("chunks")), pre, 60)
 
 
-@query("o5_rerank")
+OVERLAP = f"len(list_intersect(list_distinct(string_split(query, ' ')), {TOK})) / len(list_distinct(string_split(query, ' ')))::DOUBLE"
+
+
+@query("o5_rerank", f"""WITH {Q_SQL}, {BM25}, f AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM bm) WHERE rank < 20),
+g AS (SELECT f.query_id, f.doc_id, f.rank, {OVERLAP} AS s FROM f JOIN documents USING (doc_id) JOIN q USING (query_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS place FROM g) SELECT query_id, doc_id, place, round(s, 6) AS rerank_score FROM h WHERE place <= 5""")
 def o5(s: SparkSession, d: str) -> DataFrame:
     found = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 20, [F.desc(rounded("score", 9)), F.asc("doc_id")]).join(docs(s, d), "doc_id").join(lit_queries(s), "query_id")
     score = r.overlap(t.tokens(F.lower("query")), t.tokens(F.lower("text")))
@@ -188,7 +193,7 @@ def j2(s: SparkSession, d: str) -> DataFrame:
     from ..operators.lsh import approximate_pairs
 
     v = vectors(s, d)
-    return approximate_pairs(v, v.where("vec_id < 10"), 1.2).select("query_id", "vec_id", rounded("similarity", 5).alias("similarity"))
+    return approximate_pairs(v, v.where("vec_id % 100 = 0"), 1.2).select("query_id", "vec_id", rounded("similarity", 5).alias("similarity"))
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:

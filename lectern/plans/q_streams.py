@@ -34,13 +34,22 @@ def stateful(spark: SparkSession):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def _event_files(spark: SparkSession, d: str, parts: int = 3) -> str:
-    """The events as several files in order of time, as a stream would bring them."""
+def _event_files(spark: SparkSession, d: str) -> str:
+    """The events as files, as a stream would bring them."""
     path = workspace(spark, "events")
-    table(spark, d, "events").repartitionByRange(parts, "ts").write.parquet(path)
+    table(spark, d, "events").repartitionByRange("ts").write.parquet(path)
     return path
 
 
+def _deliveries(spark: SparkSession, d: str, path: str, n: int = 3):
+    """Append the events to a folder in ``n`` deliveries, one after the other in order of time."""
+    events = table(spark, d, "events").withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")))
+    cuts = [float("-inf"), *events.approxQuantile("__at", [i / n for i in range(1, n)], 0.01), float("inf")]
+    for lo, hi in zip(cuts, cuts[1:]):
+        events.where((F.col("__at") > lo) & (F.col("__at") <= hi)).drop("__at").write.mode("append").parquet(path)
+        yield
+
+
 def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """All that a stream gives, written as it comes with the number of its micro-batch."""
     spark = stream.sparkSession
@@ -111,19 +120,22 @@ SELECT student, topic, max(n) AS attempts, round(avg(score), 6) AS mean, round(C
 def st1(s: SparkSession, d: str) -> DataFrame:
     with stateful(s):
         out = workspace(s, "live")
-        live.append_files(live.live_state(live.attempts_stream(s, _event_files(s, d), 1)), out, f"{out}-checkpoint").awaitTermination()
+        live.append_files(live.live_state(live.attempts_stream(s, _event_files(s, d), 3)), out, f"{out}-checkpoint").awaitTermination()
     rows = s.read.parquet(out)
     last = rows.groupBy("student", "topic").agg(F.max_by(F.struct("attempts", "mean", "trend", "top_d", "top_q"), "attempts").alias("r")).select("student", "topic", "r.*")
     return last.select("student", "topic", "attempts", rounded("mean", 6).alias("mean"), rounded("trend", 6).alias("trend"), "top_d", "top_q")
 
 
 @query("st2_answer_batches", """WITH a AS (SELECT user_id AS student, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, least(value / CASE user_id % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 30.0 ELSE 60.0 END::DOUBLE, 1.0::DOUBLE) AS score FROM events)
-SELECT student, (step - 1) // 20 AS batch, count(*) AS answers, round(avg(score), 6) AS mean_score FROM a GROUP BY ALL HAVING count(*) = 20""")
+SELECT student, (step - 1) // 20 AS batch, count(*) AS answers, round(avg(score), 6) AS mean_score FROM a GROUP BY ALL HAVING count(*) >= 2""")
 def st2(s: SparkSession, d: str) -> DataFrame:
+    path, out = workspace(s, "events"), workspace(s, "batches")
     with stateful(s):
-        out = workspace(s, "batches")
-        live.append_files(live.answer_batches(live.attempts_stream(s, _event_files(s, d), 1)), out, f"{out}-checkpoint").awaitTermination()
-    return s.read.parquet(out).select("student", "batch", "answers", rounded("mean_score", 6).alias("mean_score"))
+        for _ in _deliveries(s, d, path):
+            live.append_files(live.answer_batches(live.attempts_stream(s, path)), out, f"{out}-checkpoint").awaitTermination()
+        left = workspace(s, "left-over")
+        live.left_over(s, f"{out}-checkpoint").write.parquet(left)  # while the state store that wrote it is set
+    return s.read.parquet(out).select("student", "batch", "answers", "mean_score").unionByName(s.read.parquet(left)).select("student", "batch", "answers", rounded("mean_score", 6).alias("mean_score"))
 
 
 @query("st3_session_reports", """WITH a AS (SELECT user_id AS student, ts, event_id, least(value / CASE user_id % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 30.0 ELSE 60.0 END::DOUBLE, 1.0::DOUBLE) AS score FROM events),
@@ -136,7 +148,7 @@ def st3(s: SparkSession, d: str) -> DataFrame:
 
 @query("st4_answered_once", "SELECT event_id, user_id AS student FROM events")
 def st4(s: SparkSession, d: str) -> DataFrame:
-    path = _event_files(s, d, 1)
+    path = _event_files(s, d)
     table(s, d, "events").write.mode("append").parquet(path)  # every event a second time
     return _drained(live.once_each(live.attempts_stream(s, path), "36500 days"), "append", "once").select("event_id", "student")
 
@@ -147,7 +159,7 @@ def st5(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", "lang")
     changed = docs.where("doc_id % 3 = 0").withColumn("lang", F.lit("seen"))
     for rows in (docs, changed):  # two deliveries
-        rows.coalesce(1).write.mode("append").parquet(path)
+        rows.write.mode("append").parquet(path)
         stream = s.readStream.schema("doc_id bigint, lang string").parquet(path)
         live.upsert_files(stream, "doc_id", target, f"{target}-checkpoint").awaitTermination()
     return s.read.parquet(f"{target}/v1")

@@ -13,16 +13,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Added before rounding, on both sides: means of few six-digit scores often lie just between two rounded values, and
-#: engines differ there.
-SHIFT = 3.7e-9
+#: Values are cut to a decimal before they are rounded, on both sides: engines sum doubles in other orders, and means of
+#: few six-digit scores often lie just between two rounded values.
+_DECIMAL = "decimal(38,12)"
 
 
 def rounded(value: Column | str, digits: int = 6) -> Column:
-    return F.round((F.col(value) if isinstance(value, str) else value) + SHIFT, digits)
+    return F.round((F.col(value) if isinstance(value, str) else value).cast("double").cast(_DECIMAL), digits).cast("double")
 
 
-def shifted(sql: str) -> str:
+def exact(sql: str) -> str:
     """The same for every ``round(value, digits)`` of a checking SQL."""
     out, at = [], 0
     for m in re.finditer(r"\bround\(", sql):
@@ -36,7 +36,7 @@ def shifted(sql: str) -> str:
             if c == "," and depth == 1:
                 comma = i
             i += 1
-        out += [sql[at : m.end()], "(", shifted(sql[m.end() : comma]), f") + {SHIFT}", sql[comma:i]]
+        out += [sql[at : m.end()], "(", exact(sql[m.end() : comma]), f")::DOUBLE::{_DECIMAL}", sql[comma:i], "::DOUBLE"]
         at = i
     return "".join([*out, sql[at:]])
 
@@ -47,7 +47,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = shifted(sql)
+            ORACLES[name] = exact(sql)
         return f
 
     return add

@@ -59,7 +59,7 @@ class KnowledgeState(StatefulProcessor):
             for at, event, score, nd, nq in zip(part["ts"], part["event_id"], part["score"], part["d"], part["q"]):
                 n, total, d, q = n + 1, total + score, max(d, nd), max(q, nq)
                 recent.append((int(at.value), int(event), float(score)))
-        recent = sorted(recent)[-10:]
+            recent = sorted(recent)[-10:]
         self.totals.update((int(n), float(total), int(d), int(q)))
         self.recent.put(recent)
         yield pd.DataFrame({"student": [key[0]], "topic": [key[1]], "attempts": [n], "mean": [total / n], "trend": [slope([r[2] for r in recent])], "top_d": [d], "top_q": [q]})
@@ -70,7 +70,10 @@ class KnowledgeState(StatefulProcessor):
 
 class AnswerBatches(StatefulProcessor):
     """Per student a row for every ``SIZE`` answers; with ``silence_ms``, what is left is given out when the student has
-    been silent for so long."""
+    been silent for so long.
+
+    Batches are cut in order of event time if the micro-batches come in that order; within one, answers are sorted.
+    """
 
     SIZE = 20
 
@@ -120,6 +123,12 @@ def answer_batches(attempts: DataFrame, silence_ms: int | None = None) -> DataFr
     return attempts.groupBy("student").transformWithStateInPandas(AnswerBatches(silence_ms), outputStructType=BATCHES, outputMode="Append", timeMode=mode)
 
 
+def left_over(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What ``answer_batches`` still held, two answers or more, when the query of this checkpoint ended."""
+    held = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    return held.select(F.col("key.student").alias("student"), "value.*").where("n >= 2").select("student", "batch", F.col("n").alias("answers"), (F.col("total") / F.col("n")).alias("mean_score"))
+
+
 def session_reports(attempts: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """student, start, end, answers, mean_score of each session; works on tables and on streams."""
     if attempts.isStreaming:
@@ -134,13 +143,15 @@ def once_each(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
     return attempts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def upsert_files(stream: DataFrame, key: str, target: str, checkpoint: str):
-    """Keep the latest row of each key: every micro-batch writes a version of the table and names it last."""
+def upsert_files(stream: DataFrame, key: str, target: str, checkpoint: str, order: str | None = None):
+    """Keep the latest row of each key: every micro-batch writes a version of the table and names it last. Of rows of
+    one key in a micro-batch, that of the highest ``order`` counts, and of those the greatest row."""
     from ..operators.corpus import keep_latest
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        row = F.struct(*([order] if order else []), *batch.columns)
+        new = batch.groupBy(F.col(key).alias("__key")).agg(F.max(row).alias("__row")).select(*[F.col("__row").getField(c).alias(c) for c in batch.columns])
         merged = new if epoch == 0 else keep_latest(spark.read.parquet(f"{target}/v{epoch - 1}"), new, key)
         merged.write.mode("overwrite").parquet(f"{target}/v{epoch}")
 
