@@ -123,3 +123,21 @@ def parse_questions(replies: DataFrame) -> DataFrame:
     q2, a2 = found("question"), found("reference_answer")
     path = F.when(q.isNotNull() & a.isNotNull(), "json").when(q2.isNotNull() & a2.isNotNull(), "pattern").otherwise("none")
     return r.select(*replies.columns, F.coalesce(q, q2).alias("question"), F.coalesce(a, a2).alias("reference_answer"), path.alias("parse_path"))
+
+
+#: Kinds of chunks that the concept graph is made of, and how many at most.
+EXCERPT_TYPES, EXCERPTS = ("definition", "explanation", "example"), 150
+
+
+def excerpts(chunks: DataFrame, types: tuple[str, ...] = EXCERPT_TYPES, limit: int = EXCERPTS) -> DataFrame:
+    """The first chunks of these kinds: the input of the concept graph."""
+    return chunks.where(F.col("concept_type").isin(*types)).orderBy("doc_id").limit(limit)
+
+
+def curriculum(chunks: DataFrame, prereqs: DataFrame) -> DataFrame:
+    """topic, level, subtopics, prereqs (cleaned, in their order), excerpts (chunks of the graph's input), last_excerpt."""
+    levels = topic_difficulty(chunks)
+    known = clean_prereqs(prereqs, levels).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("ord", "prereq"))).alias("p")).select("topic", F.col("p.prereq").alias("prereqs"))
+    shown = excerpts(chunks).groupBy("topic").agg(F.count("*").alias("excerpts"), F.max("doc_id").alias("last_excerpt"))
+    out = levels.join(subtopics(chunks), "topic", "left").join(known, "topic", "left").join(shown, "topic", "left")
+    return out.withColumn("prereqs", F.coalesce("prereqs", F.array().cast("array<string>"))).withColumn("excerpts", F.coalesce("excerpts", F.lit(0)))

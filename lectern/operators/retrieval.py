@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.hooks import embedder
+from ..sources.workspace import kept
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Queries above which they are not broadcast but joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Components of the vectors that stand in for a model's.
+WIDTH = 256
 #: Suffixes of a topic's query variants.
 VARIANTS = ("", " explanation", " example", " definition", " concepts", " applications")
 EXPANDED = ("", " explanation", " example", " definition")
@@ -59,8 +64,9 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def top_per_query(scored: DataFrame, k: int, order: list[Column], start: int = 0) -> DataFrame:
     """The first k rows of each query, with ``rank`` counted from ``start``."""
+    # the plain comparison lets Spark cut each task's rows to k a query before it shuffles them
     w = W.partitionBy("query_id").orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(w) - 1 + start).where(F.col("rank") < k + start)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") + (start - 1))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -181,12 +187,12 @@ def recall_and_rank(results: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, prereqs: DataFrame, used: DataFrame, k: int = 5, concepts: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, prereqs: DataFrame, used: DataFrame, k: int = 5, concepts: DataFrame | None = None, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Retrieval for a table of queries (query_id, topic, difficulty) over chunks (doc_id, text and tags).
 
-    Topics are expanded, each variant searched within them (or everywhere if nothing is there), results deduplicated by
-    their beginning, fused with BM25, boosted by tags, freed of recent texts and made diverse. The model-free search
-    ranks a variant's chunks by its words' BM25; a vector ranking can be fused in the same way.
+    Topics are expanded; the vector of each variant is searched within them (or everywhere if nothing is there), results
+    are deduplicated by their beginning, fused with BM25 of the topics, boosted by tags, freed of recent texts and made
+    diverse. Vectors are those of ``encode`` or, without a model, hashed TF-IDF.
     """
     counts = chunks.groupBy("topic").agg(F.count("*").alias("chunks"))
     topics = queries.select("query_id", "topic")
@@ -195,22 +201,26 @@ def hybrid(chunks: DataFrame, queries: DataFrame, prereqs: DataFrame, used: Data
     extra = wide.where("ord > 0").select("query_id", F.lit(None).cast("string").alias("concept"), F.col("topic").alias("more"), "ord")
     if concepts is not None:
         extra = extra.unionByName(concepts.select("query_id", "concept", F.lit(None).cast("string").alias("more"), "ord"))
-    variants = query_variants(topics, extra).withColumn("query", F.translate("query", "/", " "))
-    # one search for all variants: the variant is part of the search's query id
-    search = variants.select(F.concat_ws("#", "query_id", "variant").alias("query_id"), "query", F.col("query_id").alias("base"), "variant")
+    variants = kept(query_variants(topics, extra).withColumn("query", F.translate("query", "/", " ")), "variants")
     tagged = chunks.withColumn("body", F.concat_ws(" ", F.translate("topic", "/", " "), F.translate("subtopic", "/", " "), "concept_type", "difficulty", "text"))
     body = tagged.select("doc_id", F.col("body").alias("text"))
-    scored = bm25(body, search.select("query_id", "query")).join(search.select("query_id", "base", "variant"), "query_id").join(chunks.select("doc_id", "topic", "subtopic"), "doc_id")
-    inside = scored.join(allowed, (F.col("base") == allowed["query_id"]) & ((F.col("topic") == F.col("allowed")) | (F.col("subtopic") == F.col("allowed"))), "left_semi")
-    found = top_per_query(with_fallback(inside, scored), k, [F.desc("score"), F.asc("doc_id")])
-    listed = found.select(F.col("base").alias("query_id"), "variant", "rank", "doc_id").join(chunks, "doc_id")
-    first = F.row_number().over(W.partitionBy("query_id", F.substring("text", 1, 100)).orderBy("variant", "rank"))
-    unique = listed.withColumn("n", first).where("n = 1")
-    semantic = unique.select("query_id", F.col("doc_id").alias("key"), (F.row_number().over(W.partitionBy("query_id").orderBy("variant", "rank")) - 1).alias("rank"))
+    # chunks and variants are embedded together, so that both have the same word weights
+    asked = variants.select(F.concat(F.lit("q"), F.concat_ws("#", "query_id", "variant")).alias("doc_id"), F.col("query").alias("text"), "query_id", "variant")
+    embedded = kept(embedder(body.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("doc_id"), "text").unionByName(asked.select("doc_id", "text")), encode, WIDTH), "embedded")
+    of_query = embedded.where("doc_id like 'q%'").join(asked.drop("text"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("query_id").alias("base"), "variant")
+    of_chunk = embedded.where("doc_id like 'c%'").select(F.substring("doc_id", 2, 20).cast("long").alias("doc_id"), "embedding").join(chunks.select("doc_id", "topic", "subtopic"), "doc_id")
+    scored = similarities(of_chunk, of_query).select("query_id", "base", "variant", "doc_id", "topic", "subtopic", "score")
+    inside = scored.join(small(allowed.withColumnRenamed("query_id", "for")), (F.col("base") == F.col("for")) & ((F.col("topic") == F.col("allowed")) | (F.col("subtopic") == F.col("allowed"))), "left_semi")
+    best = [F.desc(F.round("score", 9)), F.asc("doc_id")]
+    found = kept(with_fallback(top_per_query(inside, k, best), top_per_query(scored, k, best)), "found")
+    listed = found.select(F.col("base").alias("query_id"), "variant", "rank", "doc_id", F.col("score").alias("similarity")).join(chunks, "doc_id")
+    unique = listed.withColumn("n", F.row_number().over(W.partitionBy("query_id", F.substring("text", 1, 100)).orderBy("variant", "rank"))).where("n = 1")
+    semantic = unique.select("query_id", F.col("doc_id").alias("key"), (F.row_number().over(W.partitionBy("query_id").orderBy("variant", "rank")) - 1).alias("rank"), "similarity")
     words = wide.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("topic")), " ").alias("ts")).select("query_id", F.concat(F.translate("ts", "/", " "), F.lit(" concepts usage working")).alias("query"))
-    lexical = top_per_query(bm25(body, words), 3 * k, [F.desc("score"), F.asc("doc_id")]).select("query_id", F.col("doc_id").alias("key"), "rank")
-    fused = fuse(semantic, lexical).join(chunks, F.col("key") == F.col("doc_id")).join(small(queries.select("query_id", F.col("difficulty").alias("want"))), "query_id")
-    boosted = fused.withColumn("score", F.col("fused") + concept_bonus(F.col("concept_type")) + difficulty_bonus(F.col("difficulty"), F.col("want")))
-    order = [F.desc(F.round("score", 9)), F.asc("doc_id")]
-    kept = top_per_query(diverse(fresh(boosted, used), order), k, order, start=1)
-    return kept.select("query_id", "rank", "doc_id", "topic", "subtopic", "difficulty", "concept_type", F.round("score", 4).alias("score"), "text")
+    lexical = top_per_query(bm25(body, words), 3 * k, best).select("query_id", F.col("doc_id").alias("key"), "rank")
+    fused = fuse(semantic, lexical).join(semantic.select("query_id", "key", "similarity"), ["query_id", "key"], "left")
+    fused = fused.join(chunks, F.col("key") == F.col("doc_id")).join(small(queries.select("query_id", F.col("difficulty").alias("want"))), "query_id")
+    bonus = concept_bonus(F.col("concept_type")) + difficulty_bonus(F.col("difficulty"), F.col("want"))
+    boosted = fused.withColumn("score", F.coalesce("similarity", F.lit(0.0)) + F.col("fused") + bonus)
+    chosen = top_per_query(diverse(fresh(boosted, used), best), k, best, start=1)
+    return chosen.select("query_id", "rank", "doc_id", "topic", "subtopic", "difficulty", "concept_type", F.round("score", 4).alias("score"), "text")

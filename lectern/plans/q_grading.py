@@ -14,6 +14,8 @@ from ..operators import recommend as rec
 from ..operators import retrieval as r
 from ..operators.corpus import keep_first
 from ..registry import query, rounded
+from ..sources.workspace import kept
+from .q_retrieval import found_for_queries, hybrid_queries
 from .views import attempts, chunk_meta, courses, judged, literal_table, pick, prereqs, qa, table, topic_levels, vectors, with_views
 
 CM, CO, QA, JU = with_views("chunk_meta"), with_views("courses"), with_views("qa"), with_views("attempts", "judged")
@@ -472,19 +474,23 @@ def c2(s: SparkSession, d: str) -> DataFrame:
 
 @query("c5_question_requests")
 def c5(s: SparkSession, d: str) -> DataFrame:
-    cm = chunk_meta(s, d).where(t.known(F.col("topic")))
-    req = cm.select("topic").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("request_id", F.concat_ws("-", "topic", F.col("i").cast("string")))
-    own = context.rotation(cm, req).join(cm.select("doc_id", "text", "file_name"), "doc_id")
-    hops = F.col("i") + 1
-    near = cm.select("topic", F.col("doc_id").alias("other"), F.substring("text", 1, 300).alias("other_text")).withColumn("n", F.row_number().over(W.partitionBy("topic").orderBy("other"))).where("n <= 4")
-    j = own.join(req.select("request_id", "i"), "request_id").join(near, "topic", "left").where((F.col("other") != F.col("doc_id")) | F.col("other").isNull())
-    parts = j.groupBy("request_id", "topic", "subtopic", "doc_id", "text", "i").agg(F.array_sort(F.collect_list(F.struct("other", "other_text"))).alias("p"))
-    body = F.array_join(F.concat(F.array("text"), F.slice(F.col("p.other_text"), F.lit(1), hops - 1)), "\n\n")
-    return parts.select("request_id", "topic", "subtopic", "doc_id", hops.alias("hops"), (t.contains_count(F.col("text"), t.CODE_SIGNALS) >= 3).alias("has_code"), F.length(body).alias("context_chars"), F.md5(body).alias("context_md5"))
-
-
-@query("c11_curriculum", f"""{CM}, v AS (SELECT topic, difficulty, count(*) AS n, min(doc_id) AS f FROM chunk_meta WHERE {KNOWN} GROUP BY ALL), lv AS (SELECT topic, CASE first(difficulty ORDER BY n DESC, f, difficulty) WHEN 'easy' THEN 'basic' WHEN 'hard' THEN 'advanced' ELSE 'intermediate' END AS level FROM v GROUP BY topic),
-sb AS (SELECT topic, count(DISTINCT subtopic) AS subtopics FROM chunk_meta WHERE {KNOWN} GROUP BY topic) SELECT topic, level, subtopics FROM lv JOIN sb USING (topic)""")
+    found = kept(found_for_queries(s, d), "retrieved")
+    requests = hybrid_queries(s).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).withColumn("request_id", F.concat_ws("-", "query_id", F.col("i").cast("string")))
+    siblings = chunk_meta(s, d).select("doc_id", F.concat_ws("::p", "file_name", F.floor(F.col("doc_id") / 3).cast("string")).alias("parent_id"), "text")
+    asked = hybrid_queries(s).select("query_id", F.substring("topic", 4, 1).cast("int").alias("k")).join(qa(s, d).select((F.col("conv_id") % 10).alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "question"), "k")
+    out = context.question_requests(found, requests, siblings, asked.select("query_id", "ord", "question"))
+    return out.select("request_id", "query_id", "hops", "doc_ids", "has_code", F.coalesce(F.length("snippet"), F.lit(0)).alias("snippet_chars"), F.length("context").alias("context_chars"), F.md5("context").alias("context_md5"), F.md5("avoid").alias("avoid_md5"))
+
+
+WANTED = (("src1", "src0", 0), ("src1", "src2", 1), ("src3", "src5", 0), ("src3", "src3", 1), ("src3", "nothing", 2))
+WANTED_SQL = "wanted(topic, prereq, ord) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in WANTED) + ")"
+
+
+@query("c11_curriculum", f"""{CM}, {WANTED_SQL}, v AS (SELECT topic, difficulty, count(*) AS n, min(doc_id) AS f FROM chunk_meta WHERE {KNOWN} GROUP BY ALL), lv AS (SELECT topic, CASE first(difficulty ORDER BY n DESC, f, difficulty) WHEN 'easy' THEN 'basic' WHEN 'hard' THEN 'advanced' ELSE 'intermediate' END AS level FROM v GROUP BY topic),
+sb AS (SELECT topic, string_agg(DISTINCT subtopic, ',' ORDER BY subtopic) AS subtopics FROM chunk_meta WHERE {KNOWN} GROUP BY topic),
+pr AS (SELECT topic, string_agg(prereq, ',' ORDER BY ord) AS prereqs FROM wanted WHERE topic IN (SELECT topic FROM lv) AND prereq IN (SELECT topic FROM lv) AND topic <> prereq GROUP BY topic),
+ex AS (SELECT topic, count(*) AS excerpts, max(doc_id) AS last_excerpt FROM (SELECT * FROM chunk_meta WHERE {KNOWN} AND concept_type IN ('definition', 'explanation', 'example') ORDER BY doc_id LIMIT 150) GROUP BY topic)
+SELECT topic, level, subtopics, coalesce(prereqs, '') AS prereqs, coalesce(excerpts, 0) AS excerpts, last_excerpt FROM lv LEFT JOIN sb USING (topic) LEFT JOIN pr USING (topic) LEFT JOIN ex USING (topic)""")
 def c11(s: SparkSession, d: str) -> DataFrame:
     cm = chunk_meta(s, d).where(t.known(F.col("topic")))
-    return enrich.topic_difficulty(cm).join(enrich.subtopics(cm).select("topic", F.size("subtopics").alias("subtopics")), "topic")
+    return enrich.curriculum(cm, literal_table(s, WANTED, "topic string, prereq string, ord int")).select("topic", "level", F.array_join("subtopics", ",").alias("subtopics"), F.array_join("prereqs", ",").alias("prereqs"), "excerpts", "last_excerpt")

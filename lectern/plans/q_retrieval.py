@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval as r
+from ..operators.enrich import concept_graph, concepts
 from ..registry import query, rounded
 from .views import chunk_meta, literal_table, table, vectors, with_views
 
@@ -205,12 +206,17 @@ def hybrid_queries(s: SparkSession) -> DataFrame:
     return literal_table(s, rows, "query_id string, topic string, difficulty string")
 
 
-@query("c3_hybrid_retrieval")
-def c3(s: SparkSession, d: str) -> DataFrame:
+def found_for_queries(s: SparkSession, d: str) -> DataFrame:
     pre = literal_table(s, (("src1", "src0", 0), ("src1", "src2", 1), ("src3", "src5", 0)), "topic string, prereq string, ord int")
     cm = _chunks(s, d)
-    used = hybrid_queries(s).select("query_id").join(cm.where("doc_id % 97 = 0").select(F.trim(F.substring("text", 1, 80)).alias("used_key")))
-    return r.hybrid(cm, hybrid_queries(s), pre, used).drop("text")
+    used = hybrid_queries(s).select("query_id", "topic").join(cm.where("doc_id % 97 = 0").select("topic", F.trim(F.substring("text", 1, 80)).alias("used_key")), "topic")
+    edges = concept_graph(concepts(cm))
+    return r.hybrid(cm, hybrid_queries(s), pre, used, concepts=r.graph_concepts(hybrid_queries(s).select("query_id", "topic"), edges))
+
+
+@query("c3_hybrid_retrieval")
+def c3(s: SparkSession, d: str) -> DataFrame:
+    return found_for_queries(s, d).drop("text")
 
 
 @query("c4_vector_and_metadata", f"""WITH {SIM}, f AS (SELECT * FROM (SELECT *, {TOP} AS r FROM sim) WHERE r <= 15), h AS (SELECT query_id, vec_id, label, round({HYBRID}, 6) AS score FROM f),

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import hooks
 from ..registry import query, rounded
 from ..sources import files
+from ..sources.workspace import workspace
 from ..streaming import live
 from .views import attempts, courses, table
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
-
-
 @contextlib.contextmanager
 def stateful(spark: SparkSession):
     """The state store that stateful processors need, while a query runs."""
