@@ -214,12 +214,65 @@ def test_base_scores_match_brute_force_and_the_model_beats_them(spark, docs):
     assert model > base
 
 
-def test_words_have_probabilities(spark):
-    tree = lm.code_tree(np.arange(256.0))
-    lengths, _, _ = tree
-    assert math.isclose((0.5 ** lengths.astype(float)).sum(), 1.0)
-    slots, bit, of = lm.events(["ab", "", "b"], tree)
-    assert len(bit) == lengths[[97, 98, 32, 10, 98, 32]].sum() and len(slots) == len(lm.TABLE_BITS) and of.max() == 2
+def test_known_words_have_probabilities_that_add_up():
+    rng = np.random.default_rng(4)
+    h = rng.integers(-(2**63), 2**63 - 1, 400)
+    rows, states, counts = rng.choice(h, 3000), rng.integers(0, lm.STATES, 3000), rng.integers(1, 50, 3000)
+    known = np.unique(rows)
+    bits = []
+    lm.paths(rows, states, counts, known, np.zeros(len(known), np.int64), 0, lambda at, bit, n: bits.append((bit, n)))
+    mixer = lm.Mixer(lm.LEVELS**2, 3)
+    for bit, n in bits:
+        mixer.learn(*lm.inputs(n), bit, np.ones(len(bit)))
+    for state in (0, 3, lm.STATES - 1):
+        lg = lm.path_costs(rows, states, counts, known, np.full(len(known), state), 0, mixer)
+        assert math.isclose((10**lg).sum(), 1.0, rel_tol=1e-9)
+    # cut into groups by the top bit, the bits above and below add up to the same
+    top = (known.view(np.uint64) ^ np.uint64(2**63)) >> np.uint64(63)
+    for g in (0, 1):
+        inside = ((rows.view(np.uint64) ^ np.uint64(2**63)) >> np.uint64(63)) == g
+        lg = lm.path_costs(rows[inside], states[inside], counts[inside], known[top == g], np.full(int((top == g).sum()), 3), 1, mixer)
+        assert math.isclose((10**lg).sum(), 1.0, rel_tol=1e-9)
+
+
+def test_spelled_words_have_probabilities_that_add_up():
+    spelling = lm.Spelling([])
+    slots, bit, _ = lm.spelled_bits(["banana", "bandana", "é"])
+    for s in slots:
+        np.add.at(spelling.table, s + bit, 3)
+    spelling.learn(["banana", "bandana"])
+    slots, bit, of = lm.spelled_bits([chr(i) for i in range(128)])
+    p = spelling.mixer(*lm.inputs(spelling.counts(slots), from_half=True))
+    first = np.arange(len(bit)) % 16 < 8  # the bits of the first byte; a leading 0 is the first of them
+    lg = np.bincount(of[first], np.log(np.where(bit, p, 1 - p))[first])
+    assert math.isclose(np.exp(lg).sum(), 1 - p[0], rel_tol=1e-9)
+
+
+def test_texts_are_parsed_as_the_contract_says():
+    import pyarrow as pa
+    import re
+
+    texts = ["A b. C\nd \n\n e", "", " \t ", "x\u000by\u001fz \u0085w", "a\uffff b\nc", "É É.\n\uffff", "one two. one two. three"]
+    p = lm.Parsed(pa.array(texts))
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, text in enumerate(texts):
+        assert [p.words[w] for w in p.word[p.text == i]] == re.findall(r"[^\x20\x09-\x0D]+", text.translate(low)) + [""]
+    own, before, text = p.sentences()
+    last = text == len(texts) - 1
+    assert last.sum() == 3 and own[last][0] == own[last][1] == before[last][2] != own[last][2] and before[last][0] == 0
+    assert (text == 0).sum() == 5
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    some = docs.where("doc_id < 60").union(docs.where("doc_id < 3"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    first = sorted((r["doc_id"], r["score"]) for r in lm.score_texts(some).collect())
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        again = sorted((r["doc_id"], r["score"]) for r in lm.score_texts(some.repartition(6)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len(first) == len(again) == some.count() and all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(first, again))
 
 
 def test_scores_of_odd_rows(spark):
