@@ -260,7 +260,7 @@ def test_texts_are_parsed_as_the_contract_says():
     own, before, text = p.sentences()
     last = text == len(texts) - 1
     assert last.sum() == 3 and own[last][0] == own[last][1] == before[last][2] != own[last][2] and before[last][0] == 0
-    assert (text == 0).sum() == 5
+    assert (text == 0).sum() == 4
 
 
 def test_scores_do_not_depend_on_partitions(spark, docs):
