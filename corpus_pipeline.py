@@ -1,4 +1,9 @@
-"""Corpus pipeline: documents without toxic ones, near copies and benchmark leaks, mixed and written as token ids."""
+"""Corpus pipeline: documents without toxic ones, near copies and benchmark leaks, mixed and written as token ids.
+
+Every stage takes all rows of the one before it. Null texts count as empty; an empty table gives an empty table with the
+same columns; rows are told apart by id and text, so rows of one id, or of none, are decided one by one; columns other
+than doc_id, text, source and n_chars pass as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -15,29 +20,33 @@ ORACLE_SQL = None
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go: from 0.5 on. Empty texts stay; repeated rows go or stay together."""
     ship(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of the least id stays."""
+    """Of each class of near copies the document of the least id stays, null ids last, ties by the text's hash. Empty texts
+    are copies of one another; of repeated rows one stays."""
     ship(spark)
     return near_dup.one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold 0.8 of a benchmark item's shingles go, by id, those without an id by text. Texts and items of
+    fewer than five words match nothing."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights: a row per document and epoch, with the words taken."""
+    """Sources in their target weights: a row per document and epoch, with the words taken. Null is a source of its own;
+    documents of which nothing is taken, empty ones among them, have no row."""
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as token ids in Simple-8b blocks; returns per document what the written blocks hold."""
+    """Documents as token ids in files of Simple-8b blocks; returns per document what the written files hold, in ascending
+    doc_id, null ids first, repeated rows as often as they are."""
     ship(spark)
     return token_files.read_documents(token_files.write_blocks(docs, tokenizer_path()))
 
