@@ -83,4 +83,23 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = SIMILARI
     return docs.join(_sized(found), F.col("doc_id").cast("long").eqNullSafe(F.col("__leak")) & _own().eqNullSafe(F.col("__text")), "left_anti")
 
 
-__all__ = ["WORDS_IN_SHINGLE", "contained_items", "sketches", "without_leaks"]
+#: DuckDB SQL for ``contained_items`` at its defaults, every shingle of every item compared.
+ORACLE = rf"""
+WITH texts AS (
+    SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), worded AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, side, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM texts
+), shingled AS MATERIALIZED (
+    SELECT DISTINCT r, side, id, unnest(list_transform(range(1, len(w) - {WORDS_IN_SHINGLE - 2}), lambda i: array_to_string(w[i : i + {WORDS_IN_SHINGLE - 1}], ' '))) AS s FROM worded
+), sizes AS (
+    SELECT r, id AS item_id, count(*) AS n FROM shingled WHERE side = 'i' GROUP BY r, id
+), shared AS (
+    SELECT d.r AS d, d.id AS doc_id, i.r AS i, count(*) AS shared FROM shingled d JOIN shingled i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' GROUP BY ALL
+), best AS (
+    SELECT doc_id, item_id, max({{'c': shared / n, 's': shared, 'n': n}}) AS b FROM shared JOIN sizes ON shared.i = sizes.r WHERE shared / n >= {SIMILARITY} GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(b.n AS INTEGER) AS item_shingles, CAST(b.s AS INTEGER) AS shared, b.c AS containment FROM best
+"""
+
+
+__all__ = ["ORACLE", "WORDS_IN_SHINGLE", "contained_items", "sketches", "without_leaks"]

@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE}
+    return {"op2_decontamination": decontaminate.ORACLE, "op3_topk": knn.ORACLE, "op4_mixing": mixing.ORACLE}

@@ -8,10 +8,13 @@ import zlib
 import numpy as np
 import pytest
 from lectern.llm import decontaminate, knn, licenses, lm, mixing, near_dup, simple8b, site_style, token_files, toxicity, url_filter
-from lectern.llm.queries import tokenizer_path
+from lectern.llm.queries import oracle_sql, queries, tokenizer_path
 from lectern.llm.scratch import ship
 from pyspark.sql import functions as F
 
+from ..oracle import connect
+from ..oracle import rows as compared
+
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -30,6 +33,12 @@ def words(n: int, seed: int) -> str:
     return " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(n))
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_matches_its_sql(spark, data, name):
+    got, want = queries()[name](spark, data).toPandas(), connect(data).sql(oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) and compared(got) == compared(want)
+
+
 # --- 1: urls ---------------------------------------------------------------------------------------------------
 
 URLS = (
