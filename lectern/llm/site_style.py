@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,18 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe signup comment comments disqus reply replies respond share sharing social related recommended widget toolbar pagination pager login skip copyright".split()
 )
+#: Words that may stand beside a mark in a class or id that names boilerplate; beside other words it names something else.
+PLACES = frozenset(
+    "area author bar block body bottom box button buttons card center column container content entry fixed form group head header heading holder icon icons inline inner item items label large left link links list "
+    "main message meta mini mobile outer page panel post posts region right row section side site slot small sticky text thread title top unit wide wrap wrapper".split()
+)
 #: Of a page, but inside an article they belong to it.
 HEADS = frozenset("header banner masthead topbar".split())
 ENDS_P = BLOCKS - {"html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PARTS = re.compile(r"[a-z0-9]+")
 
@@ -49,24 +55,34 @@ PARTS = re.compile(r"[a-z0-9]+")
 class Node:
     __slots__ = ("tag", "key", "noise", "article", "marked", "children")
 
-    def __init__(self, tag: str, key: str, noise: bool, article: int, marked: bool):
+    def __init__(self, tag: str, key: int, noise: bool, article: int, marked: bool):
         self.tag, self.key, self.noise, self.article, self.marked, self.children = tag, key, noise, article, marked, []
 
 
 def _open(tag: str, text: str, above: Node | None) -> Node:
     found = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(text)} if text.strip(" /\n\t") else {}
-    names = " ".join(sorted(f"{found.get('class', '')} {found.get('id', '')}".lower().split()))
-    marks = set(PARTS.findall(names))
+    each = sorted(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+    names = " ".join(each)
     role = found.get("role", "").lower()
     article = above.article if above else 0
     inside = article > 0
-    noise = bool(above and above.noise) or tag in BOILERPLATE or role in ROLES or bool(marks & MARKS) or "hidden" in found or found.get("aria-hidden") == "true"
-    noise = noise or (not inside and (tag == "header" or bool(marks & HEADS)))
+    noise = bool(above and above.noise) or tag in BOILERPLATE or role in ROLES or _marked(each, MARKS) or "hidden" in found or found.get("aria-hidden") == "true"
+    noise = noise or (not inside and (tag == "header" or _marked(each, HEADS)))
     if not noise and (tag in ("article", "main") or role in ("main", "article")):
         if tag == "article" and above and any_article(above):
             noise = True  # an article in an article is a comment on it
         article = max(article, 2 if tag == "article" else 1)
-    return Node(tag, f"{above.key if above else ''}/{tag}{'.' + names if names else ''}", noise, article, bool(names))
+    # a node's key is the hash of its path, from that of the node above
+    return Node(tag, _hash(f"{above.key if above else 0}/{tag}.{names}"), noise, article, bool(names))
+
+
+def _marked(names: list[str], marks: frozenset) -> bool:
+    """Whether one of the names has a mark and, besides, only places and numbers."""
+    for name in names:
+        parts = PARTS.findall(name)
+        if any(x in marks for x in parts) and all(x in marks or x in PLACES or x.isdigit() for x in parts):
+            return True
+    return False
 
 
 def any_article(node: Node) -> bool:
@@ -74,9 +90,13 @@ def any_article(node: Node) -> bool:
 
 
 def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """(node, text) of each block of a page in order, and all nodes. Malformed markup is read as it comes."""
-    root = Node("", "", False, 0, False)
+    """(node, text) of each block of a page in order, and all its blocks' nodes. Malformed markup is read as it comes.
+
+    Elements inside a line neither part a block nor go by their class, as they are part of its sentence.
+    """
+    root = Node("", 0, False, 0, False)
     stack, nodes = [root], [root]
+    depth: Counter[str] = Counter()
     out: list[tuple[Node, str]] = []
     held: list[str] = []
     holder = root
@@ -89,7 +109,9 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
 
     def close(k: int) -> None:
         nonlocal holder
-        flush()
+        if not all(map(mute, stack[k:])):
+            flush()
+        depth.subtract(s.tag for s in stack[k:])
         del stack[k:]
         holder = stack[-1]
 
@@ -97,7 +119,7 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     while at < n:
         m = TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
-        if piece:
+        if piece and not mute(stack[-1]):
             held.append(entities.unescape(piece))
         if not m:
             break
@@ -106,12 +128,10 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCKS or any(s.tag == tag for s in stack[-3:]):
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if k:
-                    close(k)
-                elif tag in BLOCKS:
-                    flush()
+            if depth[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+            elif tag in BLOCKS:
+                flush()
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -123,11 +143,14 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             elif tag == "hr":
                 flush()
             continue
-        quiet = tag in BOILERPLATE or tag not in BLOCKS and m[3].strip(" /\n\t") != "" and _open(tag, m[3], stack[-1]).noise
-        if tag in BLOCKS or quiet:
-            if tag in ENDS_P and any(s.tag == "p" for s in stack):
+        if tag in BOILERPLATE and tag not in BLOCKS:
+            if not m[3].endswith("/"):
+                stack.append(_open(tag, m[3], stack[-1]))
+                depth[tag] += 1
+        elif tag in BLOCKS:
+            if tag in ENDS_P and depth["p"]:
                 close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"))
-            if tag in SAME:
+            if any(depth[t] for t in SAME.get(tag, ())):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in STOPS.get(tag, ()):
                         break
@@ -135,17 +158,21 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                         close(i)
                         break
             flush()
-            if m[3].endswith("/") and tag not in BLOCKS:
-                continue
             node = _open(tag, m[3], stack[-1])
             stack[-1].children.append(tag)
             stack.append(node)
+            depth[tag] += 1
             nodes.append(node)
             holder = node
     flush()
     return out, nodes
 
 
+def mute(node: Node) -> bool:
+    """Inside a line, like a button: its text goes without parting the block around it."""
+    return node.noise and node.tag not in BLOCKS
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
@@ -156,10 +183,10 @@ def _tree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hosts, pages, rows = [], [], []
         for host, page in zip(batch["host"], batch["html"]):
             found, nodes = blocks(page)
-            mine = {(_hash(b.key), 2, _hash(t)) for b, t in found if not b.noise}
+            mine = {(b.key, 2, _hash(t)) for b, t in found if not b.noise}
             for k in {b.key: b for b, _ in found if not b.noise}.values():
-                mine.add((_hash(k.key), 0, 0))
-                mine.add((_hash(k.key), 1, _hash(" ".join(c for i, c in enumerate(k.children) if not i or c != k.children[i - 1]))))
+                mine.add((k.key, 0, 0))
+                mine.add((k.key, 1, _hash(" ".join(c for i, c in enumerate(k.children) if not i or c != k.children[i - 1]))))
             rows += mine
             hosts += [host] * len(mine)
             pages += [_hash(page)] * len(mine)
@@ -196,7 +223,7 @@ def page_text(page: str, low: frozenset) -> str:
         kept = [(b, t) for b, t in kept if b.article]
     if low:
         # plain paragraphs of an article are its text however often the site repeats them
-        rest = [(b, t) for b, t in kept if (b.article and not b.marked) or _hash(b.key) not in low]
+        rest = [(b, t) for b, t in kept if (b.article and not b.marked) or b.key not in low]
         kept = rest or kept
     return "\n".join(t for _, t in kept)
 

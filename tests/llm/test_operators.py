@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,18 @@ def test_article_text():
     assert site_style.page_text(PAGE, frozenset()) == "Title & more\nOne two three four\nFive < six"
 
 
+def test_elements_inside_a_line_stay():
+    page = '<article><p>A study of <span class="share">market share</span> grew <svg><g>no</g></svg>fast<button>Buy</button>.</p><div class="related-work">Kept</div><div class="related-posts">Gone</div><div id="comments-2"><p>c</p></div></article>'
+    assert site_style.page_text(page, frozenset()) == "A study of market share grew fast.\nKept"
+
+
+def test_odd_and_long_pages():
+    for page, text in (("<div class='a'>" * 16_000 + "x", "x"), ("<!" * 20_000, ""), ("<li><div>" * 8000 + "y", "y"), ("</div>" * 20_000 + "z", "z"), ("<p>" + words(200_000, 7), words(200_000, 7)), ("<svg>a", ""), ("a < b & c", "a < b & c")):
+        began = time.time()
+        assert site_style.page_text(page, frozenset()) == text
+        assert time.time() - began < 5
+
+
 def test_repeated_branches_go(spark):
     page = lambda i: f"<html><body><div class='box'>Same everywhere</div><div class='main'><p>{words(20, i)}</p></div></body></html>"
     rows = [(i, "http://h.com/x", page(i)) for i in range(8)] + [(8, None, None), (9, "http://h.com/", ""), (10, "http://solo.com/", page(1)), (0, "http://h.com/x", page(0))]
