@@ -158,7 +158,7 @@ OVERLAP = f"len(list_intersect(list_distinct(string_split(query, ' ')), {TOK}))
 
 
 @query("o5_rerank", f"""WITH {Q_SQL}, {BM25}, f AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM bm) WHERE rank < 20),
-g AS (SELECT f.query_id, f.doc_id, f.rank, {OVERLAP} AS s FROM f JOIN documents USING (doc_id) JOIN q USING (query_id)),
+g AS (SELECT f.query_id, f.doc_id, f.rank, CASE WHEN count(*) OVER (PARTITION BY f.query_id) > 5 THEN {OVERLAP} ELSE 0 END AS s FROM f JOIN documents USING (doc_id) JOIN q USING (query_id)),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS place FROM g) SELECT query_id, doc_id, place, round(s, 6) AS rerank_score FROM h WHERE place <= 5""")
 def o5(s: SparkSession, d: str) -> DataFrame:
     found = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 20, [F.desc(rounded("score", 9)), F.asc("doc_id")]).join(docs(s, d), "doc_id").join(lit_queries(s), "query_id")
