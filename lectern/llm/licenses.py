@@ -3,6 +3,7 @@
 A template is a wording with markup: ``<<optional>> ... <<end>>`` may be absent (regions nest), and
 ``<<var:LO-HI>>`` stands for any LO to HI words. Everything else is mandatory. A template is compiled into an
 automaton over words; a text carries its label if the mandatory words stand in it one after the other, exactly.
+Wordings are read as texts are: lower-cased words, without punctuation.
 """
 
 from __future__ import annotations
@@ -34,6 +35,55 @@ TEMPLATES = (
     ("public-domain-notice", "<<optional>> dedicated <<end>> <<optional>> released <<end>> to the public domain"),
 )
 
+#: Parts of public licenses, with names and numbering of clauses as replaceable or optional regions.
+_BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: <<optional>> <<var:1-1>> <<end>> Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. <<optional>> <<var:1-1>> <<end>> Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """<<optional>> <<var:1-1>> <<end>> Neither the name of <<var:1-12>> nor the names of <<optional>> its <<end>> <<optional>> <<var:1-3>> <<end>>
+contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY <<var:1-12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var:1-12>> BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_GPL_END = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<optional>> Lesser <<end>> <<optional>> Affero <<end>> General Public License for more details."""
+
+#: Whole licenses and whole notices, under labels of their common short names.
+BODIES = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+        subject to the following conditions: The above copyright notice and this permission notice <<optional>> (including the next paragraph) <<end>>
+        shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+        IN NO EVENT SHALL <<var:1-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd-2-clause", f"{_BSD_START} {_BSD_END}"),
+    ("bsd-3-clause", f"{_BSD_START} {_BSD_NAMES} {_BSD_END}"),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var:1-6>> DISCLAIMS
+        ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:1-6>>
+        BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE."""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at <<var:1-8>> Unless required by applicable law or agreed to in writing, software distributed
+        under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
+        for the specific language governing permissions and limitations under the License."""),
+    ("gpl-or-later", f"""is free software; you can redistribute it and/or modify it under the terms of the GNU <<optional>> Lesser <<end>>
+        <<optional>> Affero <<end>> General Public License as published by the Free Software Foundation; either version <<var:1-2>> of the License, or
+        (at your option) any later version. {_GPL_END}"""),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at <<var:1-6>>"""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+        means."""),
+)
+TEMPLATES = (*TEMPLATES, *BODIES)
+
 
 def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.translate(_LOWER))
@@ -58,7 +108,7 @@ class Automaton:
             self.free.append([])
             return len(self.arcs) - 1
 
-        for part in re.findall(r"<<.*?>>|[^\s<]+", wording):
+        for part in re.findall(rf"<<.*?>>|{WORD}", wording.translate(_LOWER)):
             if part == "<<optional>>":
                 opened.append(at)
             elif part == "<<end>>":
@@ -74,10 +124,9 @@ class Automaton:
                 for s in skips:
                     self.free[s].append(at)
             else:
-                word = part.translate(_LOWER)
                 if not opened:
-                    self.mandatory.append(word)
-                self.arcs[at].append((word, to := new()))
+                    self.mandatory.append(part)
+                self.arcs[at].append((part, to := new()))
                 at = to
             if part.startswith("<<") and part != "<<optional>>" or opened:
                 # a region must not begin where another begins, else its skip would be another's too

@@ -519,6 +519,35 @@ def test_templates(text, label, found):
     assert any(a.longest(w, i) for i in range(len(w))) is found
 
 
+def test_whole_licenses():
+    """Filled templates match from end to end, also with optional regions left out; a word more, less or changed does not."""
+    import re
+
+    others = {label: licenses.Automaton(t) for label, t in licenses.BODIES}
+    for label, wording in licenses.BODIES:
+        for optional in (True, False):
+            t = wording
+            while not optional and "<<optional>>" in t:
+                t = re.sub(r"<<optional>>(?:(?!<<optional>>|<<end>>).)*<<end>>", " ", t, flags=re.S)
+            t = re.sub(r"<<(?:optional|end)>>", " ", t)
+            w = licenses.words_of(re.sub(r"<<var:(\d+)-(\d+)>>", lambda m: " Any" * int(m[1 if optional else 2]), t))
+            fits = lambda a, w: any(a.longest(w, i) for i in range(len(w)))
+            assert others[label].longest(["x", *w, "y"], 1) >= len(w)
+            assert {n for n, a in others.items() if fits(a, w)} == {label}
+            places = [i for i, x in enumerate(w) if x in others[label].mandatory and x != "any"]
+            for i in (places[1], places[len(places) // 2]):
+                assert not fits(others[label], [*w[:i], "changed", *w[i + 1 :]])
+
+
+def test_whole_licenses_in_long_texts(spark):
+    import re
+
+    body = re.sub(r"<<var:.*?>>", "the owner", re.sub(r"<<(optional|end)>>", " ", dict(licenses.BODIES)["mit"]))
+    rows = [(1, words(50_000, 1) + " " + body + " " + words(50_000, 2)), (None, body), (3, body.replace("NONINFRINGEMENT", "")), (3, None)]
+    got = {(r["doc_id"], r["labels"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "mit,mit-text"), (None, "mit,mit-text"), (3, "mit-text"), (3, "")}
+
+
 def test_templates_need_sound_markup():
     for bad in ("<<optional>> a", "<<optional>> a <<end>>"):
         with pytest.raises(ValueError):
