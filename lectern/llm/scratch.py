@@ -13,11 +13,15 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a fresh local one where that is unset."""
-    path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    """The cluster's shared folder, from spark.checkpoint.dir; a fresh local one where that is unset and
+    the master is local."""
+    context = spark.sparkContext
+    path = spark.conf.get(_KEY, None) or context.getConf().get(_KEY) or getattr(context, "_lectern_folder", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set(_KEY, path)
+        if not context.master.startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
+        # the session doesn't let this setting change any more
+        path = context._lectern_folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return path.rstrip("/")
 
 

@@ -273,6 +273,24 @@ def test_texts_are_parsed_as_the_contract_says():
     assert (text == 0).sum() == 4
 
 
+def test_tallies_match_brute_force():
+    rng = np.random.default_rng(5)
+    key, train = rng.integers(0, 40, 500), rng.integers(0, 2, 500)
+    got = list(zip(*(x.tolist() for x in lm._tallied(key, train))))
+    assert got == [(k, int(train[key == k].sum()), int((key == k).sum())) for k in sorted(set(key.tolist()))]
+    assert [len(x) for x in lm._tallied(key[:0], train[:0])] == [0, 0, 0]
+
+
+def test_commonest_pairs_are_those_from_a_count_on(spark, monkeypatch):
+    counts = [0, 0, *[1] * 50, *[2] * 20, 3, 3, 9, 100]
+    scored = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "h long, c long")
+    for top, want in ((1000, 74), (74, 74), (73, 24), (23, 4), (3, 2), (0, 0)):
+        monkeypatch.setattr(lm, "TOP", top)
+        got = [r["c"] for r in lm._commonest(scored).collect()]
+        assert len(got) == want and sorted(got) == sorted(counts)[len(counts) - want :]
+    assert lm._commonest(scored.limit(0)).count() == 0
+
+
 def test_scores_do_not_depend_on_partitions(spark, docs):
     some = docs.where("doc_id < 60").union(docs.where("doc_id < 3"))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
