@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, knn, licenses, lm, mixing, near_dup, site_style, token_files, toxicity, url_filter
+from . import collocations, decontaminate, knn, licenses, lm, mixing, near_dup, site_style, token_files, toxicity, url_filter, whitening, winnowing
 from .scratch import ship, table
 
 
@@ -70,6 +70,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's collocations in all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likenesses."""
+    return winnowing.compared(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's first components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         @wraps(f)
@@ -79,8 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: shipped(f) for f in (op1_url_filter, op2_decontamination, op3_topk, op4_mixing, op5_lm_scoring, op6_near_dup, op7_html_extraction, op8_toxicity, op9_token_ids, op10_licenses)}
+    return {f.__name__: shipped(f) for f in (op1_url_filter, op2_decontamination, op3_topk, op4_mixing, op5_lm_scoring, op6_near_dup, op7_html_extraction, op8_toxicity, op9_token_ids, op10_licenses, op11_collocations, op12_fingerprints, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE, "op3_topk": knn.ORACLE, "op4_mixing": mixing.ORACLE}
+    return {"op2_decontamination": decontaminate.ORACLE, "op3_topk": knn.ORACLE, "op4_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE}
