@@ -26,8 +26,9 @@ from .scratch import keep
 WORDS, LEAST, BEST = 5, 100, 2000
 #: Frequent words up to which tasks hold them as a dictionary of 20-bit numbers; beyond, windows are made of the words.
 DICTIONARY = 1 << 20
-#: Windows, and different words, that a task holds before it hands their counts on; rows of a batch it gives out.
-HELD, COUNTED, BATCH = 1 << 22, 500_000, 200_000
+#: Windows, and different words, that a task holds before it hands their counts on; rows of a batch it gives out; bytes
+#: of text, but at least one text, that it cuts to words at once.
+HELD, COUNTED, BATCH, SLICE = 1 << 20, 200_000, 200_000, 1 << 20
 
 _BREAK = b"\xff"  # not in any UTF-8 text
 _TABLE = bytearray(range(256))
@@ -40,12 +41,19 @@ _TABLE = bytes(_TABLE)
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
-    """The batch's words by language; pieces and texts end with _BREAK."""
+    """The batch's words by language, some texts at a time; pieces and texts end with _BREAK."""
+    cut = lambda texts: _BREAK.join(texts).translate(_TABLE).replace(_BREAK, b" \xff ").split()
     by: dict[str, list[bytes]] = defaultdict(list)
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+    held: Counter = Counter()
+    for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+        lang, text = lang.as_py(), text.as_buffer().to_pybytes()
         by[lang].append(text)
+        held[lang] += len(text)
+        if held[lang] >= SLICE:
+            yield lang, cut(by.pop(lang))
+            del held[lang]
     for lang, texts in by.items():
-        yield lang, _BREAK.join(texts).translate(_TABLE).replace(_BREAK, b" \xff ").split()
+        yield lang, cut(texts)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
