@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .scratch import keep
 
-#: Longest phrase, least count of a candidate, rows returned for each language.
+#: Longest phrase (six words at most), least count of a candidate, rows returned for each language.
 WORDS, LEAST, BEST = 5, 100, 2000
 #: Frequent words up to which tasks hold them as a dictionary of 20-bit numbers; beyond, windows are made of the words.
 DICTIONARY = 1 << 20
@@ -74,15 +74,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _combined(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Different windows with their counts."""
-    w = np.concatenate(held, axis=1)
-    key = [sum(x.astype(np.int64) << (20 * i) for i, x in enumerate(part)) for part in (w[:3], w[3:6], w[6:9]) if len(part)]
-    order = np.lexsort(key)
-    new = np.flatnonzero(np.r_[True, np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)])
-    counts, w = np.diff(np.r_[new, len(order)]), w[:, order[new]]
+    """Different windows with their counts, packed: the numbers of the first three words in one long, of the others in one more."""
+    w = np.concatenate(held, axis=1).astype(np.int64)
+    first, rest = (sum((x << (20 * (2 - i)) for i, x in enumerate(part)), np.zeros(w.shape[1], np.int64)) for part in (w[:3], w[3:]))
+    order = np.lexsort((rest, first))
+    first, rest = first[order], rest[order]
+    new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])])
+    counts, first, rest = np.diff(np.r_[new, len(order)]), first[new], rest[new]
     for lo in range(0, len(new), BATCH):
-        part = [pa.array(x[lo : lo + BATCH], pa.int32()) for x in w]
-        yield pa.RecordBatch.from_arrays([*part, pa.array(counts[lo : lo + BATCH], pa.int64())], [*_columns(len(w)), "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + BATCH]) for x in (first, rest, counts)], ["first", "rest", "c"])
+
+
+def _unpacked(size: int) -> dict[str, Column]:
+    return {c: F.shiftright("first" if i < 3 else "rest", 20 * (2 - i % 3)).bitwiseAND((1 << 20) - 1).cast("int") for i, c in enumerate(_columns(size))}
 
 
 def _columns(size: int) -> list[str]:
@@ -138,15 +142,23 @@ def _spelled(texts: DataFrame, size: int) -> DataFrame:
 
 
 def rolled_up(windows: DataFrame, size: int, least: int, lead: tuple[str, ...] = ()) -> DataFrame:
-    """All prefixes of at least one word and a count of ``least``, with ``size`` and ``f``, of ``windows(*lead, w1 .. wN, c)``.
+    """All prefixes of at least one word and a count of ``least``, with ``size`` and ``f``, of ``windows(*lead, w1 .. wN, c)``
+    or, packed, ``windows(first, rest, c)``.
 
-    Windows are dealt by their first three words; those whose three-word prefix is too rare are cut to two.
+    Windows are dealt by their first three words, so that the counts of these and longer prefixes are known before the
+    ROLLUP; each window is cut to its longest prefix that is frequent enough, or to two words.
     """
     words, pad = _columns(size), F.lit("" if lead else 0)
-    first = [*lead, *words[:3]]
-    whole = windows.repartition(*first).groupBy(*lead, *words).agg(F.sum("c").alias("c"))
-    whole = whole.withColumn("three", F.sum("c").over(W.partitionBy(*first)))
-    cut = whole.select(*lead, *words[:2], *[F.when(F.col("three") >= least, F.col(c)).otherwise(pad).alias(c) for c in words[2:]], "c")
+    if "first" in windows.columns:
+        first = ["first"]
+        whole = windows.repartition("first").groupBy("first", "rest").agg(F.sum("c").alias("c")).withColumns(_unpacked(size)).drop("rest")
+    else:
+        first = [*lead, *words[:3]]
+        whole = windows.repartition(*first).groupBy(*lead, *words).agg(F.sum("c").alias("c"))
+    for i in range(size - 1, 2, -1):  # from the longest, so that one order of rows does for all
+        whole = whole.withColumn(f"f{i}", F.sum("c").over(W.partitionBy(*first, *words[3:i])))
+    enough = [F.col("c" if i == size else f"f{i}") >= least for i in range(3, size + 1)]
+    cut = whole.select(*lead, *words[:2], *[F.when(e, F.col(c)).otherwise(pad).alias(c) for e, c in zip(enough, words[2:], strict=True)], "c")
     sums = cut.rollup(*lead, *words).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     level = (size - F.bit_count("g")).cast("int")
     kept = sums.where(F.col("f") >= least).withColumn("size", level).where(F.col("size") > 0)
@@ -171,7 +183,7 @@ def phrase_counts(docs: DataFrame, size: int = WORDS, least: int = LEAST, dictio
         for i, r in enumerate(frequent.select("lang", "word").toLocalIterator()):
             known[r["lang"]][bytes(r["word"])] = i + 1
         shared = spark.sparkContext.broadcast(dict(known))
-        windows = texts.mapInArrow(_coded(shared, size), ", ".join(f"{c} int" for c in _columns(size)) + ", c long")
+        windows = texts.mapInArrow(_coded(shared, size), "first long, rest long, c long")
         phrases = rolled_up(windows, size, least).mapInPandas(_decoded(shared, size), "lang string, phrase string, size int, f long")
     else:
         phrases = rolled_up(_spelled(texts, size), size, least, ("lang",))
