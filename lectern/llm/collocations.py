@@ -2,8 +2,8 @@
 
 Only the longest windows are counted: a row for each word, with the words that follow it in lead columns, padded behind
 the end of its piece. A ROLLUP over these columns then sums ever shorter prefixes, which gives the counts of all
-phrases. Two exact cuts keep the windows few: a word that is itself too rare ends a window, and so does a third word
-whose three-word prefix is too rare, as no phrase through either can be frequent enough.
+phrases. Exact cuts keep the windows few: a word that is itself too rare ends a window, and so does one whose prefix of
+the window is too rare, as no phrase through either can be frequent enough.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .scratch import keep
 WORDS, LEAST, BEST = 5, 100, 2000
 #: Frequent words up to which tasks hold them as a dictionary of 20-bit numbers; beyond, windows are made of the words.
 DICTIONARY = 1 << 20
+#: Words that make up one in so many of all are hot: pairs of two such are dealt to several tasks.
+HOT = 1000
 #: Windows, and different words, that a task holds before it hands their counts on; rows of a batch it gives out; bytes
 #: of text, but at least one text, that it cuts to words at once.
 HELD, COUNTED, BATCH, SLICE = 1 << 20, 200_000, 200_000, 1 << 20
@@ -141,24 +143,30 @@ def _spelled(texts: DataFrame, size: int) -> DataFrame:
     return words.where(F.size("w") > 0).select("lang", F.inline(windows(F.col("w")))).withColumn("c", F.lit(1).cast("long"))
 
 
-def rolled_up(windows: DataFrame, size: int, least: int, lead: tuple[str, ...] = ()) -> DataFrame:
+def rolled_up(windows: DataFrame, size: int, least: int, lead: tuple[str, ...] = (), hot: int = 0) -> DataFrame:
     """All prefixes of at least one word and a count of ``least``, with ``size`` and ``f``, of ``windows(*lead, w1 .. wN, c)``
     or, packed, ``windows(first, rest, c)``.
 
-    Windows are dealt by their first three words, so that the counts of these and longer prefixes are known before the
-    ROLLUP; each window is cut to its longest prefix that is frequent enough, or to two words.
+    Windows are dealt by a prefix, so that its count and those of longer ones are known before the ROLLUP, and each is
+    cut to its longest prefix that is frequent enough. Packed ones are dealt by two words, but by three if both are
+    among the ``hot`` most frequent; such a pair is not cut. Words as they are are dealt by three, and pairs not cut.
     """
     words, pad = _columns(size), F.lit("" if lead else 0)
     if "first" in windows.columns:
-        first = ["first"]
-        whole = windows.repartition("first").groupBy("first", "rest").agg(F.sum("c").alias("c")).withColumns(_unpacked(size)).drop("rest")
+        pair, number = F.shiftright("first", 20), lambda at: F.shiftright("first", at).bitwiseAND((1 << 20) - 1)
+        dealt = windows.withColumn("deal", F.when((number(40) <= hot) & (number(20) <= hot), F.col("first")).otherwise(F.shiftleft(pair, 20)))
+        whole = dealt.repartition("deal").groupBy("deal", "first", "rest").agg(F.sum("c").alias("c")).withColumns(_unpacked(size))
+        dealt_by, first = ["deal"], ["deal", "first"]
+        is_hot = (F.col("w1") <= hot) & (F.col("w2") <= hot)
     else:
-        first = [*lead, *words[:3]]
+        dealt_by = first = [*lead, *words[:3]]
         whole = windows.repartition(*first).groupBy(*lead, *words).agg(F.sum("c").alias("c"))
+        is_hot = F.lit(True)
     for i in range(size - 1, 2, -1):  # from the longest, so that one order of rows does for all
         whole = whole.withColumn(f"f{i}", F.sum("c").over(W.partitionBy(*first, *words[3:i])))
-    enough = [F.col("c" if i == size else f"f{i}") >= least for i in range(3, size + 1)]
-    cut = whole.select(*lead, *words[:2], *[F.when(e, F.col(c)).otherwise(pad).alias(c) for e, c in zip(enough, words[2:], strict=True)], "c")
+    whole = whole.withColumn("f2", F.sum("c").over(W.partitionBy(*dealt_by)))
+    enough = [is_hot | (F.col("f2") >= least), *[F.col("c" if i == size else f"f{i}") >= least for i in range(3, size + 1)]]
+    cut = whole.select(*lead, words[0], *[F.when(e, F.col(c)).otherwise(pad).alias(c) for e, c in zip(enough, words[1:])], "c")
     sums = cut.rollup(*lead, *words).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     level = (size - F.bit_count("g")).cast("int")
     kept = sums.where(F.col("f") >= least).withColumn("size", level).where(F.col("size") > 0)
@@ -180,11 +188,13 @@ def phrase_counts(docs: DataFrame, size: int = WORDS, least: int = LEAST, dictio
     frequent = counted.where(F.col("n") >= least)
     if frequent.count() <= min(dictionary, DICTIONARY - 1):  # 0 pads
         known: dict[str, dict[bytes, int]] = defaultdict(dict)
-        for i, r in enumerate(frequent.select("lang", "word").toLocalIterator()):
+        every, hot = totals.agg(F.sum("n")).first()[0] or 0, 0
+        for i, r in enumerate(frequent.orderBy(F.desc("n")).toLocalIterator()):
             known[r["lang"]][bytes(r["word"])] = i + 1
+            hot += r["n"] * HOT >= every
         shared = spark.sparkContext.broadcast(dict(known))
         windows = texts.mapInArrow(_coded(shared, size), "first long, rest long, c long")
-        phrases = rolled_up(windows, size, least).mapInPandas(_decoded(shared, size), "lang string, phrase string, size int, f long")
+        phrases = rolled_up(windows, size, least, hot=hot).mapInPandas(_decoded(shared, size), "lang string, phrase string, size int, f long")
     else:
         phrases = rolled_up(_spelled(texts, size), size, least, ("lang",))
         phrases = phrases.select("lang", F.array_join(F.slice(F.array(*_columns(size)), F.lit(1), F.col("size")), " ").alias("phrase"), "size", "f")

@@ -57,9 +57,10 @@ def brute_collocations(texts, size: int, least: int, best: int) -> list[tuple]:
     return sorted(out)
 
 
-@pytest.mark.parametrize("dictionary", [collocations.DICTIONARY, 0])
+@pytest.mark.parametrize(("dictionary", "hot"), [(collocations.DICTIONARY, 1000), (collocations.DICTIONARY, 6), (0, 1000)])
 @pytest.mark.parametrize("size", [2, 3, 5])
-def test_collocations_brute_force(spark, size, dictionary):
+def test_collocations_brute_force(spark, monkeypatch, size, dictionary, hot):
+    monkeypatch.setattr(collocations, "HOT", hot)
     rng = np.random.default_rng(3)
     vocabulary = ["The", "of", "É", "naïve", "x\x00y", " ", "a\u0085b", "B", "b", "\x1f", "ﬁ", "zz"]
     texts = [("en" if i % 3 else None, "".join(rng.choice(vocabulary) + rng.choice([" ", "  ", "\t", ". ", ",", "\r\n", " \t "], p=[0.6, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05]) for _ in range(rng.integers(0, 60)))) for i in range(60)]
