@@ -154,8 +154,9 @@ def rolled_up(windows: DataFrame, size: int, least: int, lead: tuple[str, ...] =
     words, pad = _columns(size), F.lit("" if lead else 0)
     if "first" in windows.columns:
         pair, number = F.shiftright("first", 20), lambda at: F.shiftright("first", at).bitwiseAND((1 << 20) - 1)
-        dealt = windows.withColumn("deal", F.when((number(40) <= hot) & (number(20) <= hot), F.col("first")).otherwise(F.shiftleft(pair, 20)))
-        whole = dealt.repartition("deal").groupBy("deal", "first", "rest").agg(F.sum("c").alias("c")).withColumns(_unpacked(size))
+        deal = F.when((number(40) <= hot) & (number(20) <= hot), F.col("first")).otherwise(F.shiftleft(pair, 20))
+        dealt = windows.repartition(deal).withColumn("deal", deal)  # told again from what came, so not sent
+        whole = dealt.groupBy("deal", "first", "rest").agg(F.sum("c").alias("c")).withColumns(_unpacked(size))
         dealt_by, first = ["deal"], ["deal", "first"]
         is_hot = (F.col("w1") <= hot) & (F.col("w2") <= hot)
     else:
