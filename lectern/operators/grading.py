@@ -1,17 +1,21 @@
 """Grading of free-text answers: coverage, negation, completeness, length, error classes, feedback.
 
-Embeddings are optional: without them the similarity is the cosine of the texts' word counts.
+Vectors are optional: without a model the similarity is the cosine of the texts' word counts.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.hooks import embedder
+from ..sources.workspace import kept
+from .retrieval import cosine
 
 #: Weights of similarity, coverage, entailment and completeness by question type.
 WEIGHTS = {"factual": (0.45, 0.30, 0.10, 0.15), "inferential": (0.35, 0.20, 0.15, 0.30), "evaluative": (0.25, 0.15, 0.20, 0.40)}
@@ -23,18 +27,14 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def coverage(answer_words: Column, reference_words: Column) -> Column:
-    """Share of the reference's words that the answer has, rare ones weighing more."""
-
-    def share(ref: Column) -> Column:
-        total = F.size(ref)
-        freq = lambda w: F.size(F.filter(ref, lambda x: x == w))
-        weight = lambda w: F.log(total / freq(w) + 1)
-        unique = F.array_distinct(ref)
-        add = lambda words: F.aggregate(F.transform(words, weight), F.lit(0.0), lambda a, x: a + x)
-        return F.when(total > 0, F.least(add(F.array_intersect(unique, answer_words)) / add(unique), F.lit(1.0))).otherwise(0.0)
-
-    return bind(reference_words, share)
+def coverage(pairs: DataFrame) -> DataFrame:
+    """pair, keyword: share of the reference's content words that the answer of ``pairs(pair, answer, reference)`` has,
+    rare ones weighing more; pairs without such words have no row. Words are counted, not compared with one another."""
+    ref = pairs.select("pair", t.content_words(F.col("reference"), 2).alias("w")).select("pair", F.size("w").alias("total"), F.explode("w").alias("term"))
+    ref = ref.groupBy("pair", "term").agg((F.log(F.max("total") / F.count("*") + 1)).alias("weight"))
+    have = pairs.select("pair", F.explode(F.array_distinct(t.content_words(F.col("answer")))).alias("term"), F.lit(True).alias("has"))
+    met = ref.join(have, ["pair", "term"], "left")
+    return met.groupBy("pair").agg(F.least(F.sum(F.when(F.col("has"), F.col("weight")).otherwise(0.0)) / F.sum("weight"), F.lit(1.0)).alias("keyword"))
 
 
 def contradicts(answer_tokens: Column, reference_set: Column) -> Column:
@@ -48,21 +48,37 @@ def contradicts(answer_tokens: Column, reference_set: Column) -> Column:
     return ~F.arrays_overlap(reference_set, neg) & bind(answer_tokens, test)
 
 
-def count_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two word lists' counts."""
+def _counted_cosines(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """pair, pos, similarity: cosine of the word counts of each part (pair, pos, text) and its pair's answer. Linear in
+    the words: both sides are exploded, counted, and joined on their terms."""
+    words = lambda c: F.explode(t.tokens(t.preprocess(F.col(c)))).alias("term")
+    answer = pairs.select("pair", words("answer")).groupBy("pair", "term").agg(F.count("*").alias("a"))
+    part = parts.select("pair", "pos", words("text")).groupBy("pair", "pos", "term").agg(F.count("*").alias("b"))
+    cross = part.join(answer, ["pair", "term"], "left").groupBy("pair", "pos").agg(F.sum(F.col("b") * F.coalesce("a", F.lit(0))).alias("x"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    size = answer.groupBy("pair").agg(F.sum(F.col("a") * F.col("a")).alias("aa"))
+    return cross.join(size, "pair").select("pair", "pos", (F.col("x") / F.sqrt((F.col("bb") * F.col("aa")).cast("double"))).alias("similarity"))
+
 
-    def one(x: Column) -> Column:
-        def two(y: Column) -> Column:
-            n = lambda words, w: F.size(F.filter(words, lambda v: v == w)).cast("double")
-            total = lambda items: F.aggregate(items, F.lit(0.0), lambda acc, v: acc + v)
-            cross = total(F.transform(F.array_intersect(x, y), lambda w: n(x, w) * n(y, w)))
-            norm = lambda words: total(F.transform(F.array_distinct(words), lambda w: n(words, w) * n(words, w)))
-            size = F.sqrt(norm(x) * norm(y))
-            return F.when(size > 0, cross / size).otherwise(0.0)
+def _vector_cosines(pairs: DataFrame, parts: DataFrame, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """The same by vectors; every different text is encoded once."""
+    every = pairs.select(F.col("answer").alias("text")).unionByName(parts.select("text")).distinct()
+    vectors = kept(embedder(every.select(F.md5("text").alias("doc_id"), "text"), encode), "text-vectors")
+    of = lambda name: vectors.select(F.col("doc_id").alias(f"{name}_id"), F.col("embedding").alias(name))
+    met = parts.select("pair", "pos", F.md5("text").alias("b_id")).join(pairs.select("pair", F.md5("answer").alias("a_id")), "pair").join(of("a"), "a_id").join(of("b"), "b_id")
+    return met.select("pair", "pos", cosine(F.col("a"), F.col("b")).alias("similarity"))
 
-        return bind(b, two)
 
-    return bind(a, one)
+def similarities(pairs: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """pair, similarity, completeness of ``pairs(pair, answer, reference)``: the answer's cosine to the reference, and the
+    mean credit of the reference's sentences by theirs. Without a model, vectors are word counts. Null texts are empty;
+    a text without words is like none (0)."""
+    whole = pairs.select("pair", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("reference", F.lit("")).alias("reference"))
+    sentences = whole.select("pair", F.posexplode(reference_sentences(F.col("reference"))).alias("pos", "text"))
+    parts = sentences.unionByName(whole.select("pair", F.lit(-1).alias("pos"), F.col("reference").alias("text")))
+    found = _counted_cosines(whole, parts) if encode is None else _vector_cosines(whole, parts, encode)
+    every = parts.select("pair", "pos").join(found, ["pair", "pos"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    of_part = F.col("pos") >= 0
+    return every.groupBy("pair").agg(F.max(F.when(~of_part, F.col("similarity"))).alias("similarity"), F.avg(F.when(of_part, credit(F.col("similarity")))).alias("completeness"))
 
 
 def entailment(contradiction: Column, similarity: Column) -> Column:
@@ -87,20 +103,11 @@ def credit(similarity: Column) -> Column:
 
 
 def reference_sentences(reference: Column) -> Column:
-    parts = F.filter(F.transform(F.split(reference, "[.]"), F.trim), lambda s: F.length(s) > 5)
+    strip = lambda s: F.regexp_replace(s, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    parts = F.filter(F.transform(F.split(reference, "[.]"), strip), lambda s: F.length(s) > 5)
     return bind(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(reference)))
 
 
-def completeness(answer_tokens: Column, reference: Column) -> Column:
-    """Mean credit of the reference's sentences by their similarity to the answer."""
-
-    def mean(parts: Column) -> Column:
-        each = F.transform(parts, lambda p: credit(count_cosine(answer_tokens, t.tokens(t.preprocess(p)))))
-        return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
-
-    return bind(reference_sentences(reference), mean)
-
-
 def length_factor(answer: Column, reference: Column) -> Column:
     a, r = F.size(t.tokens(answer)), F.size(t.tokens(reference))
     ratio = a / F.when(r > 0, r)
@@ -143,19 +150,35 @@ def feedback(score: Column, error: Column, missing: Column, question: Column, me
     return reduce(lambda c, km: c.when(error == km[0], filled(km[1])), by_class, F.when(score >= high, filled(messages["high"]))).otherwise(filled(messages[""]))
 
 
-def grade(answers: DataFrame, similarity: Column | None = None) -> DataFrame:
+def _pair() -> Column:
+    """A key for answer and reference: a pair that comes again is graded once."""
+    return F.concat(F.md5(F.coalesce("answer", F.lit(""))), F.md5(F.coalesce("reference", F.lit(""))))
+
+
+def completeness(answers: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """``answers(answer, reference, ..)`` with ``completeness``."""
+    keyed = answers.withColumn("__pair", _pair())
+    pairs = keyed.select(F.col("__pair").alias("pair"), "answer", "reference").dropDuplicates(["pair"])
+    found = similarities(pairs, encode).select(F.col("pair").alias("__pair"), "completeness")
+    return keyed.join(found, "__pair").drop("__pair")
+
+
+def grade(answers: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """``answers(question, reference, answer, question_type, ..)`` with scores, error class and feedback. An answer that
-    repeats the question scores 0 everywhere."""
-    a = answers.select(
-        "*", t.tokens(t.preprocess(F.col("answer"))).alias("__at"), t.tokens(t.preprocess(F.col("reference"))).alias("__rt"),
-        t.content_words(F.col("reference")).alias("__rw"), t.content_words(F.col("answer")).alias("__aw"), (copied_share(F.col("answer"), F.col("question")) > 0.8).alias("__copied"),
+    repeats the question scores 0 everywhere. ``encode`` makes vectors of answers, references and their sentences; the
+    default counts words. Work grows with the number of words, whatever a text's length."""
+    keyed = answers.withColumn("__pair", _pair())
+    pairs = keyed.select(F.col("__pair").alias("pair"), "answer", "reference").dropDuplicates(["pair"])
+    scored = similarities(pairs, encode).join(coverage(pairs), "pair", "left").select(
+        F.col("pair").alias("__pair"), F.col("similarity").alias("__sim"), F.col("completeness").alias("__com"), F.coalesce("keyword", F.lit(0.0)).alias("__key")
+    )
+    a = keyed.join(scored, "__pair").select(
+        "*", t.tokens(t.preprocess(F.col("answer"))).alias("__at"), t.content_words(F.col("reference")).alias("__rw"), t.content_words(F.col("answer")).alias("__aw"),
+        (copied_share(F.col("answer"), F.col("question")) > 0.8).alias("__copied"),
     )
-    a = a.withColumn("__sim", similarity if similarity is not None else count_cosine(F.col("__at"), F.col("__rt")))
-    long_words = F.filter("__rw", lambda w: F.length(w) > 2)
     ref_set = F.array_distinct("__rw")
     a = a.select(
-        "*", coverage(F.col("__aw"), long_words).alias("__key"), entailment(contradicts(F.col("__at"), ref_set), F.col("__sim")).alias("__nli"),
-        completeness(F.col("__at"), F.col("reference")).alias("__com"), length_factor(F.col("answer"), F.col("reference")).alias("__len"),
+        "*", entailment(contradicts(F.col("__at"), ref_set), F.col("__sim")).alias("__nli"), length_factor(F.col("answer"), F.col("reference")).alias("__len"),
         (F.size(F.array_intersect(F.array_distinct("__aw"), ref_set)) / F.greatest(F.size(ref_set), F.lit(1))).alias("__over"),
         F.slice(F.array_except(F.filter("__rw", lambda w: F.length(w) > 3), F.col("__at")), 1, 5).alias("__missing"),
     )

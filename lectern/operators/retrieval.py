@@ -92,6 +92,17 @@ def with_fallback(filtered: DataFrame, everything: DataFrame) -> DataFrame:
     return filtered.unionByName(everything.join(filtered.select("query_id").distinct(), "query_id", "left_anti"))
 
 
+def within_topics(chunks: DataFrame, queries: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Rows of ``queries`` (query_id, query_vec, base, ...) with the ``chunks`` (doc_id, embedding, topic, subtopic) whose
+    topic or subtopic ``allowed`` (query_id, allowed) names for their base, and ``score``. An equality join on the names:
+    no other chunk is scored, and one that two names fit is scored once."""
+    lists = allowed.groupBy(F.col("query_id").alias("base")).agg(F.sort_array(F.collect_set("allowed")).alias("names"))
+    asked = queries.join(lists, "base").withColumn("name", F.explode("names"))
+    named = chunks.withColumn("own", F.array_distinct(F.array("topic", "subtopic"))).withColumn("name", F.explode("own"))
+    met = named.join(small(asked), "name").where(F.col("name") == F.get(F.array_intersect("own", "names"), F.lit(0)))
+    return met.withColumn("score", dot(F.col("embedding"), F.col("query_vec"))).drop("own", "names", "name", "query_vec")
+
+
 def fuse(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     """query_id, key, fused: sum of 1 / (k + rank) over the rankings (query_id, key, rank from 0)."""
     every = ranked[0].select("query_id", "key", "rank")
@@ -190,7 +201,8 @@ def recall_and_rank(results: DataFrame, k: int = 5) -> DataFrame:
 def hybrid(chunks: DataFrame, queries: DataFrame, prereqs: DataFrame, used: DataFrame, k: int = 5, concepts: DataFrame | None = None, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Retrieval for a table of queries (query_id, topic, difficulty) over chunks (doc_id, text and tags).
 
-    Topics are expanded; the vector of each variant is searched within them (or everywhere if nothing is there), results
+    Topics are expanded; the vector of each variant is searched within them, or in a vector index of all chunks if
+    nothing is there; results
     are deduplicated by their beginning, fused with BM25 of the topics, boosted by tags, freed of recent texts and made
     diverse. Vectors are those of ``encode`` or, without a model, hashed TF-IDF.
     """
@@ -209,15 +221,23 @@ def hybrid(chunks: DataFrame, queries: DataFrame, prereqs: DataFrame, used: Data
     embedded = kept(embedder(body.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("doc_id"), "text").unionByName(asked.select("doc_id", "text")), encode, WIDTH), "embedded")
     of_query = embedded.where("doc_id like 'q%'").join(asked.drop("text"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("query_id").alias("base"), "variant")
     of_chunk = embedded.where("doc_id like 'c%'").select(F.substring("doc_id", 2, 20).cast("long").alias("doc_id"), "embedding").join(chunks.select("doc_id", "topic", "subtopic"), "doc_id")
-    scored = similarities(of_chunk, of_query).select("query_id", "base", "variant", "doc_id", "topic", "subtopic", "score")
-    inside = scored.join(small(allowed.withColumnRenamed("query_id", "for")), (F.col("base") == F.col("for")) & ((F.col("topic") == F.col("allowed")) | (F.col("subtopic") == F.col("allowed"))), "left_semi")
     best = [F.desc(F.round("score", 9)), F.asc("doc_id")]
-    found = kept(with_fallback(top_per_query(inside, k, best), top_per_query(scored, k, best)), "found")
+    inside = kept(top_per_query(within_topics(of_chunk, of_query, allowed), k, best).select("query_id", "base", "variant", "doc_id", "score", "rank"), "inside")
+    # queries that find nothing in their topics search everything, in the cells of an index
+    left = kept(of_query.join(inside.select("query_id").distinct(), "query_id", "left_anti"), "left")
+    found = inside
+    if not left.isEmpty():
+        from .vector_index import build_index
+
+        anywhere = build_index(of_chunk, key="doc_id", k=k).search(left, k)
+        found = inside.unionByName(kept(anywhere.select(*inside.columns), "anywhere"))
     listed = found.select(F.col("base").alias("query_id"), "variant", "rank", "doc_id", F.col("score").alias("similarity")).join(chunks, "doc_id")
     unique = listed.withColumn("n", F.row_number().over(W.partitionBy("query_id", F.substring("text", 1, 100)).orderBy("variant", "rank"))).where("n = 1")
     semantic = unique.select("query_id", F.col("doc_id").alias("key"), (F.row_number().over(W.partitionBy("query_id").orderBy("variant", "rank")) - 1).alias("rank"), "similarity")
     words = wide.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("topic")), " ").alias("ts")).select("query_id", F.concat(F.translate("ts", "/", " "), F.lit(" concepts usage working")).alias("query"))
-    lexical = top_per_query(bm25(body, words), 3 * k, best).select("query_id", F.col("doc_id").alias("key"), "rank")
+    from .keyword_index import build_keyword_index
+
+    lexical = top_per_query(build_keyword_index(body).bm25(words), 3 * k, best).select("query_id", F.col("doc_id").alias("key"), "rank")
     fused = fuse(semantic, lexical).join(semantic.select("query_id", "key", "similarity"), ["query_id", "key"], "left")
     fused = fused.join(chunks, F.col("key") == F.col("doc_id")).join(small(queries.select("query_id", F.col("difficulty").alias("want"))), "query_id")
     bonus = concept_bonus(F.col("concept_type")) + difficulty_bonus(F.col("difficulty"), F.col("want"))

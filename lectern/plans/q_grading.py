@@ -313,7 +313,8 @@ def a36(s: SparkSession, d: str) -> DataFrame:
 
 @query("f19_keyword_coverage", f"{QA}, {FREQ} SELECT q.conv_id, q.turn, round(coalesce(sum(weight) FILTER (has) / sum(weight), 0), 6) AS keyword FROM qa q LEFT JOIN fr USING (conv_id, turn) GROUP BY ALL")
 def f19(s: SparkSession, d: str) -> DataFrame:
-    return qa(s, d).select("conv_id", "turn", rounded(g.coverage(t.content_words(F.col("answer")), t.content_words(F.col("reference"), 2)), 6).alias("keyword"))
+    pairs = qa(s, d).select(F.struct("conv_id", "turn").alias("pair"), "answer", "reference")
+    return pairs.join(g.coverage(pairs), "pair", "left").select("pair.*", rounded(F.coalesce("keyword", F.lit(0.0)), 6).alias("keyword"))
 
 
 @query("f20_entailment", f"""{QA}, x AS (SELECT conv_id, turn, {pre_sql('answer')} AS a, list_distinct({CW.format(pre_sql('reference'))}) AS r FROM qa),
@@ -325,9 +326,22 @@ def f20(s: SparkSession, d: str) -> DataFrame:
     return qa(s, d).select("conv_id", "turn", contra.alias("contra"), g.entailment(contra, sim).alias("nli"))
 
 
-@query("f21_completeness")
+#: Similarity (i = -1 is the whole reference) and completeness by exploded word counts.
+SIM_SQL = f"""pr AS (SELECT *, {pre_sql('answer')} AS aw, {pre_sql('reference')} AS rf FROM qa),
+sent AS (SELECT conv_id, turn, CASE WHEN len(y) > 0 THEN y ELSE [reference] END AS x FROM (SELECT *, list_filter(list_transform(string_split(reference, '.'), lambda s: regexp_replace(s, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')), lambda s: length(s) > 5) AS y FROM pr)),
+part AS (SELECT conv_id, turn, i, {pre_sql('p')} AS w FROM (SELECT conv_id, turn, unnest(x) AS p, unnest(range(len(x))) AS i FROM sent) UNION ALL SELECT conv_id, turn, -1, rf FROM pr),
+pt AS (SELECT conv_id, turn, i, w, count(*) AS n FROM (SELECT conv_id, turn, i, unnest(w) AS w FROM part) GROUP BY ALL),
+an AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(aw) AS w FROM pr) GROUP BY ALL),
+nm AS (SELECT conv_id, turn, sum(n * n) AS nn FROM an GROUP BY ALL),
+cs AS (SELECT pt.conv_id, pt.turn, i, sum(pt.n * coalesce(an.n, 0)) AS x, sum(pt.n * pt.n) AS pp FROM pt LEFT JOIN an USING (conv_id, turn, w) GROUP BY ALL),
+sm AS (SELECT part.conv_id, part.turn, part.i, coalesce(x::DOUBLE / sqrt((pp * nn)::DOUBLE), 0.0::DOUBLE) AS s FROM part LEFT JOIN cs USING (conv_id, turn, i) LEFT JOIN nm USING (conv_id, turn)),
+com AS (SELECT conv_id, turn, max(s) FILTER (i = -1) AS sim,
+    avg(CASE WHEN s >= 0.6 THEN 1.0::DOUBLE WHEN s >= 0.45 THEN 0.6::DOUBLE WHEN s >= 0.3 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) FILTER (i >= 0) AS com FROM sm GROUP BY ALL)"""
+
+
+@query("f21_completeness", f"{QA}, {SIM_SQL} SELECT conv_id, turn, round(com, 6) AS completeness FROM com")
 def f21(s: SparkSession, d: str) -> DataFrame:
-    return qa(s, d).select("conv_id", "turn", rounded(g.completeness(t.tokens(t.preprocess(F.col("answer"))), F.col("reference")), 6).alias("completeness"))
+    return g.completeness(qa(s, d)).select("conv_id", "turn", rounded("completeness", 6).alias("completeness"))
 
 
 @query("f22_length_factor", f"{QA}, x AS (SELECT conv_id, turn, len({words_sql('answer')})::DOUBLE / nullif(len({words_sql('reference')}), 0) AS ratio FROM qa) SELECT conv_id, turn, CASE WHEN ratio IS NULL OR ratio >= 0.4 THEN 1.0 WHEN ratio >= 0.25 THEN 0.85 WHEN ratio >= 0.15 THEN 0.7 ELSE 0.55 END::DOUBLE AS length_factor FROM x")
@@ -368,7 +382,26 @@ def f27(s: SparkSession, d: str) -> DataFrame:
     return qa(s, d).select("conv_id", "turn", F.md5(g.feedback(F.lit(0.4), error, missing, F.col("question"))).alias("feedback_md5"))
 
 
-@query("c6_graded_answers")
+_MARKS = "[" + ", ".join(f"'{m}'" for m in t.ANSWER_CODE_SIGNALS) + "]"
+_RAW = "CASE question_type " + " ".join(f"WHEN '{k}' THEN {w[0]} * sim + {w[1]} * kw + {w[2]} * nli + {w[3]} * com" for k, w in g.WEIGHTS.items()) + " END"
+_SAID = lambda k: "'" + g.MESSAGES[k].replace("'", "''").replace("{missing}", "' || miss || '").replace("{question}", "' || question || '") + "'"
+_FEEDBACK = f"CASE WHEN final >= 0.85 THEN {_SAID('high')} " + " ".join(f"WHEN err = '{k}' THEN {_SAID(k)}" for k in g.MESSAGES if k not in ("", "high")) + f" ELSE {_SAID('')} END"
+
+
+@query("c6_graded_answers", f"""{QA}, {SIM_SQL}, {FREQ},
+kw AS (SELECT conv_id, turn, least(coalesce(sum(weight) FILTER (has), 0) / sum(weight), 1.0) AS kw FROM fr GROUP BY conv_id, turn),
+w AS (SELECT *, {CW.format('aw')} AS ac, {CW.format('rf')} AS rc, len({words_sql('answer')}) AS na, len({words_sql('reference')}) AS nr, list_distinct({words_sql('lower(answer)')}) AS da, list_distinct({words_sql('lower(question)')}) AS dq FROM pr),
+y AS (SELECT *, list_distinct(rc) AS rs, len(list_intersect(da, dq)) / greatest(len(dq), 1)::DOUBLE > 0.8 AS copied, len(list_filter({_MARKS}, lambda m: contains(answer, m))) >= 2 AS code FROM w),
+z AS (SELECT y.*, sim, com, coalesce(kw, 0.0) AS kw, len(list_intersect(list_distinct(ac), rs)) / greatest(len(rs), 1)::DOUBLE AS over,
+    len(list_intersect(rs, {NEG})) = 0 AND len(list_filter(range(1, len(aw)), lambda i: list_contains({NEG}, aw[i]) AND list_contains(rs, aw[i + 1]))) > 0 AS contra,
+    CASE WHEN nr = 0 OR na / nr::DOUBLE >= 0.4 THEN 1.0 WHEN na / nr::DOUBLE >= 0.25 THEN 0.85 WHEN na / nr::DOUBLE >= 0.15 THEN 0.7 ELSE 0.55 END::DOUBLE AS lf,
+    list_filter(list_filter(rc, lambda x: length(x) > 3), lambda x, i: list_position(list_filter(rc, lambda v: length(v) > 3), x) = i AND NOT list_contains(aw, x))[1:5] AS mw FROM y JOIN com USING (conv_id, turn) LEFT JOIN kw USING (conv_id, turn)),
+n AS (SELECT *, CASE WHEN contra THEN 0.25 WHEN sim >= 0.75 THEN 1.0 WHEN sim >= 0.55 THEN 0.75 WHEN sim >= 0.4 THEN 0.5 WHEN sim >= 0.25 THEN 0.3 ELSE 0.15 END::DOUBLE AS nli, CASE WHEN len(mw) > 0 THEN array_to_string(mw, ', ') ELSE 'key concepts' END AS miss FROM z),
+f AS (SELECT *, round(greatest(0.0, least(1.0, ({_RAW}) * lf)), 3) AS final FROM n),
+e AS (SELECT *, CASE WHEN final >= 0.75 THEN 'none' WHEN sim < 0.25 AND over < 0.1 THEN 'off_topic' WHEN nli < 0.3 AND over > 0.2 THEN 'conceptual' WHEN code AND final < 0.5 THEN 'code_syntax' WHEN kw < 0.3 AND sim > 0.4 THEN 'partial' WHEN final < 0.5 THEN 'partial' ELSE 'careless' END AS err FROM f),
+c AS (SELECT *, CASE WHEN copied THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS own FROM e)
+SELECT conv_id, turn, question_type, round(own * sim, 3) AS semantic, round(own * kw, 3) AS keyword, round(own * nli, 3) AS nli, round(own * com, 3) AS completeness, round(own * lf, 3) AS length_factor, round(own * final, 3) AS final,
+CASE WHEN copied THEN 'conceptual' ELSE err END AS error_type, CASE WHEN copied THEN 'The answer repeats the question.' ELSE {_FEEDBACK} END AS feedback FROM c""")
 def c6(s: SparkSession, d: str) -> DataFrame:
     out = g.grade(qa(s, d))
     return out.select("conv_id", "turn", "question_type", *[rounded(c, 3).alias(c) for c in ("semantic", "keyword", "nli", "completeness", "length_factor", "final")], "error_type", "feedback")
@@ -475,9 +508,9 @@ def c2(s: SparkSession, d: str) -> DataFrame:
 @query("c5_question_requests")
 def c5(s: SparkSession, d: str) -> DataFrame:
     found = kept(found_for_queries(s, d), "retrieved")
-    requests = hybrid_queries(s).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).withColumn("request_id", F.concat_ws("-", "query_id", F.col("i").cast("string")))
+    requests = hybrid_queries(s, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).withColumn("request_id", F.concat_ws("-", "query_id", F.col("i").cast("string")))
     siblings = chunk_meta(s, d).select("doc_id", F.concat_ws("::p", "file_name", F.floor(F.col("doc_id") / 3).cast("string")).alias("parent_id"), "text")
-    asked = hybrid_queries(s).select("query_id", F.substring("topic", 4, 1).cast("int").alias("k")).join(qa(s, d).select((F.col("conv_id") % 10).alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "question"), "k")
+    asked = hybrid_queries(s, d).select("query_id", F.substring("topic", 4, 1).try_cast("int").alias("k")).join(qa(s, d).select((F.col("conv_id") % 10).alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "question"), "k")
     out = context.question_requests(found, requests, siblings, asked.select("query_id", "ord", "question"))
     return out.select("request_id", "query_id", "hops", "doc_ids", "has_code", F.coalesce(F.length("snippet"), F.lit(0)).alias("snippet_chars"), F.length("context").alias("context_chars"), F.md5("context").alias("context_md5"), F.md5("avoid").alias("avoid_md5"))
 

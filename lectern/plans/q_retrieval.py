@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval as r
+from ..operators.keyword_index import KeywordIndex, build_keyword_index
+from ..operators.vector_index import VectorIndex, build_index
 from ..operators.enrich import concept_graph, concepts
 from ..registry import query, rounded
 from .views import chunk_meta, literal_table, table, vectors, with_views
@@ -33,6 +37,30 @@ def docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", "text")
 
 
+_INDEXES: dict[tuple, KeywordIndex | VectorIndex] = {}
+
+
+def _index_of(s: SparkSession, d: str, name: str, build: Callable[[DataFrame], KeywordIndex | VectorIndex]) -> KeywordIndex | VectorIndex:
+    """The index of a table, made once in an application and read by all its queries."""
+    rows = table(s, d, name)
+    key = (s.sparkContext.applicationId, name, *sorted(rows.inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = build(rows)
+    return _INDEXES[key]
+
+
+def words_index(s: SparkSession, d: str) -> KeywordIndex:
+    return _index_of(s, d, "documents", lambda rows: build_keyword_index(rows.select("doc_id", "text")))
+
+
+def vectors_index(s: SparkSession, d: str) -> VectorIndex:
+    return _index_of(s, d, "embeddings", lambda rows: build_index(rows.select("vec_id", "embedding", F.col("label").alias("topic"))))
+
+
+def vector_queries(s: SparkSession, d: str) -> DataFrame:
+    return vectors(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
 def _sim(s: SparkSession, d: str) -> DataFrame:
     v = vectors(s, d)
     return r.similarities(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")))
@@ -40,17 +68,17 @@ def _sim(s: SparkSession, d: str) -> DataFrame:
 
 @query("a11_bm25_statistics", f"WITH {POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def a11(s: SparkSession, d: str) -> DataFrame:
-    return r.term_weights(r.postings(docs(s, d)), r.bm25_statistics(docs(s, d))).select("term", "df", rounded("idf", 6).alias("idf"))
+    return words_index(s, d).weights().select("term", "df", rounded("idf", 6).alias("idf"))
 
 
 @query("a12_bm25_scores", f"WITH {Q_SQL}, {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
 def a12(s: SparkSession, d: str) -> DataFrame:
-    return r.bm25(docs(s, d), lit_queries(s)).select("query_id", "doc_id", rounded("score", 6).alias("score"))
+    return words_index(s, d).bm25(lit_queries(s)).select("query_id", "doc_id", rounded("score", 6).alias("score"))
 
 
 @query("o2_bm25_top", f"WITH {Q_SQL}, {BM25} SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM bm) WHERE rank < 15")
 def o2(s: SparkSession, d: str) -> DataFrame:
-    return r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 15, [F.desc(rounded("score", 9)), F.asc("doc_id")]).select("query_id", "doc_id", "rank")
+    return r.top_per_query(words_index(s, d).bm25(lit_queries(s)), 15, [F.desc(rounded("score", 9)), F.asc("doc_id")]).select("query_id", "doc_id", "rank")
 
 
 @query("j1_similarity_join", f"WITH {SIM} SELECT query_id, vec_id, round(score, 6) AS score FROM sim")
@@ -74,7 +102,7 @@ def _order() -> list:
 
 @query("o1_vector_top", f"WITH {SIM} SELECT query_id, vec_id, rank FROM (SELECT *, {TOP} AS rank FROM sim) WHERE rank <= 5")
 def o1(s: SparkSession, d: str) -> DataFrame:
-    return r.top_per_query(_sim(s, d), 5, _order(), start=1).select("query_id", "vec_id", "rank")
+    return vectors_index(s, d).search_exact(vector_queries(s, d), 5).select("query_id", "vec_id", (F.col("rank") + 1).alias("rank"))
 
 
 HYBRID = "0.7 * score + 0.3 * (CASE WHEN label = query_id % 10 THEN 1.0 ELSE 0.0 END)"
@@ -99,7 +127,7 @@ BMR = "bmr AS (SELECT query_id, doc_id AS key, row_number() OVER (PARTITION BY q
 @query("j13_fusion", f"""WITH {Q_SQL}, {BM25}, {BMR}, a AS (SELECT * FROM bmr WHERE rank < 30), b AS (SELECT query_id, doc_id AS key, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS rank FROM bm QUALIFY rank < 30)
 SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.key, b.key) AS key, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS fused FROM a FULL JOIN b ON a.query_id = b.query_id AND a.key = b.key""")
 def j13(s: SparkSession, d: str) -> DataFrame:
-    scored = r.bm25(docs(s, d), lit_queries(s)).withColumn("key", F.col("doc_id"))
+    scored = words_index(s, d).bm25(lit_queries(s)).withColumn("key", F.col("doc_id"))
     a = r.top_per_query(scored, 30, [F.desc(rounded("score", 9)), F.asc("doc_id")])
     b = r.top_per_query(scored, 30, [F.asc("doc_id")])
     return r.fuse(a, b).select("query_id", "key", rounded("fused", 6).alias("fused"))
@@ -107,7 +135,7 @@ def j13(s: SparkSession, d: str) -> DataFrame:
 
 @query("a13_rrf_scores", f"WITH {Q_SQL}, {BM25}, {BMR} SELECT query_id, key, round(1.0 / (60 + rank), 6) AS fused FROM bmr WHERE rank < 15")
 def a13(s: SparkSession, d: str) -> DataFrame:
-    ranked = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 15, [F.desc(rounded("score", 9)), F.asc("doc_id")])
+    ranked = r.top_per_query(words_index(s, d).bm25(lit_queries(s)), 15, [F.desc(rounded("score", 9)), F.asc("doc_id")])
     return r.fuse(ranked.withColumn("key", F.col("doc_id"))).select("query_id", "key", rounded("fused", 6).alias("fused"))
 
 
@@ -161,7 +189,7 @@ OVERLAP = f"len(list_intersect(list_distinct(string_split(query, ' ')), {TOK}))
 g AS (SELECT f.query_id, f.doc_id, f.rank, CASE WHEN count(*) OVER (PARTITION BY f.query_id) > 5 THEN {OVERLAP} ELSE 0 END AS s FROM f JOIN documents USING (doc_id) JOIN q USING (query_id)),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS place FROM g) SELECT query_id, doc_id, place, round(s, 6) AS rerank_score FROM h WHERE place <= 5""")
 def o5(s: SparkSession, d: str) -> DataFrame:
-    found = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 20, [F.desc(rounded("score", 9)), F.asc("doc_id")]).join(docs(s, d), "doc_id").join(lit_queries(s), "query_id")
+    found = r.top_per_query(words_index(s, d).bm25(lit_queries(s)), 20, [F.desc(rounded("score", 9)), F.asc("doc_id")]).join(docs(s, d), "doc_id").join(lit_queries(s), "query_id")
     score = r.overlap(t.tokens(F.lower("query")), t.tokens(F.lower("text")))
     return r.rerank(found, score, 5, [F.asc("rank")]).select("query_id", "doc_id", "place", rounded("rerank_score", 6).alias("rerank_score"))
 
@@ -169,7 +197,7 @@ def o5(s: SparkSession, d: str) -> DataFrame:
 @query("a32_retrieval_metrics", f"""WITH {Q_SQL}, {BM25}, {BMR}, x AS (SELECT b.query_id, rank + 1 AS rank, contains(lower(d.text), string_split(q.query, ' ')[3]) AS hit FROM bmr b JOIN documents d ON d.doc_id = b.key JOIN q USING (query_id) WHERE rank < 10),
 p AS (SELECT query_id, max(CASE WHEN rank <= 5 AND hit THEN 1.0 ELSE 0.0 END) AS recall, coalesce(max(CASE WHEN hit THEN 1.0 / rank END), 0) AS rr FROM x GROUP BY query_id) SELECT round(avg(recall), 6) AS recall_at_5, round(avg(rr), 6) AS mrr, count(*) AS queries FROM p""")
 def a32(s: SparkSession, d: str) -> DataFrame:
-    found = r.top_per_query(r.bm25(docs(s, d), lit_queries(s)), 10, [F.desc(rounded("score", 9)), F.asc("doc_id")], start=1).join(docs(s, d), "doc_id")
+    found = r.top_per_query(words_index(s, d).bm25(lit_queries(s)), 10, [F.desc(rounded("score", 9)), F.asc("doc_id")], start=1).join(docs(s, d), "doc_id")
     x = found.join(lit_queries(s).select("query_id", F.get(F.split("query", " "), F.lit(2)).alias("keyword")), "query_id")
     return r.recall_and_rank(x).agg(rounded(F.avg("recall"), 6).alias("recall_at_5"), rounded(F.avg("reciprocal_rank"), 6).alias("mrr"), F.count("*").alias("queries"))
 
@@ -189,6 +217,12 @@ def w13(s: SparkSession, d: str) -> DataFrame:
     return semantic_segments(v, "doc", "vec_id", 0.4).select("vec_id", "doc", "segment")
 
 
+@query("j2_index_search")
+def j2_index(s: SparkSession, d: str) -> DataFrame:
+    found = vectors_index(s, d).search(vector_queries(s, d), 5)
+    return found.select("query_id", "vec_id", (F.col("rank") + 1).alias("rank"), rounded("score", 6).alias("score"))
+
+
 @query("j2_lsh_join")
 def j2(s: SparkSession, d: str) -> DataFrame:
     from ..operators.lsh import approximate_pairs
@@ -201,17 +235,20 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return chunk_meta(s, d)
 
 
-def hybrid_queries(s: SparkSession) -> DataFrame:
+def hybrid_queries(s: SparkSession, d: str) -> DataFrame:
+    """Topics of the corpus, and every benchmark item by its first words: these are no topics and search everything."""
     rows = tuple((f"{topic}-{want}", topic, want) for topic in ("src1", "src2", "src3", "src4") for want in ("easy", "hard"))
-    return literal_table(s, rows, "query_id string, topic string, difficulty string")
+    words = F.array_join(F.slice(t.tokens(F.col("text")), 1, 8), " ")
+    items = table(s, d, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("query_id"), words.alias("topic"), F.lit("medium").alias("difficulty"))
+    return literal_table(s, rows, "query_id string, topic string, difficulty string").unionByName(items)
 
 
 def found_for_queries(s: SparkSession, d: str) -> DataFrame:
     pre = literal_table(s, (("src1", "src0", 0), ("src1", "src2", 1), ("src3", "src5", 0)), "topic string, prereq string, ord int")
-    cm = _chunks(s, d)
-    used = hybrid_queries(s).select("query_id", "topic").join(cm.where("doc_id % 97 = 0").select("topic", F.trim(F.substring("text", 1, 80)).alias("used_key")), "topic")
+    cm, asked = _chunks(s, d), hybrid_queries(s, d)
+    used = asked.select("query_id", "topic").join(cm.where("doc_id % 97 = 0").select("topic", F.trim(F.substring("text", 1, 80)).alias("used_key")), "topic")
     edges = concept_graph(concepts(cm))
-    return r.hybrid(cm, hybrid_queries(s), pre, used, concepts=r.graph_concepts(hybrid_queries(s).select("query_id", "topic"), edges))
+    return r.hybrid(cm, asked, pre, used, concepts=r.graph_concepts(asked.select("query_id", "topic"), edges))
 
 
 @query("c3_hybrid_retrieval")
