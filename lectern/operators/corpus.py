@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.hooks import embedder
+from .context import semantic_segments
+
+#: Components of the vectors that stand in for a model's.
+SENTENCE_WIDTH = 256
 
 
 def paragraph_sections(docs: DataFrame, separator: str = r"\n{2,}", size: int = 5) -> DataFrame:
@@ -45,17 +52,57 @@ def chunk_id(file_path: Column, page: Column, index: Column, text: Column) -> Co
     return F.md5(F.concat(file_path, F.lit("::p"), page.cast("string"), F.lit("::c"), index.cast("string"), F.lit("::"), F.length(text).cast("string"), F.lit("::"), text))
 
 
-def chunks(sections: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
-    """Chunk rows of sections (file_name, file_path, page_number, section, text), typed and with ids."""
-    packed = sections.where(F.trim("text") != "").withColumn("parts", t.pack_sentences(F.col("text"), size, overlap))
-    rows = packed.select("file_name", "file_path", "page_number", "section", F.size("parts").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "text"))
-    return rows.select(
+def typed(parts: DataFrame) -> DataFrame:
+    """Chunk rows of parts (file_name, file_path, page_number, section, chunk_index, total_chunks, text), typed and with ids."""
+    return parts.select(
         chunk_id(F.col("file_path"), F.col("page_number"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "text", "file_name", "file_path", "page_number", "section", "chunk_index", "total_chunks",
         parent_id(F.col("file_path"), F.col("page_number")).alias("parent_id"), t.chunk_type(F.col("text")).alias("chunk_type"),
         t.detect_code(F.col("text")).alias("contains_code"), t.detect_example(F.col("text")).alias("contains_example"),
     )
 
 
+def chunks(sections: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
+    """Chunk rows of sections (file_name, file_path, page_number, section, text), typed and with ids."""
+    packed = sections.where(F.trim("text") != "").withColumn("parts", t.pack_sentences(F.col("text"), size, overlap))
+    return typed(packed.select("file_name", "file_path", "page_number", "section", F.size("parts").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "text")))
+
+
+def sentence_vectors(sentences: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """``sentences`` (key, pos, text) with ``embedding``; every different sentence is embedded once."""
+    distinct = sentences.select(F.md5("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = embedder(distinct, encode, SENTENCE_WIDTH).withColumnRenamed("doc_id", "id")
+    return sentences.join(found, F.md5("text") == F.col("id")).drop("id")
+
+
+def semantic_chunks(sections: DataFrame, vectors: Callable[[DataFrame], DataFrame] = sentence_vectors, threshold: float = 0.4, size: int = 500, overlap: int = 80) -> DataFrame:
+    """As ``chunks``, cut where the topic shifts: a chunk ends before a sentence whose vector's cosine to the one before is
+    below ``threshold``, and a longer one than ``size`` is packed anew from its sentences.
+
+    ``vectors`` gives sentences (key, pos, text) their ``embedding``. A text of ``size`` characters or fewer, or of one
+    sentence, is one chunk, whatever its length; a blank one has none. Sections are told apart by path, page and name.
+    """
+    own = ["file_name", "file_path", "page_number", "section"]
+    keyed = sections.where(F.trim("text") != "").withColumn("key", F.md5(F.to_json(F.struct(*own)))).withColumn("parts", t.sentences(F.col("text")))
+    short = (F.length("text") <= size) | (F.size("parts") <= 1)
+    whole = keyed.where(short).select("key", F.lit(0).cast("long").alias("segment"), F.array(F.trim("text")).alias("pieces"))
+    cut = vectors(keyed.where(~short).select("key", F.posexplode("parts").alias("pos", "text")))
+    found = semantic_segments(cut, "key", "pos", threshold).groupBy("key", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("s"))
+    joined = found.select("key", F.col("segment").cast("long").alias("segment"), F.array_join("s.text", " ").alias("text"))
+    pieces = F.when(F.length("text") > size, t.pack_sentences(F.col("text"), size, overlap)).otherwise(F.array("text"))
+    every = whole.unionByName(joined.select("key", "segment", pieces.alias("pieces"))).select("key", "segment", F.posexplode("pieces").alias("piece", "text")).where(F.trim("text") != "")
+    w = W.partitionBy("key")
+    placed = every.withColumn("chunk_index", F.row_number().over(w.orderBy("segment", "piece")) - 1).withColumn("total_chunks", F.count("*").over(w).cast("int"))
+    return typed(placed.drop("segment", "piece").join(keyed.select("key", *own).distinct(), "key"))
+
+
+def corpus_build(docs: DataFrame, separator: str = r"\n{2,}", chunked: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
+    """Chunks of ``docs`` (doc_id, file_name, file_path, text) from raw text on: paragraphs in sections, each normalised,
+    cut by ``chunked`` (``chunks``, ``semantic_chunks``) and deduplicated by id, the first by path, page and place."""
+    found = paragraph_sections(docs, separator).withColumn("text", t.normalize_text(F.col("text")))
+    sections = found.join(docs.select("doc_id", "file_name", "file_path"), "doc_id")
+    return keep_first(chunked(sections), [F.col("chunk_id")], [F.col("file_path"), F.col("page_number"), F.col("chunk_index")])
+
+
 def keep_first(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """One row per key, the first by ``order``. Partial aggregates keep a hot key from gathering its rows in one task."""
     columns = rows.columns
@@ -91,20 +138,44 @@ def profile(chunked: DataFrame) -> DataFrame:
     )
 
 
-def regular_table(text: Column, separator: str = "|") -> Column:
-    """Lines of cells as a markdown table of the most frequent width; short rows are padded, long ones cut."""
-    rows = F.transform(F.filter(t.lines_of(text), lambda x: F.contains(x, F.lit(separator))), lambda x: F.transform(F.split(x, "[" + separator + "]"), F.trim))
-    widths = F.transform(rows, lambda r: F.size(r))
-
-    def modal(w: Column) -> Column:
-        counted = F.transform(F.array_distinct(w), lambda x: F.struct(F.size(F.filter(w, lambda y: y == x)).alias("n"), (-x).alias("x")))
-        return -F.array_max(counted)["x"]
-
-    def shaped(width: Column) -> Column:
-        fit = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)
-        line = lambda r: F.concat(F.lit("| "), F.array_join(fit(r), " | "), F.lit(" |"))
-        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-        body = F.transform(rows, line)
-        return F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))), "\n")
-
-    return F.when(F.size(rows) > 0, F.get(F.transform(F.array(modal(widths)), shaped), F.lit(0)))
+def regular_table(text: Column) -> Column:
+    """Recognised text as a markdown table after the mark [TABLE]: lines are cut at two or more blanks, or else at each;
+    the most frequent width, first seen if tied, is that of all rows, short ones padded and long ones cut; without
+    letters in most cells of the first row, there is a head of numbered columns. Fewer than two lines stay as they are."""
+    strip = lambda s: F.regexp_replace(s, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+
+    def cells(line: Column) -> Column:
+        wide = F.split(line, r"[ \t]{2,}")
+        return F.when(F.size(wide) > 1, wide).otherwise(F.filter(F.split(line, r"[ \t]+"), lambda c: c != ""))
+
+    def modal(widths: Column) -> Column:
+        # sorted widths in runs: linear in the lines but for the sort
+        counted = F.aggregate(
+            F.array_sort(F.transform(widths, lambda w, i: F.struct(w.alias("w"), i.alias("i")))),
+            F.struct(F.lit(-1).alias("w"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(0).alias("bw"), F.lit(0).alias("bn"), F.lit(0).alias("bi")),
+            lambda a, x: _run(F.when(a["w"] == x["w"], F.struct(a["w"].alias("w"), (a["n"] + 1).alias("n"), a["i"].alias("i"))).otherwise(F.struct(x["w"].alias("w"), F.lit(1).alias("n"), x["i"].alias("i"))), a),
+        )
+        return counted["bw"]
+
+    def _run(now: Column, a: Column) -> Column:
+        better = (now["n"] > a["bn"]) | ((now["n"] == a["bn"]) & (now["i"] < a["bi"]))
+        pick = lambda have, best: F.when(better, have).otherwise(best)
+        return F.struct(now["w"].alias("w"), now["n"].alias("n"), now["i"].alias("i"), pick(now["w"], a["bw"]).alias("bw"), pick(now["n"], a["bn"]).alias("bn"), pick(now["i"], a["bi"]).alias("bi"))
+
+    def shaped(rows: Column) -> Column:
+        def table(width: Column) -> Column:
+            fit = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+            line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+            first = fit(F.get(rows, F.lit(0)))
+            named = F.size(F.filter(first, lambda c: F.rlike(c, F.lit(r"\p{L}")))) / width > 0.5
+            numbers = F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("Column "), i.cast("string")))
+            head = F.when(named, first).otherwise(numbers)
+            body = F.when(named, F.slice(rows, F.lit(2), F.size(rows))).otherwise(rows)
+            rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+            return F.array_join(F.concat(F.array(line(head), rule), F.transform(body, lambda r: line(fit(r)))), "\n")
+
+        return F.get(F.transform(F.array(modal(F.transform(rows, F.size))), table), F.lit(0))
+
+    made = F.get(F.transform(F.array(F.transform(lines, cells)), shaped), F.lit(0))
+    return F.concat(F.lit("[TABLE]\n"), F.when(F.size(lines) < 2, text).otherwise(made))

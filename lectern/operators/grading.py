@@ -183,7 +183,7 @@ def grade(answers: DataFrame, encode: Callable[[list[str]], list[list[float]]] |
         F.slice(F.array_except(F.filter("__rw", lambda w: F.length(w) > 3), F.col("__at")), 1, 5).alias("__missing"),
     )
     raw = weighted(F.col("question_type"), [F.col("__sim"), F.col("__key"), F.col("__nli"), F.col("__com")]) * F.col("__len")
-    a = a.withColumn("__final", F.round(recalibrate(raw), 3))
+    a = a.withColumn("__final", F.round(recalibrate(raw).cast("decimal(38,12)"), 3).cast("double"))
     code = t.contains_count(F.col("answer"), t.ANSWER_CODE_SIGNALS) >= 2
     a = a.withColumn("__err", error_class(F.col("__final"), F.col("__sim"), F.col("__key"), F.col("__nli"), F.col("__over"), code))
     zero = lambda c: F.when(F.col("__copied"), 0.0).otherwise(c)
@@ -204,9 +204,14 @@ def is_choice(text: Column) -> Column:
     return t.contains_count(F.lower(text), t.OPTION_MARKS) >= 3
 
 
-def valid_choice(options: Column, correct: Column) -> Column:
-    """Exactly the keys a) to d), none empty, and an answer that is a key or a value."""
-    keys = F.array_sort(F.map_keys(options))
-    full = F.forall(F.map_values(options), lambda v: F.trim(v) != "")
-    resolved = F.array_contains(keys, F.concat(F.substring(F.lower(F.trim(correct)), 1, 1), F.lit(")"))) | F.array_contains(F.map_values(options), correct)
-    return (keys == F.array(*[F.lit(k) for k in ("a)", "b)", "c)", "d)")])) & full & resolved
+def valid_choice(question: Column, options: Column, correct: Column) -> Column:
+    """A question of four words, options under exactly the keys a) to d), none blank, and a correct answer that is one of
+    these keys, with or without its bracket, and points to an option of two words."""
+    keys, four = F.transform(F.map_keys(options), lambda k: F.lower(F.trim(k))), F.array(*[F.lit(k) for k in ("a)", "b)", "c)", "d)")])
+    named = F.lower(F.trim(correct))
+    key = F.when(F.endswith(named, F.lit(")")), named).otherwise(F.concat(named, F.lit(")")))
+    full = F.forall(F.map_values(options), lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
+    resolved = F.size(t.tokens(F.coalesce(F.element_at(options, key), F.lit("")))) >= 2
+    valid = (F.size(t.tokens(question)) >= 4) & (F.array_sort(F.array_distinct(keys)) == four) & full & F.array_contains(four, key) & resolved
+    return F.coalesce(valid, F.lit(False))
+

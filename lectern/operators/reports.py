@@ -78,9 +78,9 @@ def missing(value: Column) -> Column:
 
 
 def reviewed(judged: DataFrame) -> DataFrame:
-    """Reviews with missing scores as null, the gap to the system's score and the agreement."""
+    """Reviews with missing scores as null, the gap (positive where the system scored too low) and the agreement."""
     j = missing(F.col("judge_score"))
-    return judged.withColumn("judge", j).withColumn("gap", F.col("system_score") - j).withColumn("agreement", 1 - F.abs(F.col("system_score") - j))
+    return judged.withColumn("judge", j).withColumn("gap", j - F.col("system_score")).withColumn("agreement", 1 - F.abs(F.col("system_score") - j))
 
 
 def audit(judged: DataFrame, tolerance: float = 0.15) -> list[Column]:
@@ -88,8 +88,8 @@ def audit(judged: DataFrame, tolerance: float = 0.15) -> list[Column]:
     return [
         F.count("*").alias("n"), F.avg("judge").alias("mean_judge"), F.avg(F.when(F.col("judge").isNotNull(), F.col("system_score"))).alias("mean_system"),
         F.avg("gap").alias("mean_gap"), F.avg("agreement").alias("mean_agreement"), F.when(n > 1, F.corr("judge", "system_score")).alias("correlation"),
-        (100 * F.avg(F.when(F.col("gap") > tolerance, 1.0).when(F.col("gap").isNotNull(), 0.0))).alias("over_pct"),
-        (100 * F.avg(F.when(F.col("gap") < -tolerance, 1.0).when(F.col("gap").isNotNull(), 0.0))).alias("under_pct"),
+        (100 * F.avg(F.when(F.col("gap") < -tolerance, 1.0).when(F.col("gap").isNotNull(), 0.0))).alias("over_pct"),
+        (100 * F.avg(F.when(F.col("gap") > tolerance, 1.0).when(F.col("gap").isNotNull(), 0.0))).alias("under_pct"),
     ]
 
 

@@ -147,8 +147,8 @@ def build_index(vectors: DataFrame, key: str = "vec_id", cells: int | None = Non
     centres = np.zeros((0, 0))
     if n:
         sample = whole.orderBy(F.xxhash64("embedding")).limit(SAMPLE) if n > SAMPLE else whole
-        model = KMeans(k=cells, seed=seed, maxIter=10, initSteps=1).fit(sample.select(array_to_vector("embedding").alias("features")))
-        centres = np.array(model.clusterCenters())
+        # the clustering takes two centres at least
+        centres = np.array([sample.first()["embedding"]] if cells == 1 else _fitted(sample, cells, seed))
     placed = whole.mapInPandas(_assigned(centres), schema)
     # a folder for each cell; a cell of many rows is several files, written by as many tasks
     placed.repartition("cell", F.pmod(F.xxhash64(key), F.lit(max(1, n // (cells * FILE_ROWS))))).write.partitionBy("cell").parquet(f"{path}/rows")
@@ -161,6 +161,10 @@ def build_index(vectors: DataFrame, key: str = "vec_id", cells: int | None = Non
     return replace(index, probes=probes, recall=share)
 
 
+def _fitted(sample: DataFrame, cells: int, seed: int) -> list:
+    return KMeans(k=cells, seed=seed, maxIter=10, initSteps=1).fit(sample.select(array_to_vector("embedding").alias("features"))).clusterCenters()
+
+
 def _measured(index: VectorIndex, k: int, least: float) -> tuple[int, float]:
     """Cells to probe, and the share of true neighbours that they find. Rows are asked for their own neighbours."""
     asked = index.rows.orderBy(F.xxhash64(index.key, F.lit(1))).limit(MEASURED).select(F.col(index.key).alias("query_id"), F.col("embedding").alias("query_vec"))

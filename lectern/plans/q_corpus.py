@@ -17,6 +17,16 @@ SENTENCES = f"string_split(regexp_replace(text, '([.!?]){WS}', '\\1' || chr(1),
 LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
+
+
+def _packed(text: str) -> str:
+    """The chunks of ``text_functions.pack_sentences`` as a list: the same fold."""
+    parts = SENTENCES.replace("text", text)
+    fold = f"""list_reduce(list_transform({parts}, lambda s: {{'done': []::VARCHAR[], 'now': s}}), lambda a, x: CASE WHEN length(a.now) + length(x.now) + 1 <= 500
+THEN {{'done': a.done, 'now': trim(a.now || ' ' || x.now)}} ELSE {{'done': CASE WHEN a.now = '' THEN a.done ELSE list_append(a.done, a.now) END, 'now': trim(right(a.now, 80) || ' ' || x.now)}} END, {{'done': []::VARCHAR[], 'now': ''}})"""
+    return f"CASE WHEN length({text}) <= 500 THEN CASE WHEN trim({text}) = '' THEN [] ELSE [trim({text})] END ELSE list_transform([{fold}], lambda f: CASE WHEN f.now = '' THEN f.done ELSE list_append(f.done, f.now) END)[1] END"
+
+
 def _any(column: str, marks: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{m}')" for m in marks) + ")"
 
@@ -154,9 +164,16 @@ def a10(s: SparkSession, d: str) -> DataFrame:
     return c.profile(rows)
 
 
-@query("a34_text_tables")
+@query("a34_text_tables", r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')), lambda s: s <> '') AS l FROM documents),
+r AS (SELECT doc_id, text, len(l) AS n, list_transform(l, lambda s: CASE WHEN regexp_matches(s, '[ \t]{2,}') THEN regexp_split_to_array(s, '[ \t]{2,}') ELSE list_filter(regexp_split_to_array(s, '[ \t]+'), lambda c: c <> '') END) AS r FROM l),
+w AS (SELECT doc_id, len(c) AS w, count(*) AS k, min(i) AS i FROM (SELECT doc_id, unnest(r) AS c, unnest(range(n)) AS i FROM r) GROUP BY ALL),
+m AS (SELECT doc_id, first(w ORDER BY k DESC, i) AS w FROM w GROUP BY doc_id),
+f AS (SELECT doc_id, text, n, w, list_transform(r, lambda c: list_resize(c, w, '')) AS r FROM r LEFT JOIN m USING (doc_id)),
+h AS (SELECT *, len(list_filter(r[1], lambda c: regexp_matches(c, '\p{L}'))) / w::DOUBLE > 0.5 AS named, list_transform(range(1, w + 1), lambda i: 'Column ' || i) AS cols FROM f),
+o AS (SELECT doc_id, text, n, w, CASE WHEN named THEN r[1] ELSE cols END AS head, CASE WHEN named THEN r[2:] ELSE r END AS body FROM h)
+SELECT doc_id, md5('[TABLE]' || chr(10) || CASE WHEN n < 2 THEN text ELSE '| ' || array_to_string(head, ' | ') || ' |' || chr(10) || '|' || repeat(' --- |', w) || coalesce(chr(10) || array_to_string(list_transform(body, lambda c: '| ' || array_to_string(c, ' | ') || ' |'), chr(10)), '') END) AS table_md5 FROM o""")
 def a34(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", c.regular_table(F.col("text")).alias("markdown")).where("markdown is not null")
+    return docs(s, d).select("doc_id", F.md5(c.regular_table(F.col("text"))).alias("table_md5"))
 
 
 @query("w14_chunk_places", f"SELECT doc_id, unnest(range(len(x))) AS chunk_index, len(x) AS total_chunks FROM (SELECT doc_id, {SENTENCES} AS x FROM documents)")
@@ -181,10 +198,12 @@ def _ascii_sql(text: str) -> str:
 
 _NORMAL = f"""regexp_replace(regexp_replace(regexp_replace({_ascii_sql('text')}, '[^\\x00-\\x7f]', '', 'g'), '[\\x00\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"""
 _STRIP = "'^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'"
+_KEPT_LINES = """list_filter(x, lambda s: trim(s) = '' OR NOT (regexp_full_match(trim(s), '[-=_*]{3,}') OR (regexp_full_match(trim(s), '[0-9]{1,3}') AND len(x) > 20)
+ OR (length(trim(s)) > 2 AND replace(trim(s), substr(trim(s), 1, 1), '') = '') OR (length(trim(s)) > 12 AND NOT regexp_matches(s, '[a-zA-Z]'))))"""
+_CLEANED = f"""regexp_replace(array_to_string(list_transform(x, lambda s: CASE WHEN trim(s) = '' THEN '' ELSE s END), chr(10)), {_STRIP})"""
 _CLEAN = f"""l AS (SELECT doc_id, string_split({_NORMAL}, chr(10)) AS x FROM documents),
-k AS (SELECT doc_id, list_filter(x, lambda s: trim(s) = '' OR NOT (regexp_full_match(trim(s), '[-=_*]{{3,}}') OR (regexp_full_match(trim(s), '[0-9]{{1,3}}') AND len(x) > 20)
- OR (length(trim(s)) > 2 AND replace(trim(s), substr(trim(s), 1, 1), '') = '') OR (length(trim(s)) > 12 AND NOT regexp_matches(s, '[a-zA-Z]')))) AS x FROM l),
-clean AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(x, lambda s: CASE WHEN trim(s) = '' THEN '' ELSE s END), chr(10)), {_STRIP}) AS text FROM k)"""
+k AS (SELECT doc_id, {_KEPT_LINES} AS x FROM l),
+clean AS (SELECT doc_id, {_CLEANED} AS text FROM k)"""
 
 
 @query("f1_normalize_text", f"WITH {_CLEAN} SELECT doc_id, md5(text) AS text_md5 FROM clean")
@@ -256,13 +275,19 @@ def f9(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.length(t.code_blocks(_page_text())).alias("code_chars"), F.length(t.prose(_page_text())).alias("prose_chars"))
 
 
-@query("f10_pack_sentences")
+@query("f10_pack_sentences", f"SELECT doc_id, unnest(range(len(x))) AS chunk_index, unnest(x) AS chunk FROM (SELECT doc_id, {_packed('text')} AS x FROM documents)")
 def f10(s: SparkSession, d: str) -> DataFrame:
     x = docs(s, d).select("doc_id", t.pack_sentences(F.col("text")).alias("x"))
     return x.select("doc_id", F.posexplode("x").alias("chunk_index", "chunk"))
 
 
-@query("f11_hard_split")
+_CUTS = "CASE WHEN length(x.now) > 500 THEN ceil((length(x.now) - 500) / 420.0)::INT ELSE 0 END"
+_HARD = f"""list_reduce(list_transform({SENTENCES}, lambda s: {{'done': []::VARCHAR[], 'now': s}}), lambda a, x: CASE WHEN length(a.now) + length(x.now) + 1 <= 500 THEN {{'done': a.done, 'now': trim(a.now || ' ' || x.now)}}
+ELSE {{'done': list_concat(CASE WHEN a.now = '' THEN a.done ELSE list_append(a.done, a.now) END, list_transform(range({_CUTS}), lambda i: substr(x.now, i * 420 + 1, 500))), 'now': substr(x.now, ({_CUTS}) * 420 + 1)}} END, {{'done': []::VARCHAR[], 'now': ''}})"""
+
+
+@query("f11_hard_split", f"""SELECT doc_id, unnest(range(len(x))) AS chunk_index, unnest(x) AS chunk FROM (SELECT doc_id,
+CASE WHEN length(text) <= 500 THEN CASE WHEN trim(text) = '' THEN [] ELSE [text] END ELSE list_transform([{_HARD}], lambda f: CASE WHEN f.now = '' THEN f.done ELSE list_append(f.done, f.now) END)[1] END AS x FROM documents)""")
 def f11(s: SparkSession, d: str) -> DataFrame:
     x = docs(s, d).select("doc_id", t.hard_split(F.col("text")).alias("x"))
     return x.select("doc_id", F.posexplode("x").alias("chunk_index", "chunk"))
@@ -280,9 +305,43 @@ def f13(s: SparkSession, d: str) -> DataFrame:
     return sections(s, d).select("doc_id", c.parent_id(path, page).alias("parent_id"), c.chunk_id(path, page, F.lit(0), F.col("text")).alias("chunk_id"))
 
 
-@query("c1_corpus_build")
+_PATH = "source || '/' || doc_id"
+_TYPED = f"""CASE WHEN list_sum(list_transform(string_split(text, chr(10)), lambda l: {_code('trim(l)')})) >= 4 THEN 'code' WHEN regexp_matches(text, '[$\\\\∫∑√]') THEN 'equation' ELSE 'text' END"""
+
+
+@query("c1_corpus_build", f"""WITH p AS (SELECT {_PATH} AS file_path, doc_id % 10 AS page_number, {_packed('text')} AS x FROM documents),
+c AS (SELECT file_path, page_number, unnest(range(len(x))) AS chunk_index, len(x) AS total_chunks, unnest(x) AS text FROM p)
+SELECT md5(file_path || '::p' || page_number || '::c' || chunk_index || '::' || length(text) || '::' || text) AS chunk_id, file_path, page_number, chunk_index, total_chunks, length(text) AS chars, {_TYPED} AS chunk_type FROM c""")
 def c1(s: SparkSession, d: str) -> DataFrame:
-    return c.keep_first(c.chunks(sections(s, d)), [F.col("chunk_id")], [F.col("file_path"), F.col("chunk_index")])
+    built = c.keep_first(c.chunks(sections(s, d)), [F.col("chunk_id")], [F.col("file_path"), F.col("chunk_index")])
+    return built.select("chunk_id", "file_path", "page_number", "chunk_index", "total_chunks", F.length("text").alias("chars"), "chunk_type")
+
+
+def _given_vectors(s: SparkSession, d: str):
+    """Sentences get vectors of the given table, by their length: a stand-in for a model's that SQL can repeat."""
+    v = table(s, d, "embeddings")
+    n = v.agg(F.max("vec_id") + 1).first()[0]
+    return lambda rows: rows.withColumn("vec_id", F.length("text") * 7 % n).join(v.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
+@query("c1_semantic_corpus", f"""WITH p AS (SELECT doc_id, source, unnest(range(len(l))) AS pos, unnest(l) AS x FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)),
+raw AS (SELECT source || '/' || doc_id AS file_path, pos // 5 + 1 AS page_number, string_agg(x, chr(10) || chr(10) ORDER BY pos) AS text FROM p GROUP BY source, doc_id, pos // 5),
+l AS (SELECT file_path, page_number, string_split({_NORMAL}, chr(10)) AS x FROM raw), k AS (SELECT file_path, page_number, {_KEPT_LINES} AS x FROM l),
+sec AS (SELECT file_path, page_number, {_CLEANED} AS text FROM k), q AS (SELECT *, {SENTENCES} AS ss FROM sec WHERE trim(text) <> ''),
+one AS (SELECT file_path, page_number, 0 AS segment, trim(text) AS text, true AS small FROM q WHERE length(text) <= 500 OR len(ss) <= 1),
+se AS (SELECT file_path, page_number, unnest(range(len(ss))) AS pos, unnest(ss) AS text FROM q WHERE length(text) > 500 AND len(ss) > 1),
+ve AS (SELECT se.*, e.embedding AS e, lag(e.embedding) OVER (PARTITION BY file_path, page_number ORDER BY pos) AS b FROM se JOIN embeddings e ON e.vec_id = length(se.text) * 7 % (SELECT max(vec_id) + 1 FROM embeddings)),
+br AS (SELECT *, CASE WHEN b IS NOT NULL AND list_cosine_similarity(e::DOUBLE[], b::DOUBLE[]) < 0.4 THEN 1 ELSE 0 END AS brk FROM ve),
+sg AS (SELECT *, sum(brk) OVER (PARTITION BY file_path, page_number ORDER BY pos) AS segment FROM br),
+jo AS (SELECT file_path, page_number, segment, string_agg(text, ' ' ORDER BY pos) AS text FROM sg GROUP BY ALL),
+pc AS (SELECT file_path, page_number, segment, [text] AS x FROM one UNION ALL SELECT file_path, page_number, segment, CASE WHEN length(text) > 500 THEN {_packed('text')} ELSE [text] END FROM jo),
+fl AS (SELECT file_path, page_number, segment, unnest(range(len(x))) AS piece, unnest(x) AS text FROM pc),
+ch AS (SELECT file_path, page_number, text, row_number() OVER (PARTITION BY file_path, page_number ORDER BY segment, piece) - 1 AS chunk_index, count(*) OVER (PARTITION BY file_path, page_number) AS total_chunks FROM fl WHERE trim(text) <> '')
+SELECT md5(file_path || '::p' || page_number || '::c' || chunk_index || '::' || length(text) || '::' || text) AS chunk_id, file_path, page_number, chunk_index, total_chunks FROM ch""")
+def c1_semantic(s: SparkSession, d: str) -> DataFrame:
+    rows = docs(s, d).select("doc_id", F.col("source").alias("file_name"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), "text")
+    built = c.corpus_build(rows, "\n", lambda sections: c.semantic_chunks(sections, _given_vectors(s, d)))
+    return built.select("chunk_id", "file_path", "page_number", "chunk_index", "total_chunks")
 
 
 @query("u1_stack_frames", "SELECT doc_id AS id, 'document' AS kind FROM documents UNION ALL SELECT page_id, 'page' FROM pages")

@@ -79,15 +79,20 @@ def p11(s: SparkSession, d: str) -> DataFrame:
     return qa(s, d).select("conv_id", "turn", g.is_choice(F.col("question")).alias("is_choice"))
 
 
-@query("p12_choice_structure", f"""{QA}, x AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(answer, '[ \\t\\n\\r]+'), lambda v: v <> '') AS w FROM qa),
-o AS (SELECT conv_id, turn, turn % 4 <> 0 AS four, [coalesce(w[i], '') FOR i IN range(1, CASE WHEN turn % 4 = 0 THEN 4 ELSE 5 END)] AS v, CASE WHEN turn % 3 = 0 THEN 'b' ELSE w[2] END AS correct FROM x)
-SELECT conv_id, turn, coalesce(four AND len(list_filter(v, lambda y: trim(y) = '')) = 0 AND (substr(lower(trim(correct)), 1, 1) IN ('a', 'b', 'c', 'd') OR list_contains(v, correct)), false) AS valid FROM o""")
+@query("p12_choice_structure", f"""{QA}, x AS (SELECT conv_id, turn, question, {words_sql('answer')} AS w FROM qa),
+o AS (SELECT *, CASE WHEN turn % 4 = 0 AND conv_id % 3 = 0 THEN ['a)', 'b)', 'c)'] WHEN conv_id % 5 = 1 THEN ['A)', ' b)', 'c)', 'd)'] ELSE ['a)', 'b)', 'c)', 'd)'] END AS ks,
+    lower(trim(CASE conv_id % 4 WHEN 0 THEN 'b' WHEN 1 THEN ' C) ' WHEN 2 THEN 'A' ELSE coalesce(w[1], '') END)) AS named FROM x),
+p AS (SELECT *, list_transform(range(1, len(ks) + 1), lambda i: trim(coalesce(w[2 * i], '') || ' ' || coalesce(w[2 * i + 1], ''))) AS vs, CASE WHEN ends_with(named, ')') THEN named ELSE named || ')' END AS c FROM o)
+SELECT conv_id, turn, len({words_sql('question')}) >= 4 AND list_sort(list_distinct(list_transform(ks, lambda k: lower(trim(k))))) = ['a)', 'b)', 'c)', 'd)'] AND len(list_filter(vs, lambda v: v = '')) = 0
+    AND list_contains(['a)', 'b)', 'c)', 'd)'], c) AND coalesce(len({words_sql('vs[list_position(ks, c)]')}), 0) >= 2 AS valid FROM p""")
 def p12(s: SparkSession, d: str) -> DataFrame:
     w = t.tokens(F.col("answer"))
-    keys = F.when(F.col("turn") % 4 == 0, F.array(*[F.lit(k) for k in ("a)", "b)", "c)")])).otherwise(F.array(*[F.lit(k) for k in ("a)", "b)", "c)", "d)")]))
-    rows = qa(s, d).withColumn("options", F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.get(w, F.ascii(k) - 97), F.lit("")))))
-    correct = F.when(F.col("turn") % 3 == 0, "b").otherwise(F.get(w, F.lit(1)))
-    return rows.select("conv_id", "turn", F.coalesce(g.valid_choice(F.col("options"), correct), F.lit(False)).alias("valid"))
+    given = lambda *ks: F.array(*[F.lit(k) for k in ks])
+    keys = F.when((F.col("turn") % 4 == 0) & (F.col("conv_id") % 3 == 0), given("a)", "b)", "c)")).when(F.col("conv_id") % 5 == 1, given("A)", " b)", "c)", "d)")).otherwise(given("a)", "b)", "c)", "d)"))
+    word = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+    options = F.map_from_arrays(keys, F.transform(keys, lambda k, i: F.trim(F.concat_ws(" ", word(2 * i + 1), word(2 * i + 2)))))
+    correct = F.when(F.col("conv_id") % 4 == 0, "b").when(F.col("conv_id") % 4 == 1, " C) ").when(F.col("conv_id") % 4 == 2, "A").otherwise(word(F.lit(0)))
+    return qa(s, d).select("conv_id", "turn", g.valid_choice(F.col("question"), options, correct).alias("valid"))
 
 
 @query("p14_flat_projection", f"{CM} SELECT doc_id AS id, topic, subtopic, file_name, page_number, round((doc_id % 77) / 77.0::DOUBLE, 4) AS similarity_score, 'multi_query' AS retrieval_source FROM chunk_meta")
@@ -409,7 +414,7 @@ def c6(s: SparkSession, d: str) -> DataFrame:
 
 # --- reviews -------------------------------------------------------------------------------------------------
 
-RV = f"{JU}, rv AS (SELECT *, CASE WHEN judge_score >= 0 THEN judge_score END AS judge, system_score - CASE WHEN judge_score >= 0 THEN judge_score END AS gap, 1 - abs(system_score - CASE WHEN judge_score >= 0 THEN judge_score END) AS agreement FROM judged)"
+RV = f"{JU}, rv AS (SELECT *, CASE WHEN judge_score >= 0 THEN judge_score END AS judge, CASE WHEN judge_score >= 0 THEN judge_score END - system_score AS gap, 1 - abs(system_score - CASE WHEN judge_score >= 0 THEN judge_score END) AS agreement FROM judged)"
 
 
 def _rv(s: SparkSession, d: str) -> DataFrame:
@@ -427,7 +432,7 @@ def a24(s: SparkSession, d: str) -> DataFrame:
 
 
 AUDIT = """count(*) AS n, round(avg(judge), 6) AS mean_judge, round(avg(CASE WHEN judge IS NOT NULL THEN system_score END), 6) AS mean_system, round(avg(gap), 6) AS mean_gap, round(avg(agreement), 6) AS mean_agreement,
-round(CASE WHEN count(judge) > 1 THEN corr(judge, system_score) END, 6) AS correlation, round(100 * avg(CASE WHEN gap > 0.15 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 6) AS over_pct, round(100 * avg(CASE WHEN gap < -0.15 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 6) AS under_pct"""
+round(CASE WHEN count(judge) > 1 THEN corr(judge, system_score) END, 6) AS correlation, round(100 * avg(CASE WHEN gap < -0.15 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 6) AS over_pct, round(100 * avg(CASE WHEN gap > 0.15 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 6) AS under_pct"""
 
 
 @query("a25_score_audit", f"{RV} SELECT student_type, {AUDIT} FROM rv GROUP BY student_type")
