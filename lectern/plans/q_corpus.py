@@ -111,9 +111,9 @@ def p13(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.size(t.tokens(F.col("text"))).alias("words")).where("words >= 5")
 
 
-@query("j3_siblings", "SELECT a.doc_id, b.doc_id AS sibling FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id % 50 = b.doc_id % 50 AND a.doc_id <> b.doc_id")
+@query("j3_siblings", "SELECT a.doc_id, b.doc_id AS sibling FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id // 60 = b.doc_id // 60 AND a.doc_id <> b.doc_id")
 def j3(s: SparkSession, d: str) -> DataFrame:
-    x = docs(s, d).select("doc_id", c.parent_id(F.col("source"), F.col("doc_id") % 50).alias("parent_id"))
+    x = docs(s, d).select("doc_id", c.parent_id(F.col("source"), F.floor(F.col("doc_id") / 60)).alias("parent_id"))
     return x.join(x.select(F.col("doc_id").alias("sibling"), "parent_id"), "parent_id").where("doc_id <> sibling").select("doc_id", "sibling")
 
 

@@ -130,12 +130,12 @@ def j9(s: SparkSession, d: str) -> DataFrame:
     return chunk_meta(s, d).where(F.lower("topic") != "src5").select("doc_id", "topic")
 
 
-@query("j10_prerequisite_cleanup", f"""{with_views('prereqs')}, e AS (SELECT * FROM prereqs UNION ALL SELECT 'view', 'view', 5 UNION ALL SELECT 'view', 'nothing', 6 UNION ALL SELECT event_type, 'error', event_id FROM events WHERE event_id < 50), v AS (SELECT DISTINCT event_type AS t FROM events)
+@query("j10_prerequisite_cleanup", f"""{with_views('prereqs')}, e AS (SELECT * FROM prereqs UNION ALL SELECT 'view', 'view', 5 UNION ALL SELECT 'view', 'nothing', 6 UNION ALL SELECT event_type, 'error', event_id FROM events WHERE event_id % 100 = 0), v AS (SELECT DISTINCT event_type AS t FROM events)
 SELECT topic, prereq, ord FROM e WHERE topic IN (SELECT t FROM v) AND prereq IN (SELECT t FROM v) AND topic <> prereq""")
 def j10(s: SparkSession, d: str) -> DataFrame:
     ev = table(s, d, "events")
     more = literal_table(s, (("view", "view", 5), ("view", "nothing", 6)), "topic string, prereq string, ord int")
-    seen = ev.where("event_id < 50").select(F.col("event_type").alias("topic"), F.lit("error").alias("prereq"), F.col("event_id").cast("int").alias("ord"))
+    seen = ev.where("event_id % 100 = 0").select(F.col("event_type").alias("topic"), F.lit("error").alias("prereq"), F.col("event_id").cast("int").alias("ord"))
     return enrich.clean_prereqs(prereqs(s).unionByName(more).unionByName(seen), ev.select(F.col("event_type").alias("topic"))).select("topic", "prereq", "ord")
 
 
