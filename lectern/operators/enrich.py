@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .replies import parse_questions  # noqa: F401  read with the tags
 
 #: Defaults and allowed values of tags.
 DEFAULTS = {"topic": "Unknown", "subtopic": "Unknown", "concept_type": "other", "difficulty": "medium", "keywords": ""}
@@ -110,21 +111,6 @@ def tagging_outcome(tagged: DataFrame) -> DataFrame:
     return tagged.agg(F.count_if(~default).alias("tagged"), F.count_if(default).alias("defaulted"))
 
 
-def parse_questions(replies: DataFrame) -> DataFrame:
-    """``replies(.., raw)`` with question, reference_answer and parse_path: json, pattern or none.
-
-    Fences go, line ends inside become blanks; a reply that is no JSON is read by patterns of its two fields.
-    """
-    flat = F.regexp_replace(F.coalesce(t.json_slice(F.col("raw")), F.lit("")), r"[\r\n]+", " ")
-    r = replies.withColumn("__v", F.try_parse_json(flat))
-    field = lambda n: F.try_variant_get("__v", f"$.{n}", "string")
-    found = lambda n: F.nullif(F.regexp_extract("raw", rf'(?s)"{n}"\s*:\s*"(.*?)"\s*[,}}\n]', 1), F.lit(""))
-    q, a = field("question"), field("reference_answer")
-    q2, a2 = found("question"), found("reference_answer")
-    path = F.when(q.isNotNull() & a.isNotNull(), "json").when(q2.isNotNull() & a2.isNotNull(), "pattern").otherwise("none")
-    return r.select(*replies.columns, F.coalesce(q, q2).alias("question"), F.coalesce(a, a2).alias("reference_answer"), path.alias("parse_path"))
-
-
 #: Kinds of chunks that the concept graph is made of, and how many at most.
 EXCERPT_TYPES, EXCERPTS = ("definition", "explanation", "example"), 150
 

@@ -260,13 +260,37 @@ def a35(s: SparkSession, d: str) -> DataFrame:
     return enrich.tagging_outcome(enrich.parse_tags(_replies(s, d)))
 
 
-@query("f16_question_repair")
+_PLAIN = r'[\x00-\x1f"\\`{}]'
+F16 = """WITH x AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS k, 'About ' || trim(regexp_replace(question, '[\x00-\x1f"\\\\`{}]', ' ', 'g')) AS q, 'Since ' || trim(regexp_replace(reference, '[\x00-\x1f"\\\\`{}]', ' ', 'g')) AS a FROM qa)
+SELECT conv_id, turn, CASE k WHEN 1 THEN q || ' or not?' WHEN 4 THEN q || E' ```\nx = 1;\ny = 2;\n``` end' WHEN 6 THEN q || ' why?' ELSE q END AS question,
+CASE k WHEN 6 THEN 'Error' WHEN 7 THEN 'one two three four five ' || a ELSE a END AS reference_answer, CASE WHEN k = 0 THEN 'x y' END AS first_option, CASE WHEN k IN (0, 7) THEN 'a)' END AS correct_answer,
+CASE k WHEN 2 THEN 'fields' WHEN 5 THEN 'pattern' WHEN 6 THEN 'line' ELSE 'json' END AS parse_path FROM x"""
+
+
+def _question_replies(s: SparkSession, d: str) -> DataFrame:
+    """Eight kinds of replies: with options, with a line end in a string, without a comma, fenced whole, with code, cut
+    off, a plain question, and with the answer under another name."""
+    plain = lambda c: F.trim(F.regexp_replace(c, _PLAIN, " "))
+    q, a = F.concat(F.lit("About "), plain("question")), F.concat(F.lit("Since "), plain("reference"))
+    part = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    kinds = [
+        part('Sure: {"question": "', q, '", "reference_answer": "', a, '", "options": {"a)": "x y", "b)": "z"}, "correct_answer": "a)"} Done.'),
+        part('{"question": "', q, '\nor not?", "reference_answer": "', a, '"}'),
+        part('{"question": "', q, '" "reference_answer": "', a, '"}'),
+        part('```json\n{"question": "', q, '",\n "reference_answer": "', a, '"}\n```'),
+        part('{"question": "', q, ' ```c\nx = 1;\ny = 2;\n``` end", "reference_answer": "', a, ' ```\nx = 1;\n```"}'),
+        part('{"question": "', q, '", "reference_answer": "', a),
+        part("Here it is.\n ", q, " why? \nBecause."),
+        part('{"question": "', q, '", "explanation": "one two three four five ', a, '", "correct_answer": "a)"}'),
+    ]
+    k = (F.col("conv_id") + F.col("turn")) % 8
+    raw = F.coalesce(*[F.when(k == i, r) for i, r in enumerate(kinds)])
+    return qa(s, d).select("conv_id", "turn", raw.alias("raw"))
+
+
+@query("f16_question_repair", F16.replace("WITH ", f"{QA}, ", 1))
 def f16(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("turn")
-    good = F.concat(F.lit('```json\n{"question": "'), F.translate(F.substring("question", 1, 60), '"\\', ""), F.lit('",\n "reference_answer": "'), F.translate(F.substring("reference", 1, 60), '"\\', ""), F.lit('"}\n```'))
-    raw = F.when(k % 3 == 0, F.regexp_replace(good, r"\}", "")).when(k % 3 == 1, good).otherwise(F.concat(good, F.lit(" trailing } text")))
-    rows = qa(s, d).select("conv_id", "turn", raw.alias("raw"))
-    return enrich.parse_questions(rows).groupBy("parse_path").agg(F.count("*").alias("replies"), F.count("question").alias("questions"))
+    return enrich.parse_questions(_question_replies(s, d)).select("conv_id", "turn", "question", "reference_answer", F.try_element_at("options", F.lit("a)")).alias("first_option"), "correct_answer", "parse_path")
 
 
 @query("f17_tolerant_casts", "WITH x AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'bad' ELSE (event_id % 100)::VARCHAR END AS v FROM events) SELECT event_id, coalesce(TRY_CAST(v AS DOUBLE), 0.0) AS as_double, coalesce(TRY_CAST(v AS INT), 0) AS as_int, upper(trim(CASE WHEN event_id % 2 = 0 THEN ' True ' ELSE 'no' END)) = 'TRUE' AS flag FROM x")
