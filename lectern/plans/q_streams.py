@@ -11,7 +11,7 @@ from ..functions import hooks
 from ..registry import query, rounded
 from ..sources import files
 from ..sources.workspace import workspace
-from ..streaming import live
+from ..streaming import live, upserts
 from .views import attempts, courses, table
 
 
@@ -43,6 +43,35 @@ def _deliveries(spark: SparkSession, d: str, path: str, n: int = 3):
         yield
 
 
+#: Deliveries of the streams in disorder: how many, and the rows of the first third that come after all others.
+DELIVERIES, LATE = 3, 97
+LATE_SQL = f"""bounds AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+timely AS (SELECT *, least(value / CASE user_id % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 30.0 ELSE 60.0 END::DOUBLE, 1.0::DOUBLE) AS score FROM events, bounds
+WHERE NOT (event_id % {LATE} = 0 AND epoch_us(ts) < lo + (hi - lo) // {DELIVERIES}))"""
+
+
+def _disordered(spark: SparkSession, d: str, path: str, again: bool = False):
+    """Append the events to a folder: ``DELIVERIES`` by time, where each tenth event comes up to 12 hours late, then one
+    of rows later than any watermark and a row of student -1 far ahead, which moves the watermark past all others.
+    ``again`` sends each twentieth event twice within 12 hours, and the events of the first third at the end."""
+    events, n = table(spark, d, "events"), DELIVERIES
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    half_day, span = 12 * 3600 * 1_000_000, hi - lo + 1
+    early = at < lo + (hi - lo) // n
+    late = early & (F.col("event_id") % LATE == 0)
+    part = lambda shift: F.least(F.floor((at + shift - lo) * n / span), F.lit(n - 1))
+    rows = [events.withColumn("__part", F.when(late, n).otherwise(part(F.when(F.col("event_id") % 10 == 0, half_day).otherwise(0))))]
+    if again:
+        rows += [events.where((F.col("event_id") % 20 == 0) & ~late).withColumn("__part", part(F.lit(half_day))), events.where(early).withColumn("__part", F.lit(n))]
+    ahead = events.orderBy(F.desc("ts"), "event_id").limit(1).withColumn("ts", F.expr("ts + interval 60 days")).withColumn("user_id", F.lit(-1).cast("bigint"))
+    rows.append(ahead.withColumn("event_id", F.lit(-1).cast("bigint")).withColumn("__part", F.lit(n)))
+    for i in range(n + 1):
+        for r in rows:
+            r.where(F.col("__part") == i).drop("__part").write.mode("append").parquet(path)
+        yield i
+
+
 def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """All that a stream gives, written as it comes with the number of its micro-batch."""
     spark = stream.sparkSession
@@ -139,6 +168,27 @@ def st3(s: SparkSession, d: str) -> DataFrame:
     return live.session_reports(a).select("student", "answers", rounded("mean_score", 6).alias("mean_score"), F.unix_timestamp("start").alias("start_s"))
 
 
+@query("st3_session_stream", f"""WITH {LATE_SQL}, b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM timely WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM b)
+SELECT user_id AS student, count(*) AS answers, round(avg(score), 6) AS mean_score, floor(epoch(min(ts)))::BIGINT AS start_s FROM g GROUP BY user_id, g.g""")
+def st3_stream(s: SparkSession, d: str) -> DataFrame:
+    path, out = workspace(s, "events"), workspace(s, "sessions")
+    for _ in _disordered(s, d, path):
+        live.append_files(live.session_reports(live.attempts_stream(s, path), late="1 day"), out, f"{out}-checkpoint").awaitTermination()
+    return s.read.parquet(out).select("student", "answers", rounded("mean_score", 6).alias("mean_score"), F.unix_timestamp("start").alias("start_s"))
+
+
+@query("st2_session_batches", f"""WITH {LATE_SQL}, b AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 36 * 3600000000 THEN 0 ELSE 1 END AS brk FROM timely WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM b), r AS (SELECT *, row_number() OVER w AS step, min(epoch_us(ts)) OVER w AS start_us FROM g WINDOW w AS (PARTITION BY user_id, g ORDER BY ts, event_id))
+SELECT user_id AS student, start_us, (step - 1) // 20 AS batch, count(*) AS answers, round(avg(score), 6) AS mean_score FROM r GROUP BY ALL HAVING count(*) >= 2""")
+def st2_sessions(s: SparkSession, d: str) -> DataFrame:
+    path, out = workspace(s, "events"), workspace(s, "batches")
+    with stateful(s):
+        for _ in _disordered(s, d, path):
+            live.append_files(live.session_batches(live.attempts_stream(s, path), 36 * 3600, "1 day"), out, f"{out}-checkpoint").awaitTermination()
+    return s.read.parquet(out).select("student", "start_us", "batch", "answers", rounded("mean_score", 6).alias("mean_score"))
+
+
 @query("st4_answered_once", "SELECT event_id, user_id AS student FROM events")
 def st4(s: SparkSession, d: str) -> DataFrame:
     path = _event_files(s, d)
@@ -146,16 +196,25 @@ def st4(s: SparkSession, d: str) -> DataFrame:
     return _drained(live.once_each(live.attempts_stream(s, path), "36500 days"), "append", "once").select("event_id", "student")
 
 
+@query("st4_late_repeats", f"WITH {LATE_SQL} SELECT event_id, user_id AS student FROM timely")
+def st4_late(s: SparkSession, d: str) -> DataFrame:
+    path, out = workspace(s, "events"), workspace(s, "once")
+    for _ in _disordered(s, d, path, again=True):
+        once = live.once_each(live.attempts_stream(s, path), "1 day").select("event_id", "student")
+        live.append_files(once, out, f"{out}-checkpoint").awaitTermination()
+    return s.read.parquet(out).where("event_id >= 0")
+
+
 @query("st5_incremental_upsert", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'seen' ELSE lang END AS lang FROM documents")
 def st5(s: SparkSession, d: str) -> DataFrame:
     path, target = workspace(s, "docs"), workspace(s, "upsert")
     docs = table(s, d, "documents").select("doc_id", "lang")
-    changed = docs.where("doc_id % 3 = 0").withColumn("lang", F.lit("seen"))
-    for rows in (docs, changed):  # two deliveries
+    marked = lambda n, word: docs.where(F.col("doc_id") % n == 0).withColumn("lang", F.lit(word))
+    for rows in (docs, marked(6, "once"), marked(3, "seen")):  # three deliveries
         rows.write.mode("append").parquet(path)
         stream = s.readStream.schema("doc_id bigint, lang string").parquet(path)
-        live.upsert_files(stream, "doc_id", target, f"{target}-checkpoint").awaitTermination()
-    return s.read.parquet(f"{target}/v1")
+        upserts.upsert_stream(stream, "doc_id", target, f"{target}-checkpoint").awaitTermination()
+    return upserts.read_version(s, target, docs.schema)
 
 
 @query("st6_append_sink", "SELECT event_id, user_id AS student FROM events")

@@ -19,6 +19,8 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LIVE = "student long, topic string, attempts long, mean double, trend double, top_d long, top_q long"
 BATCHES = "student long, batch long, answers long, mean_score double"
+SESSION_BATCHES = "student long, start_us long, batch long, answers long, mean_score double"
+SESSION_COLUMNS = ["student", "start_us", "batch", "answers", "mean_score"]
 
 
 def attempts_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -52,7 +54,7 @@ class KnowledgeState(StatefulProcessor):
         self.totals = handle.getValueState("totals", totals)
         self.recent = handle.getListState("recent", T.StructType([T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("score", T.DoubleType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
         n, total, d, q = self.totals.get() if self.totals.exists() else (0, 0.0, 0, 0)
         recent = [tuple(r) for r in self.recent.get()]
         for part in rows:  # in whatever order they come, the last ten by event time are kept
@@ -86,7 +88,7 @@ class AnswerBatches(StatefulProcessor):
         held = T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
         self.held = handle.getValueState("held", held)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
         batch, n, total = self.held.get() if self.held.exists() else (0, 0, 0.0)
         out = []
         for score in pd.concat(list(rows)).sort_values(["ts", "event_id"])["score"]:
@@ -101,7 +103,7 @@ class AnswerBatches(StatefulProcessor):
             self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + self.silence_ms)
         yield pd.DataFrame(out, columns=["student", "batch", "answers", "mean_score"])
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
         batch, n, total = self.held.get() if self.held.exists() else (0, 0, 0.0)
         rows = [(key[0], batch, n, total / n)] if n >= 2 else []
         self.held.clear()
@@ -111,6 +113,79 @@ class AnswerBatches(StatefulProcessor):
         pass
 
 
+class SessionBatches(StatefulProcessor):
+    """Per student and session a row for every ``SIZE`` answers, and one for the rest, of two answers or more, once the
+    watermark is ``silence_us`` past the last answer.
+
+    Answers wait until the watermark has passed them and are then taken in order of event time, so batches and sessions
+    do not depend on the order of delivery. State: the answers within the watermark, and one open batch.
+    """
+
+    SIZE = 20
+
+    def __init__(self, silence_us: int):
+        super().__init__()
+        self.silence_us = silence_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        long, double = T.LongType(), T.DoubleType()
+        held = [("start", long), ("last", long), ("batch", long), ("n", long), ("total", double)]
+        self.held = handle.getValueState("held", T.StructType([T.StructField(n, t) for n, t in held]))
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("at", long), T.StructField("event_id", long), T.StructField("score", double)]))
+
+    def _wake_at(self, us: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        waiting = [tuple(r) for r in self.waiting.get()]
+        for part in rows:
+            waiting += [(int(at.value) // 1000, int(event), float(score)) for at, event, score in zip(part["ts"], part["event_id"], part["score"])]
+        self.waiting.put(waiting)
+        self._wake_at(min(w[0] for w in waiting))
+        yield pd.DataFrame([], columns=SESSION_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        ready, waiting = [w for w in waiting if w[0] <= now], [w for w in waiting if w[0] > now]
+        held, out = (tuple(self.held.get()) if self.held.exists() else None), []
+
+        def rest() -> None:
+            if held and held[3] >= 2:
+                out.append((key[0], held[0], held[2], held[3], held[4] / held[3]))
+
+        for at, _, score in ready:
+            if held and at - held[1] > self.silence_us:
+                rest()
+                held = None
+            start, _, batch, n, total = held or (at, at, 0, 0, 0.0)
+            held = (start, at, batch, n + 1, total + score)
+            if n + 1 == self.SIZE:
+                rest()
+                held = (start, at, batch + 1, 0, 0.0)
+        if held and held[1] + self.silence_us < now:
+            rest()
+            held = None
+        if held:
+            self.held.update(held)
+        else:
+            self.held.clear()
+        if waiting:
+            self.waiting.put(waiting)
+            self._wake_at(waiting[0][0])
+        else:
+            self.waiting.clear()
+            if held:
+                self._wake_at(held[1] + self.silence_us + 1000)
+        yield pd.DataFrame(out, columns=SESSION_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
 def live_state(attempts: DataFrame) -> DataFrame:
     """Knowledge state of each student and topic after each micro-batch that has answers of theirs; the row of most
     attempts is the latest."""
@@ -129,6 +204,14 @@ def left_over(spark: SparkSession, checkpoint: str) -> DataFrame:
     return held.select(F.col("key.student").alias("student"), "value.*").where("n >= 2").select("student", "batch", F.col("n").alias("answers"), (F.col("total") / F.col("n")).alias("mean_score"))
 
 
+def session_batches(attempts: DataFrame, silence_s: int = 1800, late: str = "1 hour") -> DataFrame:
+    """Batches of answers within sessions that end after ``silence_s`` seconds without an answer, the rest of each
+    session included. Answers later than the watermark are dropped."""
+    p = SessionBatches(silence_s * 1_000_000)
+    rows = attempts.withWatermark("ts", late).groupBy("student")
+    return rows.transformWithStateInPandas(p, outputStructType=SESSION_BATCHES, outputMode="Append", timeMode="EventTime")
+
+
 def session_reports(attempts: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """student, start, end, answers, mean_score of each session; works on tables and on streams."""
     if attempts.isStreaming:
@@ -139,24 +222,10 @@ def session_reports(attempts: DataFrame, gap: str = "30 minutes", late: str = "1
 
 
 def once_each(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Answers without those that came twice within the watermark."""
+    """Answers without those that came twice within the watermark. A row that is later than the watermark is dropped,
+    whether it came before or not, so ids are forgotten once the watermark is ``late`` past them."""
     return attempts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def upsert_files(stream: DataFrame, key: str, target: str, checkpoint: str, order: str | None = None):
-    """Keep the latest row of each key: every micro-batch writes a version of the table and names it last. Of rows of
-    one key in a micro-batch, that of the highest ``order`` counts, and of those the greatest row."""
-    from ..operators.corpus import keep_latest
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        row = F.struct(*([order] if order else []), *batch.columns)
-        new = batch.groupBy(F.col(key).alias("__key")).agg(F.max(row).alias("__row")).select(*[F.col("__row").getField(c).alias(c) for c in batch.columns])
-        merged = new if epoch == 0 else keep_latest(spark.read.parquet(f"{target}/v{epoch - 1}"), new, key)
-        merged.write.mode("overwrite").parquet(f"{target}/v{epoch}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def append_files(stream: DataFrame, target: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
