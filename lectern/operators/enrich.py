@@ -60,6 +60,46 @@ def page_consistent(rows: DataFrame) -> DataFrame:
     return rows.join(major, page, "left").withColumn("topic", F.coalesce("major", "topic")).drop("major")
 
 
+def usable_replies(chunks: DataFrame, replies: DataFrame, tries: int = 3) -> DataFrame:
+    """doc_id, raw, tried of each chunk without a topic that has ``replies(doc_id, attempt, raw)``: the first attempt that
+    holds a JSON object, null if none of the first ``tries`` does, and the number of the last attempt. Of two replies to
+    one attempt the smaller text counts."""
+    waiting = chunks.where(F.col("topic").isNull()).select("doc_id")
+    r = replies.where(F.col("attempt") <= tries).select("doc_id", "attempt", "raw").join(waiting, "doc_id", "left_semi")
+    sound = F.try_parse_json(t.json_slice(F.col("raw"))).isNotNull()
+    one = r.groupBy("doc_id").agg(F.min(F.when(sound, F.struct("attempt", "raw"))).alias("first"), F.max("attempt").alias("tried"))
+    return one.select("doc_id", F.col("first.raw").alias("raw"), "tried")
+
+
+def open_requests(chunks: DataFrame, replies: DataFrame, tries: int = 3) -> DataFrame:
+    """doc_id, attempt: what is to be asked next, for chunks without a topic, without a usable reply and with tries left."""
+    waiting = chunks.where(F.col("topic").isNull()).select("doc_id").distinct()
+    j = waiting.join(usable_replies(chunks, replies, tries), "doc_id", "left")
+    return j.where(F.col("raw").isNull() & (F.coalesce("tried", F.lit(0)) < tries)).select("doc_id", (F.coalesce("tried", F.lit(0)) + 1).alias("attempt"))
+
+
+def enrich_chunks(chunks: DataFrame, replies: DataFrame, topics: DataFrame, tries: int = 3) -> DataFrame:
+    """``chunks`` with the tags that a ledger of replies gives, the same columns and rows.
+
+    Chunks with a topic keep their tags and take no reply, so a run over its own result changes nothing. Chunks without
+    one take the tags of their first usable reply, or the defaults once ``tries`` attempts failed; their topic becomes
+    the canonical one of ``topics(raw, canonical)``, else their section, else Unknown. Others wait, and are in
+    ``open_requests``. All chunks that have a topic then take the majority of their page.
+    """
+    got = usable_replies(chunks, replies, tries).where(F.col("raw").isNotNull() | (F.col("tried") >= tries))
+    tags = parse_tags(got.select("doc_id", "raw")).select("doc_id", F.struct(*DEFAULTS).alias("__tags"))
+    j = chunks.join(tags, "doc_id", "left")
+    new = F.col("topic").isNull() & F.col("__tags").isNotNull()
+    tagged = j.withColumn("__new", new)
+    for name in DEFAULTS:
+        tagged = tagged.withColumn(name, F.when(F.col("__new"), F.col("__tags")[name]).otherwise(F.col(name)))
+    dim = topics.groupBy(F.lower("raw").alias("__raw")).agg(F.min("canonical").alias("__canonical"))  # raw names twice add no rows
+    named = tagged.join(dim, F.lower("topic") == F.col("__raw"), "left")
+    topic = F.when(F.col("__new"), F.coalesce("__canonical", "section", F.lit(DEFAULTS["topic"]))).otherwise(F.col("topic"))
+    named = named.withColumn("topic", topic).withColumn("__waits", F.col("topic").isNull()).select(*chunks.columns, "__waits")
+    return page_consistent(named).withColumn("topic", F.when(~F.col("__waits"), F.col("topic"))).select(*chunks.columns)
+
+
 def topic_difficulty(rows: DataFrame) -> DataFrame:
     """topic, level: the most frequent difficulty mapped to a level; ties to the first seen."""
     votes = rows.groupBy("topic", "difficulty").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))

@@ -534,6 +534,37 @@ def c2(s: SparkSession, d: str) -> DataFrame:
     return enrich.page_consistent(named).select("doc_id", "topic")
 
 
+@query("c2_reply_ledger", f"""WITH {CANON_SQL}, x AS (SELECT doc_id, doc_id % 3 AS page_number, 'f' || (doc_id % 11) AS file_name, lang, source, doc_id % 5 AS k, doc_id % 7 AS m FROM documents),
+st AS (SELECT *, CASE WHEN k = 0 THEN 'done' WHEN k = 1 THEN 'tagged' WHEN m = 3 THEN 'waits' WHEN k = 4 THEN 'defaults' ELSE 'tagged' END AS state FROM x),
+tp AS (SELECT st.*, CASE state WHEN 'done' THEN source WHEN 'tagged' THEN coalesce(canonical, lang) WHEN 'defaults' THEN lang END AS topic FROM st LEFT JOIN canon ON lower(source) = lower(raw)),
+v AS (SELECT file_name, page_number, topic, count(*) AS n, min(doc_id) AS f FROM tp WHERE coalesce(topic, '') NOT IN ('', 'Unknown') GROUP BY ALL), mj AS (SELECT file_name, page_number, first(topic ORDER BY n DESC, f, topic) AS major FROM v GROUP BY ALL)
+SELECT doc_id, CASE WHEN topic IS NOT NULL THEN coalesce(major, topic) END AS topic, CASE state WHEN 'done' THEN 'kept' WHEN 'tagged' THEN 'try' || k WHEN 'defaults' THEN 'Unknown' END AS subtopic,
+CASE state WHEN 'done' THEN 'easy' WHEN 'tagged' THEN 'hard' WHEN 'defaults' THEN 'medium' END AS difficulty, CASE WHEN state = 'waits' THEN 2 END AS next_attempt FROM tp LEFT JOIN mj USING (file_name, page_number)""")
+def c2_ledger(s: SparkSession, d: str) -> DataFrame:
+    chunks, replies = _ledger(s, d)
+    topics = literal_table(s, CANON, "raw string, canonical string")
+    out = kept(enrich.enrich_chunks(chunks, replies, topics), "enriched")
+    ask = enrich.open_requests(out, replies).withColumnRenamed("attempt", "next_attempt")
+    return out.join(ask, "doc_id", "left").select("doc_id", "topic", "subtopic", "difficulty", "next_attempt")
+
+
+def _ledger(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks of which each fifth has its tags, and replies of four attempts: useless ones before the attempt
+    ``doc_id % 5``, and one attempt only where ``doc_id % 7`` is 3."""
+    k, done = F.col("doc_id") % 5, F.col("doc_id") % 5 == 0
+    docs = table(s, d, "documents")
+    chunks = docs.select(
+        "doc_id", F.concat(F.lit("f"), (F.col("doc_id") % 11).cast("string")).alias("file_name"), (F.col("doc_id") % 3).alias("page_number"), F.col("lang").alias("section"),
+        F.when(done, F.col("source")).alias("topic"), F.when(done, "kept").alias("subtopic"), F.when(done, "other").alias("concept_type"), F.when(done, "easy").alias("difficulty"), F.when(done, "").alias("keywords"),
+    )
+    a = F.col("attempt").cast("string")
+    good = F.concat(F.lit('Sure: {"topic": "'), "source", F.lit('", "subtopic": "try'), a, F.lit('", "difficulty": "Hard"}'))
+    raw = F.when(F.col("attempt") >= k, good).when(F.col("attempt") == 1, "no object").otherwise(F.lit('{"topic": }'))
+    attempts_made = F.sequence(F.lit(1), F.when(F.col("doc_id") % 7 == 3, 1).otherwise(4))
+    replies = docs.select("doc_id", "source", F.explode(attempts_made).alias("attempt")).withColumn("raw", raw).select("doc_id", "attempt", "raw")
+    return chunks, replies
+
+
 @query("c5_question_requests")
 def c5(s: SparkSession, d: str) -> DataFrame:
     found = kept(found_for_queries(s, d), "retrieved")

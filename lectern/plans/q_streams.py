@@ -92,6 +92,27 @@ def s1(s: SparkSession, d: str) -> DataFrame:
     return files.scan_files(s, path, ("txt",)).groupBy("extension").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+@query("s4_section_contract", """WITH x AS (SELECT fmt, text, CASE WHEN doc_id % 10 = 0 THEN 'malformed' WHEN doc_id % 10 = 1 THEN 'no file path' WHEN doc_id % 10 = 2 THEN 'no text' WHEN doc_id % 10 = 3 THEN 'bad page number' ELSE 'section' END AS kind FROM documents, (VALUES ('json'), ('parquet')) f(fmt))
+SELECT fmt, kind, count(*) AS records, CASE WHEN kind = 'section' THEN sum(length(text)) END::BIGINT AS chars FROM x GROUP BY fmt, kind""")
+def s4_contract(s: SparkSession, d: str) -> DataFrame:
+    k, found = F.col("doc_id") % 10, []
+    rows = table(s, d, "documents").select(
+        F.when(k == 1, " ").otherwise(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))).alias("file_path"), F.col("source").alias("file_name"),
+        F.when(k == 0, "two").when(k == 3, "-1").otherwise(k.cast("string")).alias("page_number"), F.col("lang").alias("section"), F.when(k != 2, F.col("text")).alias("text"), "doc_id",
+    )
+    for fmt in ("json", "parquet"):
+        path, bad = workspace(s, fmt), workspace(s, "quarantine")
+        if fmt == "json":  # lines of malformed records are cut as well
+            line = F.to_json(F.struct("*"))
+            rows.select(F.when(k == 0, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+        else:
+            rows.write.parquet(path)
+        good = files.section_table(s, path, fmt, bad).agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("chars")).withColumn("kind", F.lit("section"))
+        rest = s.read.parquet(bad).groupBy(F.col("reason").alias("kind")).agg(F.count("*").alias("records"))
+        found.append(good.unionByName(rest, allowMissingColumns=True).withColumn("fmt", F.lit(fmt)))
+    return found[0].unionByName(found[1]).select("fmt", "kind", "records", "chars")
+
+
 @query("s7_csv_scan", "SELECT page_id, url FROM pages")
 def s7(s: SparkSession, d: str) -> DataFrame:
     path = workspace(s, "csv")
