@@ -212,6 +212,26 @@ def prose(text: Column) -> Column:
     return F.trim(F.when(F.contains(text, F.lit("```")), fenced).otherwise(lines))
 
 
+#: What makes a line of a question code, if it has no fenced block.
+LINE_CODE_SIGNALS = (
+    "{", "}", ";", "::", "->", "def ", "class ", "public ", "private ", "return ", "#include",
+    "void ", "int ", "bool ", "string ", "()", "==", "!=", "+=", "-=", "<=", ">=",
+)
+
+
+def code_and_prose(text: Column) -> tuple[Column, Column]:
+    """Code and prose of a text, both trimmed: its fenced blocks, joined by blank lines, and the rest; without a fenced
+    block, lines with a sign of code or an indent of two blanks, and the other lines. Null gives nulls."""
+    strip = lambda c: F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+    fence = r"(?s)```(?:[\p{L}\p{N}_]+)?\n?(.*?)\n?```"
+    blocks = F.regexp_extract_all(text, F.lit(fence), F.lit(1))
+    is_code = lambda x: any_of(x, LINE_CODE_SIGNALS) | (x.startswith("  ") & (strip(x) != ""))
+    lines = F.split(text, "\n")
+    code = F.when(F.size(blocks) > 0, F.array_join(blocks, "\n\n")).otherwise(F.array_join(F.filter(lines, is_code), "\n"))
+    rest = F.when(F.size(blocks) > 0, F.regexp_replace(text, fence, "")).otherwise(F.array_join(F.filter(lines, lambda x: ~is_code(x)), "\n"))
+    return strip(code), strip(rest)
+
+
 def json_slice(text: Column, opening: str = "{") -> Column:
     """From the first opening brace (or bracket) to the last closing one; fences are dropped first; null if none."""
     bare = F.regexp_replace(text, "```(json)?", "")

@@ -275,6 +275,19 @@ def f9(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.length(t.code_blocks(_page_text())).alias("code_chars"), F.length(t.prose(_page_text())).alias("prose_chars"))
 
 
+_SIGNS = _any("l", t.LINE_CODE_SIGNALS)
+
+
+@query("f9_question_code", f"""WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || E'\\n```c\\na = 1;\\n``` and ```\\nb\\n``` end' WHEN 1 THEN text || E'\\n  indented\\nint a = 1;\\n ' ELSE text END AS text FROM documents),
+y AS (SELECT doc_id, text, doc_id % 3 = 0 AS fenced, string_split(text, chr(10)) AS l FROM x), cut AS (SELECT *, list_filter(l, lambda l: {_SIGNS} OR (starts_with(l, '  ') AND trim(l) <> '')) AS c, list_filter(l, lambda l: NOT ({_SIGNS} OR (starts_with(l, '  ') AND trim(l) <> ''))) AS p FROM y)
+SELECT doc_id, md5(trim(CASE WHEN fenced THEN E'a = 1;\\n\\nb' ELSE array_to_string(c, chr(10)) END, E' \\t\\n\\r')) AS code_md5, md5(trim(CASE WHEN fenced THEN regexp_replace(text, '(?s)```.*?```', '', 'g') ELSE array_to_string(p, chr(10)) END, E' \\t\\n\\r')) AS prose_md5 FROM cut""")
+def f9_question(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    fenced, lined = "\n```c\na = 1;\n``` and ```\nb\n``` end", "\n  indented\nint a = 1;\n "
+    code, rest = t.code_and_prose(F.concat("text", F.when(k == 0, fenced).when(k == 1, lined).otherwise("")))
+    return docs(s, d).select("doc_id", F.md5(code).alias("code_md5"), F.md5(rest).alias("prose_md5"))
+
+
 @query("f10_pack_sentences", f"SELECT doc_id, unnest(range(len(x))) AS chunk_index, unnest(x) AS chunk FROM (SELECT doc_id, {_packed('text')} AS x FROM documents)")
 def f10(s: SparkSession, d: str) -> DataFrame:
     x = docs(s, d).select("doc_id", t.pack_sentences(F.col("text")).alias("x"))

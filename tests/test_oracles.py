@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from lectern.plans import q_corpus, q_grading, q_mastery, q_retrieval, q_streams  # noqa: F401
+from lectern.plans import q_corpus, q_grading, q_mastery, q_reports, q_retrieval, q_streams  # noqa: F401
 from lectern.registry import ORACLES, QUERIES
 
 from .oracle import connect, rows
