@@ -18,16 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import batches_of, keep
 from .shingles import SIMILARITY, shingle_hashes
 
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 #: Rows up to which a counted table is broadcast, and elements in a numpy step.
 BROADCAST_ROWS, STEP = 500_000, 250_000
+#: Bytes of a batch of shingles that goes to be signed.
+SIGNED_AT_ONCE = "4m"
 #: Nodes of the two sides of a block.
 QUERIES, ROWS_AT_ONCE = 128, 512
 #: Shared shingles of two blocks that are compared at once.
@@ -53,14 +56,23 @@ def signatures(values: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs: i
 
     Each element's arrivals are a Poisson process of rate equal to its weight, drawn from its hash alone; an arrival
     falls on one of the m components, which keeps the element that came first. Element after element leaves once its
-    next arrival is later than every component of its document; the rest arrive again.
+    next arrival is later than every component of its document; the rest arrive again. Elements come in steps of
+    STEP, so that a very long text needs no more memory than many short ones.
     """
     first = np.full(docs * m, np.inf)
     kept = np.zeros(docs * m, np.uint64)
+    for lo in range(0, len(values), STEP):
+        step = slice(lo, lo + STEP)
+        _arrive(values[step], weights[step], doc[step], first, kept, m)
+    return kept.reshape(docs, m)
+
+
+def _arrive(values: np.ndarray, weights: np.ndarray, doc: np.ndarray, first: np.ndarray, kept: np.ndarray, m: int) -> None:
+    """Let elements arrive; ``first`` and ``kept`` hold each component's earliest time and its element."""
     values = values.astype(np.int64).view(np.uint64)
     time = np.zeros(len(values))
     state = _mix(values)
-    latest = np.full(docs, np.inf)
+    latest = first.reshape(-1, m).max(1)
     with np.errstate(over="ignore"):
         while len(values):
             state = _mix(state)
@@ -72,8 +84,7 @@ def signatures(values: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs: i
             np.minimum.at(first, at, time)
             won = time == first[at]
             kept[at[won]] = values[won]
-            latest = first.reshape(docs, m).max(1)
-    return kept.reshape(docs, m)
+            latest = first.reshape(-1, m).max(1)
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -84,27 +95,32 @@ def bands(signature: np.ndarray) -> np.ndarray:
         return out.view(np.int64)
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _weighted_lists(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists laid end to end: their different hashes, ascending in each list, with weights and the list's number."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, doc))
+    values, doc = values[order], doc[order]
+    starts = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])]))
+    return values[starts], 1.0 + np.log(np.diff(np.append(starts, len(values)))), doc[starts]
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands of rows (doc_id, node, s); rows without shingles have none. Shingles stay in Arrow's flat buffers, and rows
+    are signed in runs of at most STEP shingles."""
     for batch in batches:
-        out: list = [[] for _ in range(len(batch))]
-        held, rows, count = [], [], 0
-
-        def close() -> None:
-            sig = signatures(np.concatenate([v for v, _ in held]), np.concatenate([w for _, w in held]), np.repeat(np.arange(len(held)), [len(v) for v, _ in held]), len(held))
-            for i, b in zip(rows, bands(sig)):
-                out[i] = b
-
-        for i, hashes in enumerate(batch["s"]):
-            if len(hashes):
-                held.append(weighted(hashes))
-                rows.append(i)
-                count += len(hashes)
-            if held and (count >= STEP or i == len(batch) - 1):
-                close()
-                held, rows, count = [], [], 0
-        if held:
-            close()
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "node": batch["node"], "bands": out})
+        lists = batch.column("s")
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sizes = np.diff(at)
+        found, lo = [], 0
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + STEP, "right")) - 1)
+            rows = sizes[lo:hi][sizes[lo:hi] > 0]
+            if len(rows):
+                found.append(bands(signatures(*_weighted_lists(values[at[lo] : at[hi]], rows), len(rows))).ravel())
+            lo = hi
+        ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+        out = pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), out], ["doc_id", "node", "bands"])
 
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -269,7 +285,8 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node), and nodes (node, rep, copies, label, links): ``label`` is the least node of the class."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     hashed = texts.select("doc_id", _node().alias("node"), shingle_hashes(F.col("text"), short=True).alias("s"))
-    signed = keep(hashed.mapInPandas(_sign, "doc_id long, node binary, bands array<bigint>"), "signed")
+    with batches_of(docs.sparkSession, SIGNED_AT_ONCE):
+        signed = keep(hashed.mapInArrow(_sign, "doc_id long, node binary, bands array<bigint>"), "signed")
     nodes = keep(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
     entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
     ends = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lectern.llm import decontaminate, knn, licenses, lm, mixing, near_dup, simple8b, site_style, token_files, toxicity, url_filter
 from lectern.llm.queries import oracle_sql, queries, tokenizer_path
@@ -607,3 +608,19 @@ def test_stages_tell_rows_of_one_id_and_of_none_apart(spark):
     odd = [(None, "moron scum idiot " + words(30, 300), "en", "s", 1), (None, words(30, 301), "en", "s", 1), (500, "moron scum idiot " + words(30, 302), "en", "s", 1), (500, words(30, 303), "en", "s", 1)]
     left = toxicity.without_toxic(spark.createDataFrame(foul + odd, DOC), labels).where("doc_id is null or doc_id = 500").collect()
     assert sorted(r["text"] for r in left) == sorted([words(30, 301), words(30, 303)])
+
+
+def test_signatures_do_not_depend_on_steps_or_batches(monkeypatch):
+    """Rows signed in any runs, texts longer than a step among them, have the bands of each text signed alone."""
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(-50, 50, n).tolist() for n in (0, 1, 7, 300, 0, 40, 5)] + [rng.integers(-(2**62), 2**62, 900).tolist()]
+    alone = []
+    for x in lists:
+        v, w = near_dup.weighted(np.array(x, np.int64))
+        alone.append(near_dup.bands(near_dup.signatures(v, w, np.zeros(len(v), np.int64), 1))[0].tolist() if len(v) else [])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array([b"n"] * len(lists)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "s"])
+    for step in (1, 64, 350, 10**6):
+        monkeypatch.setattr(near_dup, "STEP", step)
+        got = pa.Table.from_batches(near_dup._sign(iter([batch, batch.slice(3, 4), batch.slice(0, 1)])))
+        assert got["bands"].to_pylist() == alone + alone[3:7] + alone[:1]
+        assert got["doc_id"].to_pylist() == [*range(len(lists)), 3, 4, 5, 6, 0]
