@@ -1,8 +1,9 @@
 """Corpus pipeline: documents without toxic ones, near copies and benchmark leaks, mixed and written as token ids.
 
 Every stage takes all rows of the one before it. Null texts count as empty; an empty table gives an empty table with the
-same columns; rows are told apart by id and text, so rows of one id, or of none, are decided one by one; columns other
-than doc_id, text, source and n_chars pass as they are, whatever their names.
+same columns; rows are told apart by id and text, so rows of one id, or of none, are decided one by one, but for
+decontamination, where all rows of an id go if one of them holds an item; columns other than doc_id, text, source and
+n_chars pass as they are, whatever their names.
 """
 
 from __future__ import annotations
