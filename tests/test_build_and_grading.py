@@ -89,3 +89,16 @@ def test_sentence_vectors_of_a_model(spark):
     encode = lambda texts: [[1.0, 0.0] if "sky" in x else [0.0, 1.0] for x in texts]
     answers = spark.createDataFrame([(1, "The sky is blue. Bread is good.", "sky above")], "id int, reference string, answer string")
     assert grading.completeness(answers, encode).first()["completeness"] == 0.5
+
+
+def test_paragraphs_keep_the_digits_of_their_place(spark):
+    docs = spark.createDataFrame([(1, "0 first 0\n 1 second 11 \n\n2 third 2")], "doc_id long, text string")
+    assert [r["text"] for r in corpus.paragraph_sections(docs, "\n").collect()] == ["0 first 0\n\n1 second 11\n\n2 third 2"]
+
+
+def test_siblings_are_all_documents_of_a_source_and_place(spark, data):
+    from lectern.plans.q_corpus import j3
+
+    docs = [(r["doc_id"], r["source"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source").collect()]
+    want = sorted((a, b) for a, x in docs for b, y in docs if a != b and x == y and a % 50 == b % 50)
+    assert want and sorted(map(tuple, j3(spark, data).collect())) == want
