@@ -53,7 +53,7 @@ def _mastered(s: SparkSession, d: str) -> DataFrame:
 @query("session_report", f"""{ALP}, st AS (SELECT student, topic, count(*) AS attempts, avg(score) AS mean FROM attempts GROUP BY ALL)
 SELECT student, count(*) AS topics, sum(attempts)::BIGINT AS attempts, round(avg(mean), 6) AS mean_score, count(*) FILTER (mean < 0.5) AS weak_topics FROM st GROUP BY ALL""")
 def session_report(s: SparkSession, d: str) -> DataFrame:
-    st = attempts(s, d).groupBy("student", "topic").agg(F.count("*").alias("attempts"), F.avg("score").alias("mean"))
+    st = attempts(s, d).groupBy("student", "topic").agg(F.count("*").alias("attempts"), m.exact_mean(F.col("score")).alias("mean"))
     return st.groupBy("student").agg(F.count("*").alias("topics"), F.sum("attempts").alias("attempts"), rounded(F.avg("mean"), 6).alias("mean_score"), F.count_if(F.col("mean") < 0.5).alias("weak_topics"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -158,3 +160,18 @@ def test_rewards_and_levels_stay_in_bounds(spark, data):
 
     r = QUERIES["f23_recalibrate"](spark, data).agg(F.min("stretched"), F.max("stretched")).first()
     assert r[0] >= 0 and r[1] <= 1
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    scores = [0.7, 0.1, 0.3, 1.0, 0.2, 0.6]
+    plain = {reduce(operator.add, s) for s in (scores, scores[::-1])}
+    assert len(plain) == 2  # summed in the order of the rows
+    rows = [(k, "t", i, float(v), 0, 0) for k, s in enumerate((scores, scores[::-1])) for i, v in enumerate(s)]
+    state = mastery.topic_state(spark.createDataFrame(rows, "student long, topic string, step int, score double, d int, q int"))
+    assert {r["mean"] for r in state.collect()} == {math.fsum(scores) / len(scores)}
+
+
+def test_mean_of_values_that_are_not_summed_as_whole_numbers(spark):
+    of = lambda *v: spark.createDataFrame([(x,) for x in v], "v double").agg(mastery.exact_mean(F.col("v")).alias("m")).first()["m"]
+    assert of(None, 0.25, -0.75) == -0.25 and of(None) is None and of(2.0**30, 0.0) == 2.0**29
+    assert math.isnan(of(float("nan"), 1.0)) and of(float("inf"), 1.0) == math.inf
