@@ -10,6 +10,7 @@ from ..functions import text as t
 from ..operators import context, enrich, reports
 from ..operators import grading as g
 from ..operators import mastery as m
+from ..operators import products as p
 from ..operators import recommend as rec
 from ..operators import retrieval as r
 from ..operators.corpus import keep_first
@@ -522,7 +523,7 @@ def c8(s: SparkSession, d: str) -> DataFrame:
     weak = m.weak_topics(attempts(s, d), topic_levels(s), prereqs(s)).select("student", "topic")
     labels = literal_table(s, (("signup", 0), ("view", 1), ("click", 2), ("error", 3), ("purchase", 4)), "topic string, label int")
     v = vectors(s, d)
-    sims = r.similarities(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")))
+    sims = p.highest_similarities(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")))
     return rec.courses_for(weak.join(F.broadcast(labels), "topic"), sims, 3)
 
 

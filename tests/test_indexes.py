@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from lectern.operators import retrieval
+from lectern.operators import products, retrieval
 from lectern.operators.keyword_index import build_keyword_index
 from lectern.operators.lsh import approximate_pairs
 from lectern.operators.vector_index import build_index
@@ -90,3 +90,29 @@ def test_chunks_of_a_topic_are_scored_once(spark):
     allowed = spark.createDataFrame([("q", "t"), ("q", "t/x"), ("q", "w"), ("r", "nothing")], "query_id string, allowed string")
     got = sorted((r["query_id"], r["doc_id"], r["score"]) for r in retrieval.within_topics(chunks, asked, allowed).collect())
     assert got == [("q#0", 1, 1.0), ("q#0", 2, 0.0), ("q#0", 4, 1.0)]
+
+
+def test_products_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None)], "query_id long, query_vec array<float>")
+    plain = v.join(asked).select("query_id", "vec_id", retrieval.dot(F.col("embedding"), F.col("query_vec")).alias("score"))
+    key = lambda df: sorted(str(tuple(r)) for r in df.select("query_id", "vec_id", "score").collect())
+    assert key(products.similarities(v, asked)) == key(plain)
+    order = [F.desc(F.round("score", 9)), F.asc("vec_id")]
+    for k in (1, 3, 20):
+        assert key(retrieval.top_per_query(products.best_similarities(v, asked, k), k, order)) == key(retrieval.top_per_query(plain, k, order))
+    most = lambda df: sorted(map(str, df.groupBy("vec_id").agg(F.max("score")).collect()))
+    assert most(products.highest_similarities(v, asked)) == most(plain)
+    assert products.similarities(v, asked.limit(0)).count() == 0 == products.best_similarities(v.limit(0), asked, 3).count()
+
+
+def test_products_are_cut_in_tasks_and_not_by_expressions(vectors, queries):
+    plan = products.best_similarities(vectors, queries, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "zip_with" not in plan and "Exchange" not in plan
+    assert products.best_similarities(vectors.repartition(2), queries, 5).count() <= 2 * 5 * queries.count()
+
+
+def test_rounding_of_halves():
+    got = products.half_up(np.array([0.1234565, 0.12345649999999999, 0.123456499, -0.1234565, 0.0, 2.0]), 6)
+    assert got.tolist() == [0.123457, 0.123457, 0.123456, -0.123457, 0.0, 2.0]
