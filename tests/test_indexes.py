@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from lectern.operators import products, retrieval
@@ -116,3 +118,26 @@ def test_products_are_cut_in_tasks_and_not_by_expressions(vectors, queries):
 def test_rounding_of_halves():
     got = products.half_up(np.array([0.1234565, 0.12345649999999999, 0.123456499, -0.1234565, 0.0, 2.0]), 6)
     assert got.tolist() == [0.123457, 0.123457, 0.123456, -0.123457, 0.0, 2.0]
+
+
+def test_tasks_of_the_keyword_index_follow_the_text(spark, data, monkeypatch):
+    from lectern.operators import keyword_index
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(keyword_index, "TASK_CHARS", 50_000)
+    index = build_keyword_index(docs)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0]
+    assert len(spark.read.parquet(f"{index.path}/delivery-0/lengths").inputFiles()) > 0.8 * min(chars // 50_000, docs.count())
+
+
+def test_vector_index_sends_numbers_and_not_lists(vectors, queries):
+    index, seen = build_index(vectors, cells=8), []
+    send = index.spark.sparkContext.broadcast
+    class Spy:  # noqa: E301
+        def broadcast(self, value):
+            seen.append(value)
+            return send(value)
+    class Session:  # noqa: E301
+        sparkContext, read = Spy(), index.spark.read
+    replace(index, spark=Session())._searched(queries, 5, lambda ids, q: [np.arange(8)] * len(ids)).count()
+    assert [type(x) for x in seen[0][2]] == [np.ndarray] * 2 and len(seen[0][2][0]) == 8 * queries.count()
