@@ -94,3 +94,35 @@ def test_a_batch_that_failed_before_its_commit_leaves_the_table_as_it_was(spark,
     assert rows_of(upserts.read_version(spark, target, docs.schema)) == rows_of(docs)
     upserts.apply_batch(docs.withColumn("v", F.lit("b")), 1, "id", target, 2)
     assert {r["v"] for r in upserts.read_version(spark, target, docs.schema).collect()} == {"b"}
+
+
+def test_state_is_kept_by_bucket_and_right_for_every_key(spark):
+    """Calls to the state store grow with the buckets, not with the students; nulls stay values of their own."""
+    path, live_out, full_out = (workspace(spark, n) for n in ("events", "live", "full"))
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i * 37 % 500), None if i % 41 == 0 else i % 40, "t", None if i % 29 == 0 else i % 9 + 0.5, None if i % 7 == 0 else f'{{"k":{i % 8}}}') for i in range(900)]
+    with stateful(spark):
+        for part in (rows[:500], rows[500:]):
+            deliver(spark, path, part)
+            live.append_files(live.live_state(live.attempts_stream(spark, path), buckets=3), live_out, f"{live_out}-c").awaitTermination()
+            live.append_files(live.answer_batches(live.attempts_stream(spark, path).where("score is not null"), buckets=3), full_out, f"{full_out}-c").awaitTermination()
+        for out in (live_out, full_out):
+            assert spark.read.format("statestore").option("stateVarName", "held").load(f"{out}-c").count() <= 3
+        left = {(r["student"], r["batch"]): r["answers"] for r in live.left_over(spark, f"{full_out}-c").collect()}
+    got = {r["student"]: r for r in spark.read.parquet(live_out).orderBy("attempts").collect()}  # the last row of each student
+    full = {(r["student"], r["batch"]): r["answers"] for r in spark.read.parquet(full_out).collect()}
+    by: dict = {}
+    for i, at, user, _, value, props in rows:
+        scale = 60.0 if user is None else (10.0, 30.0, 60.0)[user % 3]
+        k = None if props is None else int(props[5:-1])
+        by.setdefault(user, []).append((at, i, 1.0 if value is None else min(value / scale, 1.0), k))
+    assert set(got) == set(by)
+    for user, answers in by.items():
+        r, scores = got[user], [x[2] for x in answers if x[2] is not None]
+        ks = [x[3] for x in answers if x[3] is not None]
+        assert r["attempts"] == len(answers) and r["mean"] == pytest.approx(sum(scores) / len(scores))
+        assert (r["top_d"], r["top_q"]) == ((max(k % 3 for k in ks), max(k // 3 % 3 for k in ks)) if ks else (None, None))
+        last = [(j, x[2]) for j, x in enumerate(sorted(answers, key=lambda x: x[:2])[-10:]) if x[2] is not None]
+        mx, my = sum(j for j, _ in last) / len(last), sum(y for _, y in last) / len(last)
+        want = sum((j - mx) * (y - my) for j, y in last) / sum((j - mx) ** 2 for j, _ in last)
+        assert r["trend"] == pytest.approx(max(-1.0, min(1.0, want)))
+        assert sum(n for (u, _), n in {**full, **left}.items() if u == user) == len(scores) - (1 if len(scores) % 20 == 1 else 0)
