@@ -5,12 +5,16 @@ Vectors are optional: without a model the similarity is the cosine of the texts'
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..functions.hooks import embedder
@@ -27,14 +31,29 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+@F.pandas_udf(T.DoubleType())
+def _covered(words: pd.Series, answer: pd.Series) -> pd.Series:
+    def one(ref: list[str], have: str) -> float | None:
+        weights = {w: math.log(len(ref) / n + 1) for w, n in Counter(ref).items()}
+        found = set(have.split())
+        return min(sum(x for w, x in weights.items() if w in found) / sum(weights.values()), 1.0) if weights else None
+
+    return pd.Series([one(list(r), a) for r, a in zip(words, answer)], dtype="float64")
+
+
+def keyword_share(answer: Column, reference: Column) -> Column:
+    """Share of the reference's content words that the answer has, rare ones weighing more; null if it has no such words.
+    Words are counted within the row, so none is shuffled."""
+    return F.nanvl(_covered(_or_empty(t.content_words(reference, 2)), F.coalesce(F.array_join(t.content_words(answer), " "), F.lit(""))), F.lit(None).cast("double"))
+
+
+def _or_empty(words: Column) -> Column:
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
 def coverage(pairs: DataFrame) -> DataFrame:
-    """pair, keyword: share of the reference's content words that the answer of ``pairs(pair, answer, reference)`` has,
-    rare ones weighing more; pairs without such words have no row. Words are counted, not compared with one another."""
-    ref = pairs.select("pair", t.content_words(F.col("reference"), 2).alias("w")).select("pair", F.size("w").alias("total"), F.explode("w").alias("term"))
-    ref = ref.groupBy("pair", "term").agg((F.log(F.max("total") / F.count("*") + 1)).alias("weight"))
-    have = pairs.select("pair", F.explode(F.array_distinct(t.content_words(F.col("answer")))).alias("term"), F.lit(True).alias("has"))
-    met = ref.join(have, ["pair", "term"], "left")
-    return met.groupBy("pair").agg(F.least(F.sum(F.when(F.col("has"), F.col("weight")).otherwise(0.0)) / F.sum("weight"), F.lit(1.0)).alias("keyword"))
+    """pair, keyword: ``keyword_share`` of ``pairs(pair, answer, reference)``; pairs without content words have no row."""
+    return pairs.select("pair", keyword_share(F.col("answer"), F.col("reference")).alias("keyword")).where("keyword is not null")
 
 
 def contradicts(answer_tokens: Column, reference_set: Column) -> Column:
@@ -48,15 +67,27 @@ def contradicts(answer_tokens: Column, reference_set: Column) -> Column:
     return ~F.arrays_overlap(reference_set, neg) & bind(answer_tokens, test)
 
 
-def _counted_cosines(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pair, pos, similarity: cosine of the word counts of each part (pair, pos, text) and its pair's answer. Linear in
-    the words: both sides are exploded, counted, and joined on their terms."""
-    words = lambda c: F.explode(t.tokens(t.preprocess(F.col(c)))).alias("term")
-    answer = pairs.select("pair", words("answer")).groupBy("pair", "term").agg(F.count("*").alias("a"))
-    part = parts.select("pair", "pos", words("text")).groupBy("pair", "pos", "term").agg(F.count("*").alias("b"))
-    cross = part.join(answer, ["pair", "term"], "left").groupBy("pair", "pos").agg(F.sum(F.col("b") * F.coalesce("a", F.lit(0))).alias("x"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    size = answer.groupBy("pair").agg(F.sum(F.col("a") * F.col("a")).alias("aa"))
-    return cross.join(size, "pair").select("pair", "pos", (F.col("x") / F.sqrt((F.col("bb") * F.col("aa")).cast("double"))).alias("similarity"))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _counted_cosines(answer: pd.Series, parts: pd.Series) -> pd.Series:
+    def each(answer: str, parts: list[str]) -> list[float]:
+        a = Counter(answer.split())
+        aa, out = sum(n * n for n in a.values()), []
+        for part in parts:
+            b = Counter(part.split())
+            size = aa * sum(n * n for n in b.values())
+            out.append(sum(n * a[w] for w, n in b.items()) / math.sqrt(size) if size else 0.0)
+        return out
+
+    return pd.Series([each(a, p) for a, p in zip(answer, parts)])
+
+
+def word_likeness(answer: Column, reference: Column) -> Column:
+    """``similarity`` and ``completeness`` of one pair by word counts, linear in its words, which stay within the row."""
+    a, r = (t.preprocess(F.coalesce(c, F.lit(""))) for c in (answer, reference))
+    sentences = F.transform(reference_sentences(F.coalesce(reference, F.lit(""))), t.preprocess)
+    found = _counted_cosines(a, F.concat(F.array(r), sentences))
+    credits = lambda s: F.aggregate(F.slice(s, 2, F.size(s) - 1), F.lit(0.0), lambda x, y: x + credit(y)) / (F.size(s) - 1)
+    return bind(found, lambda s: F.struct(F.get(s, F.lit(0)).alias("similarity"), credits(s).alias("completeness")))
 
 
 def _vector_cosines(pairs: DataFrame, parts: DataFrame, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -72,10 +103,12 @@ def similarities(pairs: DataFrame, encode: Callable[[list[str]], list[list[float
     """pair, similarity, completeness of ``pairs(pair, answer, reference)``: the answer's cosine to the reference, and the
     mean credit of the reference's sentences by theirs. Without a model, vectors are word counts. Null texts are empty;
     a text without words is like none (0)."""
+    if encode is None:
+        return pairs.select("pair", word_likeness(F.col("answer"), F.col("reference")).alias("w")).select("pair", "w.similarity", "w.completeness")
     whole = pairs.select("pair", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("reference", F.lit("")).alias("reference"))
     sentences = whole.select("pair", F.posexplode(reference_sentences(F.col("reference"))).alias("pos", "text"))
     parts = sentences.unionByName(whole.select("pair", F.lit(-1).alias("pos"), F.col("reference").alias("text")))
-    found = _counted_cosines(whole, parts) if encode is None else _vector_cosines(whole, parts, encode)
+    found = _vector_cosines(whole, parts, encode)
     every = parts.select("pair", "pos").join(found, ["pair", "pos"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     of_part = F.col("pos") >= 0
     return every.groupBy("pair").agg(F.max(F.when(~of_part, F.col("similarity"))).alias("similarity"), F.avg(F.when(of_part, credit(F.col("similarity")))).alias("completeness"))
@@ -157,6 +190,8 @@ def _pair() -> Column:
 
 def completeness(answers: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """``answers(answer, reference, ..)`` with ``completeness``."""
+    if encode is None:
+        return answers.withColumn("completeness", word_likeness(F.col("answer"), F.col("reference"))["completeness"])
     keyed = answers.withColumn("__pair", _pair())
     pairs = keyed.select(F.col("__pair").alias("pair"), "answer", "reference").dropDuplicates(["pair"])
     found = similarities(pairs, encode).select(F.col("pair").alias("__pair"), "completeness")
@@ -167,12 +202,15 @@ def grade(answers: DataFrame, encode: Callable[[list[str]], list[list[float]]] |
     """``answers(question, reference, answer, question_type, ..)`` with scores, error class and feedback. An answer that
     repeats the question scores 0 everywhere. ``encode`` makes vectors of answers, references and their sentences; the
     default counts words. Work grows with the number of words, whatever a text's length."""
-    keyed = answers.withColumn("__pair", _pair())
-    pairs = keyed.select(F.col("__pair").alias("pair"), "answer", "reference").dropDuplicates(["pair"])
-    scored = similarities(pairs, encode).join(coverage(pairs), "pair", "left").select(
-        F.col("pair").alias("__pair"), F.col("similarity").alias("__sim"), F.col("completeness").alias("__com"), F.coalesce("keyword", F.lit(0.0)).alias("__key")
-    )
-    a = keyed.join(scored, "__pair").select(
+    key = F.coalesce(keyword_share(F.col("answer"), F.col("reference")), F.lit(0.0)).alias("__key")
+    if encode is None:
+        likeness = answers.select("*", word_likeness(F.col("answer"), F.col("reference")).alias("__like"), key)
+        scored = likeness.select(*answers.columns, "__key", F.col("__like.similarity").alias("__sim"), F.col("__like.completeness").alias("__com"))
+    else:
+        keyed = answers.withColumn("__pair", _pair())
+        found = similarities(keyed.select(F.col("__pair").alias("pair"), "answer", "reference").dropDuplicates(["pair"]), encode)
+        scored = keyed.join(found.select(F.col("pair").alias("__pair"), F.col("similarity").alias("__sim"), F.col("completeness").alias("__com")), "__pair").select("*", key)
+    a = scored.select(
         "*", t.tokens(t.preprocess(F.col("answer"))).alias("__at"), t.content_words(F.col("reference")).alias("__rw"), t.content_words(F.col("answer")).alias("__aw"),
         (copied_share(F.col("answer"), F.col("question")) > 0.8).alias("__copied"),
     )
