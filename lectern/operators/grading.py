@@ -5,16 +5,12 @@ Vectors are optional: without a model the similarity is the cosine of the texts'
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..functions.hooks import embedder
@@ -31,24 +27,42 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-@F.pandas_udf(T.DoubleType())
-def _covered(words: pd.Series, answer: pd.Series) -> pd.Series:
-    def one(ref: list[str], have: str) -> float | None:
-        weights = {w: math.log(len(ref) / n + 1) for w, n in Counter(ref).items()}
-        found = set(have.split())
-        return min(sum(x for w, x in weights.items() if w in found) / sum(weights.values()), 1.0) if weights else None
+def _tagged(words: Column, tag: Column) -> Column:
+    return F.transform(words, lambda w: F.struct(w.alias("term"), tag.alias("tag")))
 
-    return pd.Series([one(list(r), a) for r, a in zip(words, answer)], dtype="float64")
+
+def _spans(s: Column, key=lambda x: x) -> Column:
+    """Where each run of equal keys in a sorted array begins (lo) and ends (hi)."""
+    places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (key(F.get(s, i)) != key(F.get(s, i - 1))))
+    return bind(starts, lambda st: F.transform(st, lambda lo, j: F.struct(lo.alias("lo"), F.coalesce(F.get(st, j + 1), F.size(s)).alias("hi"))))
+
+
+def _sum(values: Column, zero: Column) -> Column:
+    return F.aggregate(values, zero, lambda x, y: x + y)
 
 
 def keyword_share(answer: Column, reference: Column) -> Column:
     """Share of the reference's content words that the answer has, rare ones weighing more; null if it has no such words.
-    Words are counted within the row, so none is shuffled."""
-    return F.nanvl(_covered(_or_empty(t.content_words(reference, 2)), F.coalesce(F.array_join(t.content_words(answer), " "), F.lit(""))), F.lit(None).cast("double"))
+    Words are sorted and counted within the row, so none is shuffled or compared with all others."""
+
+    def share(ref: Column) -> Column:
+        both = F.concat(_tagged(F.array_distinct(t.content_words(F.coalesce(answer, F.lit("")))), F.lit(-1)), _tagged(ref, F.lit(0)))
+
+        def weights(s: Column) -> Column:
+            def one(r: Column) -> Column:
+                has = F.get(s, r["lo"])["tag"] == -1
+                n = r["hi"] - r["lo"] - has.cast("int")
+                weight = F.when(n > 0, F.log(F.size(ref) / n + 1)).otherwise(0.0)
+                return F.struct(weight.alias("all"), F.when(has, weight).otherwise(0.0).alias("met"))
 
+            return F.transform(_spans(s, lambda x: x["term"]), one)
 
-def _or_empty(words: Column) -> Column:
-    return F.coalesce(words, F.array().cast("array<string>"))
+        found = bind(F.sort_array(both), weights)
+        part = lambda w: F.least(_sum(w["met"], F.lit(0.0)) / _sum(w["all"], F.lit(0.0)), F.lit(1.0))
+        return F.when(F.size(ref) > 0, bind(found, part))
+
+    return bind(t.content_words(F.coalesce(reference, F.lit("")), 2), share)
 
 
 def coverage(pairs: DataFrame) -> DataFrame:
@@ -67,27 +81,45 @@ def contradicts(answer_tokens: Column, reference_set: Column) -> Column:
     return ~F.arrays_overlap(reference_set, neg) & bind(answer_tokens, test)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _counted_cosines(answer: pd.Series, parts: pd.Series) -> pd.Series:
-    def each(answer: str, parts: list[str]) -> list[float]:
-        a = Counter(answer.split())
-        aa, out = sum(n * n for n in a.values()), []
-        for part in parts:
-            b = Counter(part.split())
-            size = aa * sum(n * n for n in b.values())
-            out.append(sum(n * a[w] for w, n in b.items()) / math.sqrt(size) if size else 0.0)
-        return out
+def _squares(words: Column) -> Column:
+    """Sum of the squares of the words' counts."""
+    squares = lambda s: F.transform(_spans(s), lambda r: (r["hi"] - r["lo"]).cast("long") * (r["hi"] - r["lo"]))
+    return _sum(bind(F.sort_array(words), squares), F.lit(0).cast("long"))
+
+
+def _products(answer: Column, parts: Column) -> Column:
+    """For each array of words in ``parts`` the sum over its words of how often the answer has them."""
+    every = F.concat(_tagged(answer, F.lit(-1)), F.flatten(F.transform(parts, lambda p, j: _tagged(p, j))))
+
+    def met(s: Column) -> Column:
+        def one(r: Column) -> Column:
+            own = F.sequence(r["lo"], r["hi"] - 1)
+            n = F.size(F.filter(own, lambda i: F.get(s, i)["tag"] == -1))
+            rest = F.filter(own, lambda i: (F.get(s, i)["tag"] >= 0) & (F.get(s, r["lo"])["tag"] == -1))
+            return bind(n, lambda n: F.transform(rest, lambda i: F.struct(F.get(s, i)["tag"].alias("part"), n.cast("long").alias("n"))))
+
+        return F.flatten(F.transform(_spans(s, lambda x: x["term"]), one))
 
-    return pd.Series([each(a, p) for a, p in zip(answer, parts)])
+    # a row of each part, so that the run of a part has its number
+    rows = F.concat(bind(F.sort_array(every), met), F.transform(parts, lambda _, j: F.struct(j.alias("part"), F.lit(0).cast("long").alias("n"))))
+    total = lambda s, r: _sum(F.transform(F.sequence(r["lo"], r["hi"] - 1), lambda i: F.get(s, i)["n"]), F.lit(0).cast("long"))
+    return bind(F.sort_array(rows), lambda s: F.transform(_spans(s, lambda x: x["part"]), lambda r: total(s, r)))
 
 
 def word_likeness(answer: Column, reference: Column) -> Column:
-    """``similarity`` and ``completeness`` of one pair by word counts, linear in its words, which stay within the row."""
-    a, r = (t.preprocess(F.coalesce(c, F.lit(""))) for c in (answer, reference))
-    sentences = F.transform(reference_sentences(F.coalesce(reference, F.lit(""))), t.preprocess)
-    found = _counted_cosines(a, F.concat(F.array(r), sentences))
-    credits = lambda s: F.aggregate(F.slice(s, 2, F.size(s) - 1), F.lit(0.0), lambda x, y: x + credit(y)) / (F.size(s) - 1)
-    return bind(found, lambda s: F.struct(F.get(s, F.lit(0)).alias("similarity"), credits(s).alias("completeness")))
+    """``similarity`` and ``completeness`` of one pair by word counts. Words are sorted within the row, none is shuffled."""
+    words = lambda c: t.tokens(t.preprocess(c))
+    answer, reference = (F.coalesce(c, F.lit("")) for c in (answer, reference))
+    texts = F.concat(F.array(words(reference)), F.transform(reference_sentences(reference), words))
+
+    def cosines(b: Column) -> Column:
+        a = b["answer"]
+        each = lambda x, p: bind(b["aa"] * _squares(p), lambda n: F.when(n > 0, x / F.sqrt(n.cast("double"))).otherwise(0.0))
+        return F.zip_with(_products(a, b["parts"]), b["parts"], each)
+
+    both = bind(F.struct(words(answer).alias("answer"), texts.alias("parts")), lambda b: F.struct(b["answer"].alias("answer"), b["parts"].alias("parts"), _squares(b["answer"]).alias("aa")))
+    credits = lambda s: _sum(F.transform(F.slice(s, 2, F.size(s) - 1), credit), F.lit(0.0)) / (F.size(s) - 1)
+    return bind(bind(both, cosines), lambda s: F.struct(F.get(s, F.lit(0)).alias("similarity"), credits(s).alias("completeness")))
 
 
 def _vector_cosines(pairs: DataFrame, parts: DataFrame, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
