@@ -119,6 +119,11 @@ def slopes(of: np.ndarray, score: np.ndarray, groups: int) -> np.ndarray:
     return np.clip(np.where(xx > 0, np.bincount(of, x * y, groups) / np.where(xx > 0, xx, 1.0), 0.0), -1.0, 1.0)
 
 
+def slope(scores: list[float]) -> float:
+    """``slopes`` of one group."""
+    return float(slopes(np.zeros(len(scores), np.int64), np.array(scores, float), 1)[0])
+
+
 class KnowledgeState(Bucketed):
     """Per student and topic: attempts, sum of scores, highest levels, and the last ten scores by event time."""
 
