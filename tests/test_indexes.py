@@ -62,6 +62,15 @@ def test_lsh_recall_at_the_registered_distance_and_queries(vectors, queries):
     assert len({tuple(r) for r in pairs} & {tuple(r) for r in true}) >= 0.9 * len(true)
 
 
+def test_lsh_pairs_do_not_go_through_a_join(spark, vectors):
+    twice = vectors.unionByName(vectors.where("vec_id < 5")).unionByName(vectors.limit(1).withColumn("embedding", F.lit(None).cast("array<float>")))
+    pairs = approximate_pairs(twice, vectors.where("vec_id % 100 = 0"), 1.2)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r[0], r[1], round(r[2], 9)) for r in pairs.collect())
+    assert got == sorted((r[0], r[1], round(r[2], 9)) for r in approximate_pairs(vectors, vectors.where("vec_id % 100 = 0"), 1.2).collect())
+    assert len(got) == len({g[:2] for g in got}) and all(r >= 1 - 1.2**2 / 2 for _, _, r in got)
+
+
 def test_keyword_index_grows_to_what_a_rebuild_gives(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     whole = build_keyword_index(docs)
