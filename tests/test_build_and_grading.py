@@ -120,3 +120,12 @@ def test_words_are_counted_within_the_row(spark):
 
 def credit_of(s):
     return 1.0 if s >= 0.6 else 0.6 if s >= 0.45 else 0.2 if s >= 0.3 else 0.0
+
+
+def test_tagger_finds_words_once(spark):
+    from lectern.functions import hooks
+
+    df = spark.createDataFrame([(1, "The trees, the TREES and heaps"), (2, "heaps about an ox"), (3, None), (4, "the and")], "doc_id long, text string")
+    tagged = hooks.tagger(df)
+    assert "regexp_replace" not in tagged._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["raw"] for r in tagged.collect()} == {1: '{"keywords":"heaps, trees"}', 2: '{"keywords":"heaps"}'}
