@@ -312,6 +312,84 @@ def test_scores_of_odd_rows(spark):
     assert lm.score_texts(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_mixers_learn_from_every_bit_of_every_group():
+    rng = np.random.default_rng(6)
+    words_ = np.unique(rng.integers(-(2**63), 2**63 - 1, 20_000))
+    h, s = np.repeat(words_, 2), np.tile([3, 20], len(words_))
+    c = rng.integers(0, 4, len(h))
+    c0 = np.repeat(c[::2] + c[1::2], 2)
+    x, gate, bit, times = lm._learning_bits(h, s, c, c0, 0)
+    # each pair of a word seen twice or more comes with the bits of its path, far more than 200,000
+    some, found = (c > 0) & (c0 > 1), []
+    lm.paths(h[c > 0], s[c > 0], c[c > 0], h[some], s[some], 0, lambda at, b, n: found.append(int(((n[0][0] - ~b > 0) & (n[0][1] - b > 0)).sum())))
+    assert len(bit) == len(times) == len(gate) == len(x) == sum(found) > 250_000
+    # all groups' bits are in the mixer: the parts' outcomes add up, and a gate that one group alone used keeps its weights
+    one, two = gate < 20, gate >= 20
+    parts = [lm.Mixer(lm.LEVELS**2, 3).part(x[w], gate[w], bit[w], times[w]) for w in (one, two)]
+    mixer, alone = lm.Mixer(lm.LEVELS**2, 3).gather(parts), lm.Mixer(lm.LEVELS**2, 3)
+    alone.learn(x[two], gate[two], bit[two], times[two], 1)
+    used = np.unique(gate[two])
+    assert np.allclose(mixer.weights[used], alone.weights[used]) and np.allclose(mixer.refine[used], alone.refine[used])
+    assert (mixer.weights[np.unique(gate[one])] != lm.Mixer(lm.LEVELS**2, 3).weights[0]).any(1).all()
+
+
+def test_spelling_learns_from_every_word():
+    each = ["a", "ab", "banana", "bandana", "é", ""] + [f"w{i}" for i in range(9000)]
+    spelling = lm.Spelling([])
+    slots, bit, times = lm._different_bits(each)
+    assert times.sum() == sum(8 * (len(w.encode()) + 1) for w in each) > len(times)
+    whole = np.zeros_like(spelling.table)
+    for s in slots:
+        np.add.at(whole, s + bit, times)
+    slots, bit, _ = lm.spelled_bits(each)
+    for s in slots:
+        np.add.at(spelling.table, s + bit, 1)
+    assert (whole == spelling.table).all() and spelling.bits(each)[3].sum() == times.sum()
+
+
+def test_kinds_are_learned_from_all_documents(spark):
+    # a word that is frequent in one of many documents only, and words that stand in the same texts
+    rows = [(("red blue " if i % 2 else "sun moon ") * 3,) for i in range(6000)] + [("seldom " * 5000,)]
+    kinds = lm._kinds(spark.createDataFrame(rows, "text string").repartition(5))
+    of = {w: kinds[lm.hash_of(w)] for w in ("red", "blue", "sun", "moon", "seldom")}
+    assert of["red"] == of["blue"] != of["sun"] == of["moon"]
+
+
+def test_chunks_list_each_pair_and_sentence_once(spark, docs):
+    from collections import Counter
+
+    some = docs.where("doc_id < 120").selectExpr("doc_id", "cast(doc_id % 3 as int) as fold", "coalesce(text, '') as text")
+    some = some.union(some).union(some).coalesce(2)
+    rows = some.mapInArrow(lm._chunks({}), lm._CHUNKS).collect()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    import re
+
+    want: Counter = Counter()
+    for r in some.collect():
+        for w in [*re.findall(r"[^\x20\x09-\x0D]+", r["text"].translate(low)), ""]:
+            want[w] += r["fold"] != 0
+    got: Counter = Counter()
+    listed = 0
+    for r in rows:
+        if r["words"]:
+            h, s, c = lm._pairs_of(r["words"], r["bucket"])
+            listed += len(h)
+            for k, n in zip(h.tolist(), c.tolist()):
+                got[k] += n
+    assert got == {(lm.hash_of(w) + 2**63) >> (64 - lm.KEY_BITS): n for w, n in want.items()}
+    assert listed <= len(want) * len({r["chunk"] for r in rows}) < sum(want.values())
+
+
+def test_sentences_have_probabilities_that_add_up():
+    # three sentences, of which training has two; before it stands one that training has four times
+    words_ = np.log10([0.5, 0.2, 0.3])
+    alone, both, before = np.array([6, 2, 0]), np.array([1, 3, 0]), np.full(3, 4)
+    tries, fails = np.full(lm.SAID + 1, 50), np.arange(lm.SAID + 1) * 4
+    for b in (before, 0 * before):
+        lg = lm.sentence_costs(words_, alone, both, b, np.full(3, 8), tries, fails)
+        assert math.isclose((10**lg).sum(), 1.0, rel_tol=1e-9)
+
+
 # --- 6: near duplicates ----------------------------------------------------------------------------------------
 
 
