@@ -29,7 +29,7 @@ BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 #: Rows up to which a counted table is broadcast, and elements in a numpy step.
 BROADCAST_ROWS, STEP = 500_000, 250_000
-#: Bytes of a batch of shingles that goes to be signed.
+#: Bytes of a batch of shingles that goes to be signed or compared.
 SIGNED_AT_ONCE = "4m"
 #: Nodes of the two sides of a block.
 QUERIES, ROWS_AT_ONCE = 128, 512
@@ -167,7 +167,8 @@ class _Verifier:
     def __call__(self, pairs: DataFrame) -> DataFrame:
         sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        return keep(both.mapInPandas(_compare, "a binary, b binary, similarity double").distinct(), "similar")
+        with batches_of(self.docs.sparkSession, SIGNED_AT_ONCE):
+            return keep(both.mapInPandas(_compare, "a binary, b binary, similarity double").distinct(), "similar")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -27,12 +27,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .scratch import keep, shared_dir
+from .scratch import batches_of, keep, shared_dir
 
 #: The id that ends a document, and the ids from which on a block is closed.
 END_ID, BLOCK_IDS = 1, 65_536
-#: Bytes of text encoded at once, and bytes of words that a worker remembers before it starts anew.
-AT_ONCE, REMEMBERED = 10_000_000, 96_000_000
+#: Bytes of text and new words encoded at once, and bytes of words that a worker remembers before it starts anew.
+AT_ONCE, WORDS_AT_ONCE, REMEMBERED = 4_000_000, 2048, 16_000_000
+#: Bytes of a batch of texts that goes to be encoded.
+ENCODED_AT_ONCE = "4m"
 #: Bytes of text in a part at most, and the least ones for which a part of its own is worth while.
 PART_BYTES, LEAST_BYTES = 128_000_000, 4_000_000
 FILE_MAGIC = b"S8F1"
@@ -117,7 +119,7 @@ class WordEncoder:
         codes = self.parts.codes(encoded.dictionary)
         new = encoded.dictionary.filter(pa.array(codes < 0))
         strings, known = new.to_pylist(), len(self.parts.strings)
-        found = [how(strings[lo : lo + 8192]) for lo in range(0, len(strings), 8192)]
+        found = [how(strings[lo : lo + WORDS_AT_ONCE]) for lo in range(0, len(strings), WORDS_AT_ONCE)]
         if found:
             self.parts.add(new, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
             codes[codes < 0] = np.arange(known, known + len(strings))
@@ -225,6 +227,7 @@ def _write(tokenizer: str, folder: str):
                     if held >= BLOCK_IDS:
                         close()
                     lo = hi
+                pa.default_memory_pool().release_unused()
             if docs:
                 close()
             for r in rows:
@@ -256,7 +259,8 @@ def write_blocks(docs: DataFrame, tokenizer: str, partitions: int | None = None)
     order = ("doc_id", F.xxhash64("text"))
     ordered = rows.repartitionByRange(partitions or parts_of(docs), *order).sortWithinPartitions(*order)
     folder = f"{shared_dir(docs.sparkSession)}/lectern/tokens-{uuid.uuid4().hex}"
-    return keep(ordered.mapInArrow(_write(tokenizer, folder), _MANIFEST), "manifest")
+    with batches_of(docs.sparkSession, ENCODED_AT_ONCE):
+        return keep(ordered.mapInArrow(_write(tokenizer, folder), _MANIFEST), "manifest")
 
 
 def read_index(file: str) -> list[tuple[int, int, int, int, int]]:
