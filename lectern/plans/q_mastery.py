@@ -179,7 +179,7 @@ def a16(s: SparkSession, d: str) -> DataFrame:
 
 @query("a17_sufficiency", f"{AL}, {RUN}, {STATE} SELECT student, topic, attempts >= 3 AND mean >= {SUFF} AS understood, attempts >= 5 AND mean >= {STRICT} AND trend >= 0 AS understood_strict FROM state JOIN levels USING (topic)")
 def a17(s: SparkSession, d: str) -> DataFrame:
-    state = m.topic_state(attempts(s, d))
+    state = m.topic_state(attempts(s, d), by_step=True)
     strict = m.sufficient(state, topic_levels(s), strict=True).withColumnRenamed("understood", "understood_strict").drop("level")
     return m.sufficient(strict, topic_levels(s)).select("student", "topic", "understood", "understood_strict")
 
