@@ -221,7 +221,7 @@ def a22(s: SparkSession, d: str) -> DataFrame:
 SELECT student, round(avg(mean), 6) AS mean_score, count(*) FILTER (mastered) AS mastered, sum(attempts)::BIGINT AS attempts, round(100.0 * count(*) FILTER (mastered) / count(*), 6) AS mastered_pct,
 count(*) FILTER (mean >= 0.75) AS strong, count(*) FILTER (mean >= 0.5 AND mean < 0.75) AS medium, count(*) FILTER (mean < 0.5) AS weak FROM f GROUP BY ALL""")
 def a23(s: SparkSession, d: str) -> DataFrame:
-    return reports.dashboard(m.mastery(attempts(s, d), topic_levels(s))).select("student", *r6("mean_score"), "mastered", "attempts", *r6("mastered_pct"), "strong", "medium", "weak")
+    return reports.dashboard(m.mastery(attempts(s, d), topic_levels(s), by_step=True)).select("student", *r6("mean_score"), "mastered", "attempts", *r6("mastered_pct"), "strong", "medium", "weak")
 
 
 @query("a29_cohort", f"""{AL}, {RUN}, {STATE}, {COMBOS}, f AS (SELECT *, attempts >= 3 AND trend >= 0 AND coalesce(combos, 0) = 9 AS mastered FROM state LEFT JOIN combos USING (student, topic)),

@@ -39,3 +39,7 @@ def test_sufficiency_on_a_threshold(spark, data, tmp_path):
 
 def test_weak_topics_on_a_threshold(spark, data, tmp_path):
     same(spark, data, tmp_path, "a19_weak_topics", HALVES)
+
+
+def test_dashboard_on_a_threshold(spark, data, tmp_path):
+    same(spark, data, tmp_path, "a23_dashboard", HALVES)
