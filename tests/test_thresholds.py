@@ -43,3 +43,7 @@ def test_weak_topics_on_a_threshold(spark, data, tmp_path):
 
 def test_dashboard_on_a_threshold(spark, data, tmp_path):
     same(spark, data, tmp_path, "a23_dashboard", HALVES)
+
+
+def test_valid_actions_on_a_threshold(spark, data, tmp_path):
+    same(spark, data, tmp_path, "f35_valid_actions", VALUES)
