@@ -245,7 +245,7 @@ def a31(s: SparkSession, d: str) -> DataFrame:
 
 @query("j11_prerequisites_met", f"{ALP}, {RUN}, {STATE}, {UNDERSTOOD}, {MET} SELECT student, topic, met FROM met")
 def j11(s: SparkSession, d: str) -> DataFrame:
-    return m.prerequisites_met(m.sufficient(m.topic_state(attempts(s, d)), topic_levels(s)), topic_levels(s), prereqs(s))
+    return m.prerequisites_met(m.sufficient(m.topic_state(attempts(s, d), by_step=True), topic_levels(s)), topic_levels(s), prereqs(s))
 
 
 def _actions(s: SparkSession) -> DataFrame:

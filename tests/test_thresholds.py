@@ -47,3 +47,7 @@ def test_dashboard_on_a_threshold(spark, data, tmp_path):
 
 def test_valid_actions_on_a_threshold(spark, data, tmp_path):
     same(spark, data, tmp_path, "f35_valid_actions", VALUES)
+
+
+def test_prerequisites_on_a_threshold(spark, data, tmp_path):
+    same(spark, data, tmp_path, "j11_prerequisites_met", VALUES)
